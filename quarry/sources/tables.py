@@ -8,8 +8,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.sources.session import ship
+
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import neardup, ranking
-from quarry.sources.tables import table
+from quarry.llm import bpe, neardup, packing, ranking
+from quarry.sources.tables import cut, table
 
 LISTS = ["bm25", "vector", "rerank"]
 
@@ -31,6 +31,27 @@ def p6_groups(spark: SparkSession, root: str) -> DataFrame:
     return neardup.groups(*neardup.near_duplicates(table(spark, root, "chunks"))).select(F.col("id").alias("chunk_id"), "class_id", "n_links")
 
 
+def p8_ids(spark: SparkSession, root: str) -> DataFrame:
+    return bpe.token_ids(table(spark, root, "documents"), "doc_id", "text")
+
+
+def p9_packing(spark: SparkSession, root: str) -> DataFrame:
+    limits, documents = table(spark, root, "pack_limits"), table(spark, root, "documents")
+    sized = None
+    for (name,) in sorted(limits.select("tokenizer").where("tokenizer is not null").distinct().collect()):
+        one = bpe.token_counts(documents, "doc_id", "text", name).withColumn("tokenizer", F.lit(name))
+        sized = one if sized is None else sized.unionByName(one)
+    return packing.pack(spark, cut(sized), limits)
+
+
+def p9_fill(spark: SparkSession, root: str) -> DataFrame:
+    """Per pack: containers, items, tokens and the share of the room that is filled."""
+    limits = table(spark, root, "pack_limits").select("pack_name", "capacity_tokens").distinct()
+    per = p9_packing(spark, root).groupBy("pack_name", "container_id").agg(F.sum("size").alias("tokens"), F.count("*").alias("items"))
+    out = per.groupBy("pack_name").agg(F.count("*").alias("n_containers"), F.sum("items").alias("n_items"), F.sum("tokens").alias("n_tokens"))
+    return out.join(F.broadcast(limits), "pack_name").withColumn("filled", F.round(F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")), 6))
+
+
 _P3 = """
 WITH s AS (SELECT query_id, chunk_id, CASE WHEN lower(trim(match_reason)) LIKE '%reranked%' THEN 'rerank' WHEN lower(trim(match_reason)) LIKE 'bm25%' THEN 'bm25'
     WHEN lower(trim(match_reason)) LIKE 'vector%' THEN 'vector' END AS l, score, distance FROM search_rows),
@@ -44,7 +65,7 @@ p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rho, 12)
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p3_ranking": p3_ranking, "p6_found": p6_found, "p6_groups": p6_groups}
+    return {"p3_found": p3_found, "p3_ranking": p3_ranking, "p6_found": p6_found, "p6_groups": p6_groups, "p8_ids": p8_ids, "p9_packing": p9_packing, "p9_fill": p9_fill}
 
 
 def oracle_sql() -> dict[str, str]:

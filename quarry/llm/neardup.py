@@ -13,7 +13,7 @@ THRESHOLD, LEAST_WORDS = 0.8, 50
 
 
 def whole_chunks(chunks: DataFrame) -> DataFrame:
-    """Rows without parent, each id once with the content it came with last; null contents and ids are left out."""
+    """Rows without parent, null contents and ids left out."""
     whole = chunks.where(F.coalesce(F.trim("parent_chunk_id"), F.lit("")) == "")
     return whole.where(F.col("id").isNotNull() & F.col("content").isNotNull())
 
@@ -21,20 +21,21 @@ def whole_chunks(chunks: DataFrame) -> DataFrame:
 def signed_chunks(chunks: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """SIGNED rows of the whole chunks with at least `least` words, written to the shared folder.
 
-    The id is made from the content, so rows of one id have equal digests; they are dropped by id."""
-    rows = whole_chunks(chunks).select("id", "content").mapInArrow(signed(least), SIGNED)
-    return cut(rows.dropDuplicates(["id"]))
+    Rows delivered twice stay: their ids and digests are made distinct where they are used, without the elements."""
+    return cut(whole_chunks(chunks).select("id", "content").mapInArrow(signed(least), SIGNED))
 
 
 def near_duplicates(chunks: DataFrame, threshold: float = THRESHOLD, least: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): members has id, d1, d2; pairs the similar digests. Equal word multisets share a digest.
 
     Words are runs of a-z, 0-9 and _ in the lower-cased text, similarity is that of the multisets. Texts with
-    fewer than `least` words are no members. The whole text counts, of any length.
+    fewer than `least` words are no members; of an id that came with several texts the one of the least digest counts.
+    The whole text counts, of any length.
     """
     rows = signed_chunks(chunks, least)
     docs = rows.select("d1", "d2", "n", "elements", "packed", "bands").dropDuplicates(["d1", "d2"])
-    return rows.select("id", "d1", "d2"), similar_pairs(docs, threshold)
+    members = rows.groupBy("id").agg(F.min(F.struct("d1", "d2")).alias("d")).select("id", "d.d1", "d.d2")
+    return members, similar_pairs(docs, threshold)
 
 
 def id_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:

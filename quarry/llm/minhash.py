@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,7 +102,7 @@ def signatures(elements: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np
 
 SIGNED = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("n", T.IntegerType()),
-    T.StructField("elements", T.ArrayType(T.LongType())), T.StructField("packed", T.ArrayType(T.LongType())), T.StructField("bands", T.ArrayType(T.LongType())),
+    T.StructField("packed", T.ArrayType(T.LongType())), T.StructField("bands", T.ArrayType(T.LongType())),
 ])
 
 
@@ -110,10 +111,25 @@ def _lists(a: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, a.shape[1], dtype=np.int32)), pa.array(flat))
 
 
+def items(words: list[str], shingle: int) -> list[str]:
+    return words if shingle == 1 else [" ".join(words[j : j + shingle]) for j in range(max(1, len(words) - shingle + 1))]
+
+
+def exact(a: str, b: str, multiset: bool = True, shingle: int = 1) -> float:
+    """Common elements divided by all elements of two texts, counted as multisets or sets; 0 where there are none."""
+    x, y = (Counter(items(_WORD.findall(t.lower()), shingle)) for t in (a, b))
+    if not multiset:
+        x, y = Counter(x.keys()), Counter(y.keys())
+    common = sum((x & y).values())
+    every = x.total() + y.total() - common
+    return common / every if every else 0.0
+
+
 def signed(least: int, multiset: bool = True, shingle: int = 1):
-    """For mapInArrow over (id, text): rows of SIGNED for texts with at least `least` elements.
+    """For mapInArrow over (id, text): rows of SIGNED for texts with at least `least` words.
 
-    d1, d2 are a 128-bit digest of the element set (equal sets, equal digest); `elements` are sorted."""
+    Elements are the words as a multiset or a set, or the shingles as a set; d1, d2 are a 128-bit digest of them
+    (equal sets, equal digest), n is their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,10 +140,7 @@ def signed(least: int, multiset: bool = True, shingle: int = 1):
                 words = _WORD.findall(t.lower())
                 if len(words) < least:
                     continue
-                if shingle > 1:
-                    e = set_elements([" ".join(words[j : j + shingle]) for j in range(max(1, len(words) - shingle + 1))])
-                else:
-                    e = multiset_elements(words) if multiset else set_elements(words)
+                e = (multiset_elements if multiset and shingle == 1 else set_elements)(items(words, shingle))
                 if len(e):
                     ids.append(i)
                     sets.append(e)
@@ -141,8 +154,7 @@ def signed(least: int, multiset: bool = True, shingle: int = 1):
             d2 = np.bitwise_xor.reduceat(mix(elements + np.uint64(0x5851F42D4C957F2D)), starts[:-1])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids, pa.string()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(sizes.astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(elements.view(np.int64))), _lists(packed), _lists(bands),
+                    pa.array(ids, pa.string()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(sizes.astype(np.int32)), _lists(packed), _lists(bands),
                 ],
                 names=[f.name for f in SIGNED],
             )
@@ -173,14 +185,31 @@ def candidate_pairs(docs: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def similar_pairs(docs: DataFrame, threshold: float) -> DataFrame:
-    """candidate_pairs with `similarity` >= threshold: estimated from the packed bits first, then exact on the elements."""
-    p = candidate_pairs(docs)
-    side = lambda x, *c: docs.select(F.col("d1").alias(f"{x}1"), F.col("d2").alias(f"{x}2"), *[F.col(k).alias(f"{x}_{k}") for k in c])
-    p = p.join(side("a", "packed", "n"), ["a1", "a2"]).join(side("b", "packed", "n"), ["b1", "b2"])
-    ratio = F.least("a_n", "b_n") / F.greatest("a_n", "b_n")
-    p = p.where((ratio >= threshold) & (estimate(F.col("a_packed"), F.col("b_packed")) >= LEAST_ESTIMATE)).select("a1", "a2", "b1", "b2")
-    p = p.join(side("a", "elements", "n"), ["a1", "a2"]).join(side("b", "elements", "n"), ["b1", "b2"])
-    both = F.size(F.array_intersect("a_elements", "b_elements"))
-    p = p.withColumn("similarity", both / (F.col("a_n") + F.col("b_n") - both))
-    return p.where(F.col("similarity") >= threshold).select("a1", "a2", "b1", "b2", "similarity")
+PAIR = "a1 long, a2 long, b1 long, b2 long, rep_a string, rep_b string"
+
+
+def representatives(rows: DataFrame) -> DataFrame:
+    """One row per digest of SIGNED rows, with `rep`, its least id."""
+    return rows.groupBy("d1", "d2").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "packed", "bands")])
+
+
+def similar_pairs(rows: DataFrame, bodies: DataFrame, threshold: float, multiset: bool = True, shingle: int = 1) -> DataFrame:
+    """(a1, a2, b1, b2, rep_a, rep_b, similarity): candidate pairs of digests with at least the threshold.
+
+    The packed bits estimate first, then the texts decide: those of the representatives are fetched from `bodies`
+    (id, text) and compared exactly. Rows of an id that comes twice in bodies are compared twice and made one."""
+    docs = representatives(rows)
+    side = lambda x: docs.select(F.col("d1").alias(f"{x}1"), F.col("d2").alias(f"{x}2"), *[F.col(k).alias(f"{k}_{x}") for k in ("rep", "packed", "n")])
+    p = candidate_pairs(docs).join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
+    ratio = F.least("n_a", "n_b") / F.greatest("n_a", "n_b")
+    p = p.where((ratio >= threshold) & (estimate(F.col("packed_a"), F.col("packed_b")) >= LEAST_ESTIMATE)).select("a1", "a2", "b1", "b2", "rep_a", "rep_b")
+    text = lambda x: bodies.select(F.col("id").alias(f"rep_{x}"), F.col("text").alias(f"text_{x}"))
+    p = p.join(text("a"), "rep_a").join(text("b"), "rep_b").select("a1", "a2", "b1", "b2", "rep_a", "rep_b", "text_a", "text_b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column(6).to_pylist(), batch.column(7).to_pylist()
+            s = pa.array([exact(x, y, multiset, shingle) for x, y in zip(a, b, strict=True)], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], s], names=[*batch.schema.names[:6], "similarity"])
+
+    return p.mapInArrow(verify, PAIR + ", similarity double").where(F.col("similarity") >= threshold).distinct()

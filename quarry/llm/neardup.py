@@ -21,7 +21,7 @@ def whole_chunks(chunks: DataFrame) -> DataFrame:
 def signed_chunks(chunks: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """SIGNED rows of the whole chunks with at least `least` words, written to the shared folder.
 
-    Rows delivered twice stay: their ids and digests are made distinct where they are used, without the elements."""
+    Rows delivered twice stay: they are made one where they are used."""
     return cut(whole_chunks(chunks).select("id", "content").mapInArrow(signed(least), SIGNED))
 
 
@@ -33,9 +33,9 @@ def near_duplicates(chunks: DataFrame, threshold: float = THRESHOLD, least: int
     The whole text counts, of any length.
     """
     rows = signed_chunks(chunks, least)
-    docs = rows.select("d1", "d2", "n", "elements", "packed", "bands").dropDuplicates(["d1", "d2"])
+    bodies = whole_chunks(chunks).select("id", F.col("content").alias("text"))
     members = rows.groupBy("id").agg(F.min(F.struct("d1", "d2")).alias("d")).select("id", "d.d1", "d.d2")
-    return members, similar_pairs(docs, threshold)
+    return members, similar_pairs(rows, bodies, threshold)
 
 
 def id_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, neardup, packing, ranking
+from quarry.llm import bpe, neardup, packing, ranking, truncation
 from quarry.sources.tables import cut, table
 
 LISTS = ["bm25", "vector", "rerank"]
@@ -52,6 +52,19 @@ def p9_fill(spark: SparkSession, root: str) -> DataFrame:
     return out.join(F.broadcast(limits), "pack_name").withColumn("filled", F.round(F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")), 6))
 
 
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    return truncation.truncated(table(spark, root, "documents")).select("doc_id")
+
+
+def p10_rates(spark: SparkSession, root: str) -> DataFrame:
+    """Per source: documents with text, cut ones and their share."""
+    documents = table(spark, root, "documents")
+    found = truncation.truncated(documents).groupBy("source").agg(F.count("*").alias("n_cut"))
+    every = documents.where(F.length(F.trim("text")) > 0).groupBy("source").agg(F.count("*").alias("n_documents"))
+    out = every.join(found, every["source"].eqNullSafe(found["source"]), "left").select(every["source"], "n_documents", F.coalesce("n_cut", F.lit(0)).alias("n_cut"))
+    return out.withColumn("share", F.round(F.col("n_cut") / F.col("n_documents"), 6))
+
+
 _P3 = """
 WITH s AS (SELECT query_id, chunk_id, CASE WHEN lower(trim(match_reason)) LIKE '%reranked%' THEN 'rerank' WHEN lower(trim(match_reason)) LIKE 'bm25%' THEN 'bm25'
     WHEN lower(trim(match_reason)) LIKE 'vector%' THEN 'vector' END AS l, score, distance FROM search_rows),
@@ -65,7 +78,7 @@ p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rho, 12)
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p3_ranking": p3_ranking, "p6_found": p6_found, "p6_groups": p6_groups, "p8_ids": p8_ids, "p9_packing": p9_packing, "p9_fill": p9_fill}
+    return {"p3_found": p3_found, "p3_ranking": p3_ranking, "p6_found": p6_found, "p6_groups": p6_groups, "p8_ids": p8_ids, "p9_packing": p9_packing, "p9_fill": p9_fill, "p10_found": p10_found, "p10_rates": p10_rates}
 
 
 def oracle_sql() -> dict[str, str]:

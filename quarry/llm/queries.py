@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, neardup, packing, ranking, truncation
+from quarry.llm import bpe, docs, neardup, packing, ranking, truncation
 from quarry.sources.tables import cut, table
 
 LISTS = ["bm25", "vector", "rerank"]
@@ -31,6 +31,14 @@ def p6_groups(spark: SparkSession, root: str) -> DataFrame:
     return neardup.groups(*neardup.near_duplicates(table(spark, root, "chunks"))).select(F.col("id").alias("chunk_id"), "class_id", "n_links")
 
 
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    return docs.documented_functions(table(spark, root, "chunks")).select("chunk_id", "func_name").distinct()
+
+
+def p7_pairs(spark: SparkSession, root: str) -> DataFrame:
+    return docs.documented_functions(table(spark, root, "chunks"))
+
+
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     return bpe.token_ids(table(spark, root, "documents"), "doc_id", "text")
 
@@ -78,7 +86,7 @@ p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rho, 12)
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p3_ranking": p3_ranking, "p6_found": p6_found, "p6_groups": p6_groups, "p8_ids": p8_ids, "p9_packing": p9_packing, "p9_fill": p9_fill, "p10_found": p10_found, "p10_rates": p10_rates}
+    return {"p3_found": p3_found, "p3_ranking": p3_ranking, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_ids": p8_ids, "p9_packing": p9_packing, "p9_fill": p9_fill, "p10_found": p10_found, "p10_rates": p10_rates}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.sources.tables import cut
+
 #: Bits kept of each minimum. Two unequal minima agree in them with probability 2**-BITS.
 BITS = 2
 ROWS, BANDS = 6, 26
@@ -73,8 +75,14 @@ def multiset_elements(words: list[str]) -> np.ndarray:
     return np.sort(mix(h + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
 
-def set_elements(items: list[str]) -> np.ndarray:
-    return np.unique(np.array(_HASHES.get(items), dtype=np.uint64))
+def set_elements(words: list[str], shingle: int = 1) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the words, or of runs of `shingle` words (fewer words are one run)."""
+    h = np.array(_HASHES.get(words), dtype=np.uint64)
+    k = min(shingle, len(h))
+    x = h[: len(h) - k + 1]
+    for i in range(1, k):
+        x = mix(x * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
+    return np.unique(x)
 
 
 def signatures(elements: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +148,7 @@ def signed(least: int, multiset: bool = True, shingle: int = 1):
                 words = _WORD.findall(t.lower())
                 if len(words) < least:
                     continue
-                e = (multiset_elements if multiset and shingle == 1 else set_elements)(items(words, shingle))
+                e = multiset_elements(words) if multiset and shingle == 1 else set_elements(words, shingle)
                 if len(e):
                     ids.append(i)
                     sets.append(e)
@@ -196,14 +204,17 @@ def representatives(rows: DataFrame) -> DataFrame:
 def similar_pairs(rows: DataFrame, bodies: DataFrame, threshold: float, multiset: bool = True, shingle: int = 1) -> DataFrame:
     """(a1, a2, b1, b2, rep_a, rep_b, similarity): candidate pairs of digests with at least the threshold.
 
-    The packed bits estimate first, then the texts decide: those of the representatives are fetched from `bodies`
-    (id, text) and compared exactly. Rows of an id that comes twice in bodies are compared twice and made one."""
+    The packed bits estimate first, then the texts decide: those of the representatives that are left are fetched
+    from `bodies` (id, text), in one pass whose other side Spark broadcasts if it is small, and compared exactly. Rows of an id that comes twice in bodies are compared twice and made one."""
     docs = representatives(rows)
     side = lambda x: docs.select(F.col("d1").alias(f"{x}1"), F.col("d2").alias(f"{x}2"), *[F.col(k).alias(f"{k}_{x}") for k in ("rep", "packed", "n")])
     p = candidate_pairs(docs).join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
     ratio = F.least("n_a", "n_b") / F.greatest("n_a", "n_b")
     p = p.where((ratio >= threshold) & (estimate(F.col("packed_a"), F.col("packed_b")) >= LEAST_ESTIMATE)).select("a1", "a2", "b1", "b2", "rep_a", "rep_b")
-    text = lambda x: bodies.select(F.col("id").alias(f"rep_{x}"), F.col("text").alias(f"text_{x}"))
+    p = cut(p)
+    needed = p.select(F.col("rep_a").alias("id")).unionByName(p.select(F.col("rep_b").alias("id"))).distinct()
+    texts = cut(bodies.join(needed, "id", "left_semi").select("id", "text"))
+    text = lambda x: texts.select(F.col("id").alias(f"rep_{x}"), F.col("text").alias(f"text_{x}"))
     p = p.join(text("a"), "rep_a").join(text("b"), "rep_b").select("a1", "a2", "b1", "b2", "rep_a", "rep_b", "text_a", "text_b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

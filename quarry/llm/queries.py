@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, docs, machine, neardup, packing, ranking, truncation
+from quarry.llm import bpe, broken, docs, machine, neardup, packing, ranking, truncation
 from quarry.sources.tables import cut, table
 
 LISTS = ["bm25", "vector", "rerank"]
@@ -23,6 +23,14 @@ def p3_ranking(spark: SparkSession, root: str) -> DataFrame:
     return ranking.leaders(_aggregated(spark, root)).select("query_id", "chunk_id", F.round("rho", 9).alias("rho"), F.col("position").cast("long").alias("position"))
 
 
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    return broken.judged_files(table(spark, root, "chunks")).where(~F.col("valid")).select("repo", "file_path")
+
+
+def p1_rates(spark: SparkSession, root: str) -> DataFrame:
+    return broken.broken_rates(broken.judged_files(table(spark, root, "chunks")))
+
+
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return machine.machine_made(table(spark, root, "chunks")).select("repo", "file_path")
 
@@ -96,7 +104,7 @@ p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rho, 12)
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_validation": p2_validation, "p3_found": p3_found, "p3_ranking": p3_ranking, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_ids": p8_ids, "p9_packing": p9_packing, "p9_fill": p9_fill, "p10_found": p10_found, "p10_rates": p10_rates}
+    return {"p1_found": p1_found, "p1_rates": p1_rates, "p2_found": p2_found, "p2_validation": p2_validation, "p3_found": p3_found, "p3_ranking": p3_ranking, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_ids": p8_ids, "p9_packing": p9_packing, "p9_fill": p9_fill, "p10_found": p10_found, "p10_rates": p10_rates}
 
 
 def oracle_sql() -> dict[str, str]:

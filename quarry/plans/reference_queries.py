@@ -584,3 +584,39 @@ def orphan_indexes(spark, root):
     """Registered repositories without any chunk (here: among those with a dash in their name)."""
     c = table(spark, root, "chunks").where(F.col("repo").like("%-%")).select("repo").distinct()
     return table(spark, root, "repos").select("repo", "state").join(c, "repo", "left_anti")
+
+
+# Streams and chunkers.
+
+
+@query("SELECT repo, file_path, content_hash, loaded_at FROM (SELECT *, row_number() OVER (PARTITION BY repo, file_path ORDER BY loaded_at DESC, branch DESC, content_hash DESC) AS rn FROM file_hashes) WHERE rn = 1")
+def stream_incremental_refresh(spark, root):
+    """The last state of each file as a stream of file states keeps it."""
+    from quarry.streaming.refresh import refresh_stream
+
+    return refresh_stream(spark, f"{root}/file_hashes.parquet", ["repo", "file_path"], ["loaded_at"]).select("repo", "file_path", "content_hash", "loaded_at")
+
+
+def _files(spark: SparkSession, root: str) -> DataFrame:
+    """Files put together from their whole chunks, in line order."""
+    c = table(spark, root, "chunks").where(F.coalesce(F.trim("parent_chunk_id"), F.lit("")) == "")
+    parts = F.array_sort(F.collect_set(F.struct("start_line", "content")))
+    g = c.groupBy("repo", "file_path").agg(parts.alias("p"))
+    return g.select("repo", "file_path", F.array_join(F.transform("p", lambda x: x["content"]), "\n\n").alias("content"))
+
+
+@query()
+def chunk_source_files(spark, root):
+    """Every file chunked anew by the structure of its language."""
+    from quarry.operators.chunking import chunk_files
+
+    return chunk_files(_files(spark, root)).drop("content")
+
+
+@query()
+def prose_pack(spark, root):
+    """Documents packed into pieces of whole sentences of at most 500 characters."""
+    from quarry.operators.chunking import chunk_files
+
+    d = table(spark, root, "documents").where("text is not null")
+    return chunk_files(d.select(F.col("source").alias("repo"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_path"), F.col("text").alias("content")), 500).drop("content")

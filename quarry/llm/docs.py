@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.languages import EXTENSIONS, extension, lex, rank_languages
+from quarry.functions.lexing import closing, lex
+from quarry.llm.languages import EXTENSIONS, extension, rank_languages
 
 #: Words a description must have besides markers, tags, parameter lists and the words of the name.
 LEAST_WORDS = 5
@@ -44,16 +45,6 @@ _PY_AFTER = re.compile(r"[ \t]*(?:->[^:\n]+)?:")
 _PHP_AFTER = re.compile(r"\s*(?::\s*[?\w\\|&]+)?\s*\{")
 
 
-def _close(masked: str, at: int) -> int:
-    """The place after the bracket that closes the one at `at`, or -1."""
-    depth = 0
-    for m in re.compile(r"[()\[\]{}]").finditer(masked, at):
-        depth += 1 if m.group() in "([{" else -1
-        if depth == 0:
-            return m.end()
-    return -1
-
-
 def _indented(masked: str, line_start: int, body: int) -> int:
     """The end of a Python body: where a line stands no deeper than the signature."""
     indent = re.compile(r"[ \t]*").match(masked, line_start).end() - line_start
@@ -218,7 +209,7 @@ def functions(text: str, lang: str) -> list[tuple[str, str, int, int]]:
                 continue
             after, body = m.end(), -1
             if g.get("open"):
-                after = _close(src.masked, m.end() - 1)
+                after = closing(src.masked, m.end() - 1)
                 if after < 0:
                     after = m.end()
                     nxt = None
@@ -246,7 +237,7 @@ def functions(text: str, lang: str) -> list[tuple[str, str, int, int]]:
                 inner = src.first_string(body)
                 described = text_above or (prose(inner, name) if inner else None)
                 brace = body - 1 if src.masked[body - 1 : body] in ("{", "(") else src.masked.find("{", body)
-                end = _close(src.masked, brace) if brace >= 0 else len(text)
+                end = closing(src.masked, brace) if brace >= 0 else len(text)
                 end = len(text) if end < 0 else end
             if described:
                 out.append((name, described, start, end))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.files import assemble, file_parts
@@ -20,7 +20,8 @@ from quarry.sources.tables import cut
 BUCKETS = 1 << 16
 GRAM = 4
 HEAD_LINES = 12
-#: At most so many labelled files of either label are fetched to fit the classifier, the first by hash; longer ones are passed over.
+#: About so many labelled files of either label, those whose hash is in the share that leaves as many, are fetched to fit the
+#: classifier; longer ones than SAMPLE_CHARS are passed over.
 SAMPLE, SAMPLE_CHARS = 2000, 60_000
 EPOCHS, RATE, PENALTY = 12, 0.5, 1e-5
 #: Of the held-out machine-made files this share may lie below the threshold, which is then lowered by SLACK.
@@ -165,7 +166,7 @@ def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = assemble(parts)
             size.append(len(text))
             found.append(evidence(path or "", text) if text.strip() else None)
-        yield pa.RecordBatch.from_arrays([repos, paths, pa.array(found, pa.string()), pa.array(size, pa.int64()), batch.column(2)], names=["repo", "file_path", "label", "size", "parts"])
+        yield pa.RecordBatch.from_arrays([repos, paths, pa.array(found, pa.string()), pa.array(size, pa.int64())], names=["repo", "file_path", "label", "size"])
 
 
 def source_files(chunks: DataFrame) -> DataFrame:
@@ -180,11 +181,13 @@ def train(files: DataFrame) -> tuple[Model, dict[str, float]]:
     is and with the giveaway lines of its head masked, so that the classifier also knows machine-made code by its
     body and path. Repositories whose name hashes to the fourth quarter are held out; the threshold is set on them, on
     masked and unmasked files alike."""
-    schema = "repo string, file_path string, label string, size long, parts array<struct<start_line:int,end_line:int,content:string>>"
-    marked = files.mapInArrow(_label, schema).where((F.col("size") > 0) & (F.col("size") <= SAMPLE_CHARS))
-    order = F.xxhash64("repo", "file_path")
-    w = Window.partitionBy(F.col("label").isNull()).orderBy(order, "repo", "file_path")
-    rows = marked.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= SAMPLE).drop("_n").collect()
+    marked = files.mapInArrow(_label, "repo string, file_path string, label string, size long").where((F.col("size") > 0) & (F.col("size") <= SAMPLE_CHARS))
+    marked = cut(marked.select("repo", "file_path", "label", F.pmod(F.xxhash64("repo", "file_path"), F.lit(1 << 31)).alias("h")))
+    made, other = marked.agg(F.count("label"), F.count("*") - F.count("label")).first()
+    share = F.when(F.col("label").isNotNull(), F.lit(SAMPLE / max(SAMPLE, made))).otherwise(F.lit(SAMPLE / max(SAMPLE, other)))
+    chosen = marked.where(F.col("h") < share * (1 << 31)).select("repo", "file_path", "label")
+    rows = files.join(F.broadcast(chosen), ["repo", "file_path"]).collect()
+    rows.sort(key=lambda r: (r["repo"], r["file_path"]))
     held, learn = [], []
     for r in rows:
         text, path = assemble([x.asDict() for x in r["parts"]]), r["file_path"] or ""

@@ -44,22 +44,17 @@ _A = _multipliers()
 _A32, _B32 = (_A >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (mix(_A) >> np.uint64(32)).astype(np.uint32)
 
 
-class WordHashes:
+class WordHashes(dict):
     """64-bit hashes of words, kept per worker; at most a million words are kept."""
 
-    def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+    def __missing__(self, word: str) -> int:
+        h = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return h
 
-    def get(self, words: list[str]) -> list[int]:
-        known, out = self.known, []
-        if len(known) > 1_000_000:
-            known.clear()
-        for w in words:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-            out.append(h)
-        return out
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(self) > 1_000_000:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 _HASHES = WordHashes()
@@ -67,7 +62,7 @@ _HASHES = WordHashes()
 
 def multiset_elements(words: list[str]) -> np.ndarray:
     """Sorted distinct 64-bit hashes of (word, occurrence): sets of these have the similarity of the multisets."""
-    h = np.sort(np.array(_HASHES.get(words), dtype=np.uint64))
+    h = np.sort(_HASHES.of(words))
     if not len(h):
         return h
     first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
@@ -77,7 +72,7 @@ def multiset_elements(words: list[str]) -> np.ndarray:
 
 def set_elements(words: list[str], shingle: int = 1) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the words, or of runs of `shingle` words (fewer words are one run)."""
-    h = np.array(_HASHES.get(words), dtype=np.uint64)
+    h = _HASHES.of(words)
     k = min(shingle, len(h))
     x = h[: len(h) - k + 1]
     for i in range(1, k):

@@ -71,6 +71,7 @@ _DIRECTIVE = re.compile(
     r"^\W*(?:eslint|tslint|jshint|jslint|prettier-|istanbul|c8 ignore|v8 ignore|@ts-|ts-|noqa|pylint|type:\s*ignore|mypy|ruff|flake8|pragma|nosec|fmt:|isort|yapf|pyright|shellcheck|phpcs|phpstan|psalm|@phpstan|@psalm|codecov|sonar|nolint|biome-|webpack|region\b|endregion\b|@internal\b|\{@)", re.I
 )
 _TAG = re.compile(r"^\s*(?:[@\\]\w+|:(?:param|returns?|rtype|raises?|type|arg|keyword|yields?|var|ivar|cvar)\b)", re.I)
+_INLINE_TAG = re.compile(r"(?<=\s)(?:@(?:param|returns?|throws|raises|type)\b|:(?:param|returns?|raises|type)\b)", re.I)
 _SECTION = re.compile(r"^\s*(?:args?|arguments|param(?:eter)?s|returns?|raises|yields|throws|examples?|attributes|usage|options|see also)\s*:?\s*$", re.I)
 _CODE = re.compile(
     r"^\s*(?:[\w$.\[\]'\">:-]+\s*(?:[-+*/|&]?=(?!=)|:=)\s*\S.*|[\w$.>:-]*\w\(.*\)\s*[;:{]?|(?:if|for|while|foreach|switch|elif|else if)\b.*[:{]|(?:return|throw|raise|import|from|const|let|var|export|echo|def|class|function|use|await|yield|print)\b.*[;:{)\]]|[}\])]+[;,]?|\$?\w+=[\"$'].*)\s*$"
@@ -100,7 +101,11 @@ def prose(lines: list[str], name: str) -> str | None:
             continue
         if skipping or _DIRECTIVE.match(s) or _RULE.match(s) or s.startswith(("{@", "#!", "<<<<<<<", ">>>>>>>", "=======", ">>>")):
             continue
-        kept.append(s)
+        inline = _INLINE_TAG.search(s)
+        if inline:
+            s, skipping = s[: inline.start()].rstrip(), True
+        if s:
+            kept.append(s)
     if not kept:
         return None
     if all(_CODE.match(s) for s in kept):

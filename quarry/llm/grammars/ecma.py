@@ -165,7 +165,7 @@ class Tokens:
         if not self.kind:
             return True
         k = self.kind[-1]
-        if k == "}":
+        if k in ("}", "{J"):
             return True
         if k == ")":
             return False
@@ -259,7 +259,7 @@ class Parser:
         self.first = [*tokens.first, True, True, True]
         self.match, self.at, self.signs = tokens.match, [*tokens.at, -1, -1, -1], tokens.signs
         self.ts, self.end = ts, len(tokens.kind)
-        self.text = tokens.text
+        self.text, self.ambient = tokens.text, False
 
     def need(self, p: int, kind: str) -> int:
         if self.k[p] != kind:
@@ -292,7 +292,7 @@ class Parser:
             j = self.line_end(p, end)
             key = None
             if j - p <= LONG:
-                key = (mark, self.ts, self.signs[p:j], self.signs[j : j + 1])
+                key = (mark, self.ts, self.ambient, self.signs[p:j], self.signs[j : j + 1])
                 if key in _MEMO:
                     p = j
                     continue
@@ -508,7 +508,10 @@ class Parser:
         if k == "declare" and (n in ("const", "let", "var", "function", "class", "enum", "namespace", "module", "type", "interface", "abstract", "global", "async")):
             if n in ("const", "let", "var") and self.k[p + 2] != "enum":
                 return self.semicolon(self.declarators(p + 2, const=False))
-            return self.statement(p + 1)
+            outer, self.ambient = self.ambient, True
+            p = self.statement(p + 1)
+            self.ambient = outer
+            return p
         return 0
 
     def enum(self, p: int) -> int:
@@ -533,7 +536,7 @@ class Parser:
             p = self.annotation(p)
             if self.k[p] == "=":
                 p = self.assignment(p + 1, loop)
-            elif (const or pattern) and not loop:
+            elif (const or pattern) and not loop and not self.ambient:
                 raise Bad
             if self.k[p] != ",":
                 return p

@@ -53,7 +53,7 @@ def groups(members: DataFrame, pairs: DataFrame) -> DataFrame:
     Only links between representatives are followed; copies are never expanded into pairs."""
     rep = cut(members.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
     r = lambda x: rep.select(F.col("rep").alias(f"rep_{x}"), F.col("copies").alias(f"copies_{x}"), F.col("d1").alias(f"{x}1"), F.col("d2").alias(f"{x}2"))
-    links = cut(pairs.join(r("a"), ["a1", "a2"]).join(r("b"), ["b1", "b2"]).select("rep_a", "rep_b", "copies_a", "copies_b"))
+    links = cut(pairs.select("a1", "a2", "b1", "b2").join(r("a"), ["a1", "a2"]).join(r("b"), ["b1", "b2"]).select("rep_a", "rep_b", "copies_a", "copies_b"))
     found = components(links.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
     degree = (
         links.select(F.col("rep_a").alias("rep"), F.col("copies_b").alias("m")).unionByName(links.select(F.col("rep_b").alias("rep"), F.col("copies_a").alias("m")))

@@ -63,10 +63,9 @@ def p8_ids(spark: SparkSession, root: str) -> DataFrame:
 
 def p9_packing(spark: SparkSession, root: str) -> DataFrame:
     limits, documents = table(spark, root, "pack_limits"), table(spark, root, "documents")
-    sized = None
+    sized = documents.select("doc_id", F.lit(0).alias("n_tokens"), F.lit("").alias("tokenizer")).where("false")
     for (name,) in sorted(limits.select("tokenizer").where("tokenizer is not null").distinct().collect()):
-        one = bpe.token_counts(documents, "doc_id", "text", name).withColumn("tokenizer", F.lit(name))
-        sized = one if sized is None else sized.unionByName(one)
+        sized = sized.unionByName(bpe.token_counts(documents, "doc_id", "text", name).withColumn("tokenizer", F.lit(name)))
     return packing.pack(spark, cut(sized), limits)
 
 

@@ -17,7 +17,7 @@ def parses(text: str, lang: str) -> bool:
         if lang == "python":
             with warnings.catch_warnings():
                 warnings.simplefilter("ignore")
-                ast.parse(text)
+                ast.parse(text.removeprefix("\ufeff"))
         elif lang == "php":
             php.check(text)
         elif lang == "sh":

@@ -620,3 +620,63 @@ def prose_pack(spark, root):
 
     d = table(spark, root, "documents").where("text is not null")
     return chunk_files(d.select(F.col("source").alias("repo"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_path"), F.col("text").alias("content")), 500).drop("content")
+
+
+# Further upkeep.
+
+
+@query(f"WITH {_SNAP}, dirty AS (SELECT repo, file_path, h || 'd' AS sha FROM cur WHERE length(file_path) % 9 = 0 UNION SELECT repo, file_path || '.new', h FROM cur WHERE length(file_path) % 23 = 0) SELECT repo, file_path, coalesce(d.sha, c.h) AS sha FROM cur c FULL JOIN dirty d USING (repo, file_path)")
+def dirty_overlay(spark, root):
+    """The committed tree with the working copy's changed and new files over it."""
+    _, cur = _snapshots(spark, root)
+    n = F.length("file_path")
+    dirty = cur.where(n % 9 == 0).select("repo", "file_path", F.concat("h", F.lit("d")).alias("sha")).union(cur.where(n % 23 == 0).select("repo", F.concat("file_path", F.lit(".new")), "h")).distinct()
+    return cur.join(dirty, ["repo", "file_path"], "full").select("repo", "file_path", F.coalesce("sha", "h").alias("sha"))
+
+
+@query(
+    """WITH c AS (SELECT DISTINCT id, coalesce(branches, '') AS branches FROM chunks)
+SELECT id, branches, array_to_string(list_sort(list_distinct(list_filter(string_split(branches, ',') || ['nightly'], lambda b: b <> ''))), ',') AS updated FROM c"""
+)
+def branch_only_update(spark, root):
+    """Unchanged chunks gain a branch; the list is kept sorted and without repeats."""
+    c = table(spark, root, "chunks").select("id", F.coalesce("branches", F.lit("")).alias("branches")).distinct()
+    merged = F.array_sort(F.array_union(F.filter(F.split("branches", ","), lambda b: b != ""), F.array(F.lit("nightly"))))
+    return c.select("id", "branches", F.array_join(merged, ",").alias("updated"))
+
+
+@query("SELECT file_path, content_hash FROM (SELECT DISTINCT repo, file_path, content_hash FROM file_hashes WHERE branch = 'develop')")
+def hashes_of_branch(spark, root):
+    return table(spark, root, "file_hashes").where("branch = 'develop'").select("repo", "file_path", "content_hash").distinct().select("file_path", "content_hash")
+
+
+@query("SELECT source_chunk_id, list_sort(list(DISTINCT target_symbol)) AS targets, count(*) AS n FROM refs WHERE source_chunk_id IS NOT NULL AND target_symbol IS NOT NULL GROUP BY source_chunk_id")
+def refs_of_chunks(spark, root):
+    """The distinct targets and the number of reference rows of each chunk; one group is one chunk's references."""
+    r = table(spark, root, "refs").where("source_chunk_id is not null and target_symbol is not null")
+    return r.groupBy("source_chunk_id").agg(F.array_sort(F.collect_set("target_symbol")).alias("targets"), F.count("*").alias("n"))
+
+
+@query("SELECT repo, target_symbol, min(ref_id) AS first_ref FROM refs WHERE target_symbol IS NOT NULL GROUP BY repo, target_symbol")
+def ordered_distinct_targets(spark, root):
+    return table(spark, root, "refs").where("target_symbol is not null").groupBy("repo", "target_symbol").agg(F.min("ref_id").alias("first_ref"))
+
+
+@query("SELECT DISTINCT repo, file_path FROM file_hashes EXCEPT SELECT DISTINCT repo, file_path FROM chunks")
+def files_without_chunks(spark, root):
+    f, c = (table(spark, root, n).select("repo", "file_path").distinct() for n in ("file_hashes", "chunks"))
+    return f.exceptAll(c)
+
+
+@query("SELECT a.repo AS repo_a, b.repo AS repo_b FROM repos a JOIN repos b ON a.default_branch = b.default_branch AND a.main_lang = b.main_lang AND a.repo < b.repo")
+def same_identity(spark, root):
+    """Pairs of registered repositories with the same branch and language (a fixed table of 24 rows)."""
+    r = table(spark, root, "repos")
+    a, b = r.alias("a"), r.alias("b")
+    return a.join(b, (F.col("a.default_branch") == F.col("b.default_branch")) & (F.col("a.main_lang") == F.col("b.main_lang")) & (F.col("a.repo") < F.col("b.repo"))).select(F.col("a.repo").alias("repo_a"), F.col("b.repo").alias("repo_b"))
+
+
+@query("SELECT symbol_type, count(*) AS n_chunks, round(avg(end_line - start_line + 1), 6) AS mean_lines, max(end_line - start_line + 1) AS most_lines FROM (SELECT DISTINCT id, symbol_type, start_line, end_line FROM chunks) GROUP BY symbol_type")
+def chunks_by_type(spark, root):
+    c = table(spark, root, "chunks").select("id", "symbol_type", (F.col("end_line") - F.col("start_line") + 1).alias("lines"), "start_line", "end_line").distinct()
+    return c.groupBy("symbol_type").agg(F.count("*").alias("n_chunks"), F.round(F.avg("lines"), 6).alias("mean_lines"), F.max("lines").alias("most_lines"))

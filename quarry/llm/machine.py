@@ -63,8 +63,8 @@ def shape(text: str) -> str | None:
         return None
     code = sum(map(len, lines))
     literal = sum(len(m.group()) for m in _LITERAL.finditer(text))
-    words = len(_STATEMENT.findall(text))
-    if code > 200 and literal > 0.5 * len(text) and words <= 2 + code / 400 or code > 400 and literal > 0.85 * len(text):
+    words = len(_STATEMENT.findall(_LITERAL.sub("", text)))
+    if code > 200 and literal > 0.5 * len(text) and words <= 2 or code > 400 and literal > 0.85 * len(text):
         return "data"
     if len(_TABLE.findall(text)) >= 8:
         return "generated"

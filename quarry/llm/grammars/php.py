@@ -185,7 +185,7 @@ class Parser:
             return p + 1
         if k == "#[":
             return self.statement(self.attributes(p)) if self.k[self.attributes(p)] not in ("fn",) else self.semicolon(self.expression(p))
-        if k == "v":
+        if k == "v" or n == "::" and k in _KEYWORDS:
             return self.semicolon(self.expression(p))
         if k == "if":
             p = self.parens(p + 1)

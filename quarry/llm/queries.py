@@ -102,6 +102,15 @@ p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rho, 12)
 """
 
 
+_P6 = """
+WITH c AS (SELECT DISTINCT id, lower(content) AS t FROM chunks WHERE coalesce(trim(parent_chunk_id), '') = '' AND id IS NOT NULL AND content IS NOT NULL),
+w AS (SELECT id, word, count(*) AS c FROM (SELECT id, unnest(regexp_extract_all(t, '[a-z0-9_]+')) AS word FROM c) GROUP BY ALL),
+z AS (SELECT id, sum(c) AS n FROM w GROUP BY id HAVING sum(c) >= 50),
+v AS (SELECT w.id, word, c, n FROM w JOIN z USING (id)),
+s AS (SELECT a.id AS x, b.id AS y, any_value(a.n) AS na, any_value(b.n) AS nb, sum(least(a.c, b.c)) AS common FROM v a JOIN v b ON a.word = b.word AND a.id < b.id AND a.n >= 0.8e0 * b.n AND b.n >= 0.8e0 * a.n GROUP BY a.id, b.id)
+SELECT x AS chunk_id_a, y AS chunk_id_b FROM s WHERE common / (na + nb - common) >= 0.8e0"""
+
+
 def queries() -> dict:
     return {"p1_found": p1_found, "p1_rates": p1_rates, "p2_found": p2_found, "p2_validation": p2_validation, "p3_found": p3_found, "p3_ranking": p3_ranking, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_ids": p8_ids, "p9_packing": p9_packing, "p9_fill": p9_fill, "p10_found": p10_found, "p10_rates": p10_rates}
 
@@ -109,5 +118,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": _P3 + "SELECT query_id, chunk_id FROM p WHERE position <= 5",
+        "p6_found": _P6,
         "p3_ranking": _P3 + "SELECT query_id, chunk_id, round(rho, 9) AS rho, position FROM p",
     }

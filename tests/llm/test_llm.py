@@ -283,13 +283,14 @@ def test_hostile_tables(spark, hostile_tables, name):
     assert rows or name == "p9_packing"
 
 
-def test_p3_against_sql(spark):
+def test_against_sql(spark):
     import duckdb
 
     from quarry.llm.queries import oracle_sql, queries
 
     con = duckdb.connect()
-    con.sql("create view search_rows as select * from '/root/testdata/sf0.001/search_rows.parquet'")
+    for t in ("search_rows", "chunks"):
+        con.sql(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
     for name, sql in oracle_sql().items():
         df = queries()[name](spark, "/root/testdata/sf0.001")
         rel = con.sql(sql)

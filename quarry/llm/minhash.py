@@ -22,6 +22,8 @@ HASHES = ROWS * BANDS
 WORDS = -(-HASHES * BITS // 64)
 #: Pairs whose estimate is below this are not verified: five standard deviations below 0.8.
 LEAST_ESTIMATE = 0.6
+#: Ids that are broadcast at most (about 20 MB); more of them meet the texts in a shuffle.
+FEW_IDS = 200_000
 _WORD = re.compile(r"[a-z0-9_]+")
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -200,15 +202,16 @@ def similar_pairs(rows: DataFrame, bodies: DataFrame, threshold: float, multiset
     """(a1, a2, b1, b2, rep_a, rep_b, similarity): candidate pairs of digests with at least the threshold.
 
     The packed bits estimate first, then the texts decide: those of the representatives that are left are fetched
-    from `bodies` (id, text), in one pass whose other side Spark broadcasts if it is small, and compared exactly. Rows of an id that comes twice in bodies are compared twice and made one."""
+    from `bodies` (id, text), in one pass to which their ids are broadcast where a count shows them to be few, and compared exactly. Rows of an id that comes twice in bodies are compared twice and made one."""
     docs = representatives(rows)
-    side = lambda x: docs.select(F.col("d1").alias(f"{x}1"), F.col("d2").alias(f"{x}2"), *[F.col(k).alias(f"{k}_{x}") for k in ("rep", "packed", "n")])
-    p = candidate_pairs(docs).join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
+    side = lambda x, *c: docs.select(F.col("d1").alias(f"{x}1"), F.col("d2").alias(f"{x}2"), *[F.col(k).alias(f"{k}_{x}") for k in c])
+    p = candidate_pairs(docs).join(side("a", "packed", "n"), ["a1", "a2"]).join(side("b", "packed", "n"), ["b1", "b2"])
     ratio = F.least("n_a", "n_b") / F.greatest("n_a", "n_b")
-    p = p.where((ratio >= threshold) & (estimate(F.col("packed_a"), F.col("packed_b")) >= LEAST_ESTIMATE)).select("a1", "a2", "b1", "b2", "rep_a", "rep_b")
+    p = p.where((ratio >= threshold) & (estimate(F.col("packed_a"), F.col("packed_b")) >= LEAST_ESTIMATE)).select("a1", "a2", "b1", "b2")
+    p = p.join(side("a", "rep"), ["a1", "a2"]).join(side("b", "rep"), ["b1", "b2"]).select("a1", "a2", "b1", "b2", "rep_a", "rep_b")
     p = cut(p)
     needed = p.select(F.col("rep_a").alias("id")).unionByName(p.select(F.col("rep_b").alias("id"))).distinct()
-    texts = cut(bodies.join(needed, "id", "left_semi").select("id", "text"))
+    texts = cut(bodies.join(F.broadcast(needed) if needed.count() <= FEW_IDS else needed, "id", "left_semi").select("id", "text"))
     text = lambda x: texts.select(F.col("id").alias(f"rep_{x}"), F.col("text").alias(f"text_{x}"))
     p = p.join(text("a"), "rep_a").join(text("b"), "rep_b").select("a1", "a2", "b1", "b2", "rep_a", "rep_b", "text_a", "text_b")
 

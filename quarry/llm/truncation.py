@@ -33,6 +33,8 @@ STRAY, STRAY_AFTER = 14, 5
 FORMULA, FORMULA_SHARE, FORMULA_WORDS = 3, 0.002, 5
 #: A word seen OFTEN inside lines ends fewer than RARELY of them: a text that ends in it was cut.
 OFTEN, RARELY = 30, 0.004
+#: A last word is a fragment if it stands inside texts at most this many times as often as the words it begins do.
+FRAGMENT = 0.002
 
 _TERMINAL = re.compile(r"""[.!?。！？؟।…]['"»”’)\]`*_]*$""")
 _SURE = re.compile(r"\s*(?:\[\s*(?:\.\.\.|…|truncated|cut|snip|more|continued|clipped)\s*\]|\((?:more|truncated|cut|continued|snip)(?:\s*\.\.\.)?\)|<(?:cut|truncated|snip|more)>|�+)$", re.I)
@@ -134,14 +136,18 @@ TAILS = pa.schema([
 TAILS_DDL = "doc_id long, source string, kind string, digest long, chars int, bytes int, code boolean, open boolean, mark string, terminal boolean, forms array<string>, line string, word string, n_words int, whole boolean"
 
 
+def unmarked(text: str) -> tuple[str, str]:
+    """(mark, rest): sure or dots where a mark of omission stands at the text's end, else empty; the text before it."""
+    if m := _SURE.search(text[-40:]):
+        return "sure", text[: len(text) - len(m.group())].rstrip()
+    if m := _DOTS.search(text[-40:]):
+        return "dots", text[: len(text) - len(m.group())].rstrip()
+    return "", text
+
+
 def tail(text: str, kind: str | None, lang: str | None) -> tuple:
     """What TAILS has of a text from `code` on."""
-    t = text.rstrip().rstrip("​‌‍﻿").rstrip()
-    mark = ""
-    if m := _SURE.search(t[-40:]):
-        mark, t = "sure", t[: len(t) - len(m.group())].rstrip()
-    elif m := _DOTS.search(t[-40:]):
-        mark, t = "dots", t[: len(t) - len(m.group())].rstrip()
+    mark, t = unmarked(text.rstrip().rstrip("​‌‍﻿").rstrip())
     code = (kind or "").strip().lower() == "source_file"
     fences = len(re.findall(r"^[ \t>]*```", t, re.M))
     opened = unfinished(text if mark != "sure" else t, lang) if code else fences % 2 == 1
@@ -184,14 +190,14 @@ def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over (text): word, how often it stands before the last word of a text, and how often of these at
+    """For mapInArrow over (text): word, how often it stands before the last word of a text (marks of omission left out), and how often of these at
     the end of a line that is too short to be wrapped; summed per batch."""
     for batch in batches:
         seen: Counter = Counter()
         ends: Counter = Counter()
         for t in batch.column(0).to_pylist():
             if t:
-                t = t.rstrip()
+                t = unmarked(t.rstrip().rstrip("​‌‍﻿").rstrip())[1]
                 seen.update(_WORD.findall(t)[:-1])
                 ends.update([m.group(1) for x in t.split("\n")[:-1] if 0 < len(x) < 50 and (m := _LINE_END.search(x[-40:]))])
         words = list(seen)
@@ -290,8 +296,8 @@ def truncated(documents: DataFrame) -> DataFrame:
     asked = t.where(~F.col("terminal") & (F.col("word") != "")).select("word").distinct()
     words = cut(documents.select("text").mapInArrow(vocabulary, "word string, n long, ends long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")))
     inside = asked.join(words, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("inside"), F.coalesce("ends", F.lit(0)).alias("ends"))
-    starts = words.where((F.col("n") >= 2) & (F.length("word").between(2, 40))).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda k: F.substring(F.col("word"), F.lit(1), k))).alias("word"))
-    broken = inside.where("inside = 0").join(starts.distinct(), "word", "left_semi").select("word")
+    starts = words.where((F.col("n") >= 2) & (F.length("word").between(2, 40))).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda k: F.substring(F.col("word"), F.lit(1), k))).alias("word"), "n")
+    broken = inside.join(starts.groupBy("word").agg(F.sum("n").alias("begun")), "word").where(F.col("inside") <= FRAGMENT * F.col("begun")).select("word")
     never = inside.where((F.col("inside") >= OFTEN) & (F.col("ends") < RARELY * F.col("inside"))).select("word")
     closing = t.where(~F.col("terminal") & (F.col("word") != "")).groupBy("kind", "word").agg(F.countDistinct("digest").alias("word_n")).join(F.broadcast(kinds), "kind")
     closing = closing.where(F.col("word_n") >= F.greatest(F.lit(float(FORMULA)), FORMULA_SHARE * F.col("kind_n"))).join(inside, "word").where("inside <= word_n").select("kind", "word", F.lit(True).alias("closing"))

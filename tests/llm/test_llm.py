@@ -262,6 +262,14 @@ def test_truncated_documents(spark):
     assert {i for i in got if i < 200} == set() and {200 + i for i in range(8)} <= set(got) and {300, 301} <= set(got) and not {302, 303, 304} & set(got)
 
 
+def test_fragments_that_also_stand_inside_texts(spark):
+    lasts = ["north", "south", "east", "west", "here", "there", "soon", "later"]
+    rows = [(i, f"The {lasts[i % 8]} thing is then thought through there.\n\n* fix the {lasts[i // 8 % 8]} item {i} {lasts[i % 8]}") for i in range(200)]
+    rows += [(300, "The thing is done.\n\n* fix the south item 7 th"), (301, "Only the th element counts."), (302, "The thing was th [truncated]"), (303, "The thing is done.\n\n* fix the south item 8 north")]
+    df = spark.createDataFrame([(i, t, "en", "s", "prose") for i, t in rows], "doc_id long, text string, lang string, source string, kind string")
+    assert {r["doc_id"]: r["reason"] for r in truncation.truncated(df).collect()} == {300: "ending", 302: "mark"}
+
+
 NAMES = ["p1_found", "p1_rates", "p2_found", "p3_found", "p3_ranking", "p6_found", "p6_groups", "p7_found", "p7_pairs", "p8_ids", "p9_packing", "p10_found", "p10_rates"]
 
 

@@ -270,6 +270,14 @@ def test_fragments_that_also_stand_inside_texts(spark):
     assert {r["doc_id"]: r["reason"] for r in truncation.truncated(df).collect()} == {300: "ending", 302: "mark"}
 
 
+def test_every_delivery_of_a_cut_copy(spark):
+    full = " ".join(f"word{i}" for i in range(60)) + "."
+    short = full[: full.index(" word55")]
+    rows = [(1, full), (2, full), (3, short), (4, short), (5, short.upper()), (6, "Some other text of ten words that has no copy.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["id"] for r in truncation.early_ends(df, "doc_id", "text").collect()) == ["3", "4", "5"]
+
+
 NAMES = ["p1_found", "p1_rates", "p2_found", "p3_found", "p3_ranking", "p6_found", "p6_groups", "p7_found", "p7_pairs", "p8_ids", "p9_packing", "p10_found", "p10_rates"]
 
 

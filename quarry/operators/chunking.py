@@ -16,9 +16,9 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from quarry.functions.lexing import closing, lex
+from quarry.sources.session import map_arrow
 
 MAX_CHARS, LEAST_CHARS, OVERLAP = 6000, 20, 8
 PROSE = {"txt", "rst", "text"}
@@ -360,4 +360,4 @@ def chunk_files(files: DataFrame, limit: int = MAX_CHARS) -> DataFrame:
             cols = list(zip(*rows, strict=True)) if rows else [[]] * len(_FIELDS)
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if t == "int" else pa.string()) for v, (_, t) in zip(cols, _FIELDS, strict=True)], names=[n for n, _ in _FIELDS])
 
-    return files.select(F.col("repo"), F.col("file_path"), F.col("content")).mapInArrow(run, CHUNKS_DDL)
+    return map_arrow(files.select("repo", "file_path", "content"), run, CHUNKS_DDL)

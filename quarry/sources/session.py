@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -25,3 +25,9 @@ def ship(spark: SparkSession) -> None:
             z.write(p, str(p.relative_to(root.parent)))
     spark.sparkContext.addPyFile(name)
     _shipped.add(app)
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow for functions of this package: whatever df was read by, the executors have the package first."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)

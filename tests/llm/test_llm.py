@@ -98,14 +98,36 @@ def test_machine_made_evidence():
     assert e("src/a.py", "X = [\n" + "    1, 22, 333, 4444, 55555,\n" * 30 + "]\n") == "data" and e("a.js", "") is None
 
 
+def test_opening_comments_of_any_length():
+    long = "/*\n" + " * A note on the licence of this module and its parts.\n" * 40 + " * Copyright (c) 2019 the lib authors\n * Released under the MIT license\n */\n"
+    assert machine.evidence("src/a.php", "<?php\n\n" + long + "class A\n{\n}\n") == "vendored" and machine.header("#!/bin/sh\n# a\n\n# b\nx=1 # c\n") == "#!/bin/sh\n# a\n\n# b"
+    assert machine.evidence("src/a.js", HAND + "// Code generated by xgen. DO NOT EDIT.\n") is None and machine.header("") == ""
+    assert "generated" not in machine.mask("// generated by x\n" + HAND).split("\n")[0] and machine.mask(HAND).count("return") == 2
+
+
 def test_svm_separates_by_body_and_path():
     rng = random.Random(1)
     words = lambda v: " ".join(rng.choice(v) for _ in range(60))
     rows = [machine.features(f"src/{i}/a.js", words(["alpha", "beta", "gamma"])) for i in range(60)] + [machine.features(f"lib/{i}/b.js", words(["delta", "omega", "sigma"])) for i in range(60)]
-    w, b = machine.fit_svm(rows, [0] * 60 + [1] * 60)
-    score = lambda p, t: float(w[machine.features(p, t)[0]] @ machine.features(p, t)[1]) + b
-    assert score("x/a.js", words(["delta", "omega"])) > 0 > score("x/a.js", words(["alpha", "beta"]))
-    assert "generated" not in machine.mask("// generated by x\n" + HAND).split("\n")[0] and machine.mask(HAND).count("return") == 2
+    m = machine.fit_svm(rows, [0] * 60 + [1] * 60)
+    assert m.score("x/a.js", words(["delta", "omega"])) > 0 > m.score("x/a.js", words(["alpha", "beta"]))
+
+
+def test_the_classifier_decides_without_evidence(spark):
+    """Fitted on one half of the repositories it finds machine-made files of the others by itself; evidence is asked within the margin only."""
+    from quarry.sources.tables import table
+
+    files = machine.source_files(table(spark, "/root/testdata/sf0.1", "chunks")).persist()
+    half = F.pmod(F.xxhash64("repo"), F.lit(2)) == 0
+    model, figures = machine.train(files.where(half))
+    rest = files.where(~half)
+    truth = {(r[0], r[1]) for r in machine.classify(rest, machine.Model(model.weights * 0, 0.0)).collect()}
+    alone = {(r[0], r[1]) for r in machine.classify(rest, model, check=False).collect()}
+    assert len(alone & truth) >= 0.9 * len(truth) and len(alone & truth) >= 0.9 * len(alone) and len(truth) > 100
+    both = machine.classify(rest, model).collect()
+    assert len({(r[0], r[1]) for r in both} ^ truth) <= 0.01 * len(truth) and sum(r["checked"] for r in both) < 0.3 * len(both)
+    assert figures["whole_recall"] >= 0.9 and figures["whole_precision"] >= 0.9 and figures["masked_precision"] >= 0.9
+    files.unpersist()
 
 
 DOC = [

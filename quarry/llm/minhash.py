@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.sources.session import map_arrow
 from quarry.sources.tables import cut
 
 #: Bits kept of each minimum. Two unequal minima agree in them with probability 2**-BITS.
@@ -22,8 +23,8 @@ HASHES = ROWS * BANDS
 WORDS = -(-HASHES * BITS // 64)
 #: Pairs whose estimate is below this are not verified: five standard deviations below 0.8.
 LEAST_ESTIMATE = 0.6
-#: Ids that are broadcast at most (about 20 MB); more of them meet the texts in a shuffle.
-FEW_IDS = 200_000
+#: Documents of a band that meet in one cell; a band with more is cut into blocks, every two of which meet in a cell of their own.
+BLOCK = 1024
 _WORD = re.compile(r"[a-z0-9_]+")
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -106,7 +107,7 @@ def signatures(elements: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np
 
 
 SIGNED = T.StructType([
-    T.StructField("id", T.StringType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("n", T.IntegerType()),
+    T.StructField("id", T.StringType()), T.StructField("h", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("n", T.IntegerType()),
     T.StructField("packed", T.ArrayType(T.LongType())), T.StructField("bands", T.ArrayType(T.LongType())),
 ])
 
@@ -131,15 +132,15 @@ def exact(a: str, b: str, multiset: bool = True, shingle: int = 1) -> float:
 
 
 def signed(least: int, multiset: bool = True, shingle: int = 1):
-    """For mapInArrow over (id, text): rows of SIGNED for texts with at least `least` words.
+    """For mapInArrow over (id, h, text): rows of SIGNED for texts with at least `least` words; h, a hash of the text, is handed on.
 
     Elements are the words as a multiset or a set, or the shingles as a set; d1, d2 are a 128-bit digest of them
     (equal sets, equal digest), n is their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sets = [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ids, hashes, sets = [], [], []
+            for i, h, t in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if t is None or i is None:
                     continue
                 words = _WORD.findall(t.lower())
@@ -148,6 +149,7 @@ def signed(least: int, multiset: bool = True, shingle: int = 1):
                 e = multiset_elements(words) if multiset and shingle == 1 else set_elements(words, shingle)
                 if len(e):
                     ids.append(i)
+                    hashes.append(h)
                     sets.append(e)
             if not ids:
                 continue
@@ -159,7 +161,7 @@ def signed(least: int, multiset: bool = True, shingle: int = 1):
             d2 = np.bitwise_xor.reduceat(mix(elements + np.uint64(0x5851F42D4C957F2D)), starts[:-1])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids, pa.string()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(sizes.astype(np.int32)), _lists(packed), _lists(bands),
+                    pa.array(ids, pa.string()), pa.array(hashes, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(sizes.astype(np.int32)), _lists(packed), _lists(bands),
                 ],
                 names=[f.name for f in SIGNED],
             )
@@ -178,42 +180,53 @@ def estimate(a: Column, b: Column) -> Column:
 
 
 def candidate_pairs(docs: DataFrame) -> DataFrame:
-    """(a1, a2, b1, b2): digests of distinct documents that share a band, the smaller first, each pair once.
-
-    docs has one row per digest. The bands are exploded with the digest only (32 bytes a row); a band that many
-    documents share is split by the adaptive skew join."""
-    e = docs.select("d1", "d2", F.explode("bands").alias("band"))
+    """(a1, b1): first digest halves of documents that share a band, the smaller first, each pair once.
+
+    docs has one row per digest; two digests with the same first half only add candidates. Bands are counted with a
+    partial sum and those of a single document go before anything is paired. A band of more than BLOCK documents is cut
+    into blocks by hash; each document goes to a cell for every two blocks with its own among them, so no task holds more
+    than the pairs of two blocks at a time, and every pair meets in exactly one cell."""
+    rows = docs.select("d1", F.explode("bands").alias("band"))
+    shared = rows.groupBy("band").agg(F.count("*").alias("k")).where("k > 1").select("band", F.ceil(F.col("k") / BLOCK).cast("int").alias("s"))
+    e = rows.join(shared, "band").withColumn("own", F.pmod(F.xxhash64("d1"), F.col("s")).cast("int"))
+    e = e.select("band", "d1", "own", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("other"))
+    e = e.select("band", "d1", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     a, b = e.alias("a"), e.alias("b")
-    less = (F.col("a.d1") < F.col("b.d1")) | ((F.col("a.d1") == F.col("b.d1")) & (F.col("a.d2") < F.col("b.d2")))
-    return a.join(b, (F.col("a.band") == F.col("b.band")) & less).select(
-        F.col("a.d1").alias("a1"), F.col("a.d2").alias("a2"), F.col("b.d1").alias("b1"), F.col("b.d2").alias("b2")
-    ).distinct()
+    cell = (F.col("a.band") == F.col("b.band")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
+    once = (F.col("a.i") == F.col("a.j")) | (F.col("a.own") != F.col("b.own"))
+    return a.join(b, cell & once & (F.col("a.d1") < F.col("b.d1"))).select(F.col("a.d1").alias("a1"), F.col("b.d1").alias("b1")).distinct()
 
 
 PAIR = "a1 long, a2 long, b1 long, b2 long, rep_a string, rep_b string"
 
 
 def representatives(rows: DataFrame) -> DataFrame:
-    """One row per digest of SIGNED rows, with `rep`, its least id."""
-    return rows.groupBy("d1", "d2").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "packed", "bands")])
+    """One row per digest of SIGNED rows, with `rep`, its least id, and `h`, the hash of that one's text."""
+    return rows.groupBy("d1", "d2").agg(F.min(F.struct("id", "h")).alias("r"), *[F.first(c).alias(c) for c in ("n", "packed", "bands")]).select("d1", "d2", "r.h", F.col("r.id").alias("rep"), "n", "packed", "bands")
+
+
+def texts_of(wanted: DataFrame, bodies: DataFrame) -> DataFrame:
+    """The rows of bodies (id, h, text) whose (id, h) is wanted, written to the shared folder.
+
+    The keys never travel to all executors: both sides meet in one shuffle, whatever their number."""
+    return cut(bodies.join(wanted.distinct().hint("merge"), ["id", "h"], "left_semi").select("id", "h", "text"))
 
 
 def similar_pairs(rows: DataFrame, bodies: DataFrame, threshold: float, multiset: bool = True, shingle: int = 1) -> DataFrame:
     """(a1, a2, b1, b2, rep_a, rep_b, similarity): candidate pairs of digests with at least the threshold.
 
     The packed bits estimate first, then the texts decide: those of the representatives that are left are fetched
-    from `bodies` (id, text), in one pass to which their ids are broadcast where a count shows them to be few, and compared exactly. Rows of an id that comes twice in bodies are compared twice and made one."""
+    from `bodies` (id, h, text) and compared exactly. h tells the texts of an id apart that came with several."""
     docs = representatives(rows)
     side = lambda x, *c: docs.select(F.col("d1").alias(f"{x}1"), F.col("d2").alias(f"{x}2"), *[F.col(k).alias(f"{k}_{x}") for k in c])
-    p = candidate_pairs(docs).join(side("a", "packed", "n"), ["a1", "a2"]).join(side("b", "packed", "n"), ["b1", "b2"])
+    p = candidate_pairs(docs).join(side("a", "packed", "n"), "a1").join(side("b", "packed", "n"), "b1")
     ratio = F.least("n_a", "n_b") / F.greatest("n_a", "n_b")
     p = p.where((ratio >= threshold) & (estimate(F.col("packed_a"), F.col("packed_b")) >= LEAST_ESTIMATE)).select("a1", "a2", "b1", "b2")
-    p = p.join(side("a", "rep"), ["a1", "a2"]).join(side("b", "rep"), ["b1", "b2"]).select("a1", "a2", "b1", "b2", "rep_a", "rep_b")
+    p = p.join(side("a", "rep", "h"), ["a1", "a2"]).join(side("b", "rep", "h"), ["b1", "b2"]).select("a1", "a2", "b1", "b2", "rep_a", "rep_b", "h_a", "h_b")
     p = cut(p)
-    needed = p.select(F.col("rep_a").alias("id")).unionByName(p.select(F.col("rep_b").alias("id"))).distinct()
-    texts = cut(bodies.join(F.broadcast(needed) if needed.count() <= FEW_IDS else needed, "id", "left_semi").select("id", "text"))
-    text = lambda x: texts.select(F.col("id").alias(f"rep_{x}"), F.col("text").alias(f"text_{x}"))
-    p = p.join(text("a"), "rep_a").join(text("b"), "rep_b").select("a1", "a2", "b1", "b2", "rep_a", "rep_b", "text_a", "text_b")
+    texts = texts_of(p.select(F.col("rep_a").alias("id"), F.col("h_a").alias("h")).unionByName(p.select(F.col("rep_b").alias("id"), F.col("h_b").alias("h"))), bodies)
+    text = lambda x: texts.select(F.col("id").alias(f"rep_{x}"), F.col("h").alias(f"h_{x}"), F.col("text").alias(f"text_{x}"))
+    p = p.join(text("a"), ["rep_a", "h_a"]).join(text("b"), ["rep_b", "h_b"]).select("a1", "a2", "b1", "b2", "rep_a", "rep_b", "text_a", "text_b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,4 +234,4 @@ def similar_pairs(rows: DataFrame, bodies: DataFrame, threshold: float, multiset
             s = pa.array([exact(x, y, multiset, shingle) for x, y in zip(a, b, strict=True)], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], s], names=[*batch.schema.names[:6], "similarity"])
 
-    return p.mapInArrow(verify, PAIR + ", similarity double").where(F.col("similarity") >= threshold).distinct()
+    return map_arrow(p, verify, PAIR + ", similarity double").where(F.col("similarity") >= threshold).distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.components import components
 from quarry.llm.minhash import SIGNED, signed, similar_pairs
+from quarry.sources.session import map_arrow
 from quarry.sources.tables import cut
 
 THRESHOLD, LEAST_WORDS = 0.8, 50
@@ -18,11 +19,16 @@ def whole_chunks(chunks: DataFrame) -> DataFrame:
     return whole.where(F.col("id").isNotNull() & F.col("content").isNotNull())
 
 
+def bodies(chunks: DataFrame) -> DataFrame:
+    """(id, h, text) of the whole chunks; h is a hash of the text."""
+    return whole_chunks(chunks).select("id", F.xxhash64("content").alias("h"), F.col("content").alias("text"))
+
+
 def signed_chunks(chunks: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """SIGNED rows of the whole chunks with at least `least` words, written to the shared folder.
 
     Rows delivered twice stay: they are made one where they are used."""
-    return cut(whole_chunks(chunks).select("id", "content").mapInArrow(signed(least), SIGNED))
+    return cut(map_arrow(bodies(chunks), signed(least), SIGNED))
 
 
 def near_duplicates(chunks: DataFrame, threshold: float = THRESHOLD, least: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -33,9 +39,8 @@ def near_duplicates(chunks: DataFrame, threshold: float = THRESHOLD, least: int
     The whole text counts, of any length.
     """
     rows = signed_chunks(chunks, least)
-    bodies = whole_chunks(chunks).select("id", F.col("content").alias("text"))
     members = rows.groupBy("id").agg(F.min(F.struct("d1", "d2")).alias("d")).select("id", "d.d1", "d.d2")
-    return members, similar_pairs(rows, bodies, threshold)
+    return members, similar_pairs(rows, bodies(chunks), threshold)
 
 
 def id_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -231,13 +231,13 @@ def early_ends(documents: DataFrame, key: str, text: str) -> DataFrame:
     The pairs of digests come from banded min-hashes; the different texts of either digest are aligned from their
     last words back: where the last eight words of one stand in the other before its end and the copy stops inside a
     sentence, it was cut, and with it every document of that very text."""
-    body = documents.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text")).where("text is not null")
+    body = documents.select(F.col(key).cast("string").alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text")).where("text is not null")
     rows = cut(body.mapInArrow(signed(SHINGLE + 3, shingle=SHINGLE), SIGNED))
     linked = cut(similar_pairs(rows, body, THRESHOLD, multiset=False, shingle=SHINGLE).select("a1", "a2", "b1", "b2"))
     digests = linked.select(F.col("a1").alias("d1"), F.col("a2").alias("d2")).unionByName(linked.select(F.col("b1").alias("d1"), F.col("b2").alias("d2"))).distinct()
     members = rows.select("id", "d1", "d2").join(digests, ["d1", "d2"], "left_semi")
-    members = cut(members.join(body.select("id", F.xxhash64("text").alias("copy")), "id"))
-    texts = cut(members.groupBy("d1", "d2", "copy").agg(F.min("id").alias("id")).join(body, "id"))
+    members = cut(members.join(body.select("id", F.col("h").alias("copy")), "id"))
+    texts = cut(members.groupBy("d1", "d2", "copy").agg(F.min("id").alias("id")).join(body.drop("h"), "id"))
     side = lambda x: texts.select(F.col("d1").alias(f"{x}1"), F.col("d2").alias(f"{x}2"), F.col("id").alias(f"id_{x}"), F.col("text").alias(f"text_{x}"))
     both = linked.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
     found = both.select("id_a", "id_b", "text_a", "text_b").mapInArrow(_align, "id string").distinct()

@@ -333,3 +333,18 @@ def test_against_sql(spark):
         df = queries()[name](spark, "/root/testdata/sf0.001")
         rel = con.sql(sql)
         assert sorted(tuple(r) for r in df.select(*rel.columns).collect()) == sorted(rel.fetchall())
+
+
+def test_large_bands_are_cut_into_cells(spark, monkeypatch):
+    """A third of all documents in one band: every pair comes once, no cell holds more than two blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rows = [(i, [7, 100 + i, 200 + i // 3]) for i in range(60)] + [(1000 + i, [3000 + i]) for i in range(120)]
+    got = [(r[0], r[1]) for r in minhash.candidate_pairs(spark.createDataFrame(rows, "d1 long, bands array<long>")).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for i in range(60) for j in range(i + 1, 60)}
+
+
+def test_an_id_with_several_texts_counts_once(spark):
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    df = spark.createDataFrame([("r", "x", a, None), ("r", "x", b, None), ("r", "y", a + " z", None), ("r", "z", b + " z", None)], "repo string, id string, content string, parent_chunk_id string")
+    got = neardup.id_pairs(*neardup.near_duplicates(df)).collect()
+    assert [tuple(r) for r in got] in ([("x", "y")], [("x", "z")])

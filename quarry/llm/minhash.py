@@ -25,6 +25,8 @@ WORDS = -(-HASHES * BITS // 64)
 LEAST_ESTIMATE = 0.6
 #: Documents of a band that meet in one cell; a band with more is cut into blocks, every two of which meet in a cell of their own.
 BLOCK = 1024
+#: Words of 64 bits of the bitmap that texts are looked up in before they are shuffled (8 MB).
+MAP_WORDS = 1 << 19
 _WORD = re.compile(r"[a-z0-9_]+")
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -179,22 +181,31 @@ def estimate(a: Column, b: Column) -> Column:
     return ((1 - unequal / HASHES) - chance) / (1 - chance)
 
 
+def cells(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """rows with the cells (i, j) they meet others in; rows has band and d1, sizes has the number `k` of rows of each band that counts.
+
+    A band of more than BLOCK documents is cut into blocks by hash; each document goes to a cell for every two blocks with
+    its own among them, so no task holds more than the pairs of two blocks at a time."""
+    e = rows.join(sizes.select("band", F.ceil(F.col("k") / BLOCK).cast("int").alias("s")), "band").withColumn("own", F.pmod(F.xxhash64("d1"), F.col("s")).cast("int"))
+    e = e.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    return e.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("s", "other")
+
+
+def meet(a: str, b: str) -> Column:
+    """The condition under which rows of cells() with these aliases meet: every pair of documents does in exactly one cell of a band."""
+    same = (F.col(f"{a}.band") == F.col(f"{b}.band")) & (F.col(f"{a}.i") == F.col(f"{b}.i")) & (F.col(f"{a}.j") == F.col(f"{b}.j"))
+    return same & ((F.col(f"{a}.i") == F.col(f"{a}.j")) | (F.col(f"{a}.own") != F.col(f"{b}.own")))
+
+
 def candidate_pairs(docs: DataFrame) -> DataFrame:
     """(a1, b1): first digest halves of documents that share a band, the smaller first, each pair once.
 
     docs has one row per digest; two digests with the same first half only add candidates. Bands are counted with a
-    partial sum and those of a single document go before anything is paired. A band of more than BLOCK documents is cut
-    into blocks by hash; each document goes to a cell for every two blocks with its own among them, so no task holds more
-    than the pairs of two blocks at a time, and every pair meets in exactly one cell."""
+    partial sum and those of a single document go before anything is paired; the others meet in cells."""
     rows = docs.select("d1", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.count("*").alias("k")).where("k > 1").select("band", F.ceil(F.col("k") / BLOCK).cast("int").alias("s"))
-    e = rows.join(shared, "band").withColumn("own", F.pmod(F.xxhash64("d1"), F.col("s")).cast("int"))
-    e = e.select("band", "d1", "own", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("other"))
-    e = e.select("band", "d1", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    e = cells(rows, rows.groupBy("band").agg(F.count("*").alias("k")).where("k > 1"))
     a, b = e.alias("a"), e.alias("b")
-    cell = (F.col("a.band") == F.col("b.band")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
-    once = (F.col("a.i") == F.col("a.j")) | (F.col("a.own") != F.col("b.own"))
-    return a.join(b, cell & once & (F.col("a.d1") < F.col("b.d1"))).select(F.col("a.d1").alias("a1"), F.col("b.d1").alias("b1")).distinct()
+    return a.join(b, meet("a", "b") & (F.col("a.d1") < F.col("b.d1"))).select(F.col("a.d1").alias("a1"), F.col("b.d1").alias("b1")).distinct()
 
 
 PAIR = "a1 long, a2 long, b1 long, b2 long, rep_a string, rep_b string"
@@ -205,11 +216,17 @@ def representatives(rows: DataFrame) -> DataFrame:
     return rows.groupBy("d1", "d2").agg(F.min(F.struct("id", "h")).alias("r"), *[F.first(c).alias(c) for c in ("n", "packed", "bands")]).select("d1", "d2", "r.h", F.col("r.id").alias("rep"), "n", "packed", "bands")
 
 
-def texts_of(wanted: DataFrame, bodies: DataFrame) -> DataFrame:
-    """The rows of bodies (id, h, text) whose (id, h) is wanted, written to the shared folder.
+def texts_of(wanted: DataFrame, bodies: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and text of the rows of bodies whose keys, h among them, are wanted; written to the shared folder.
 
-    The keys never travel to all executors: both sides meet in one shuffle, whatever their number."""
-    return cut(bodies.join(wanted.distinct().hint("merge"), ["id", "h"], "left_semi").select("id", "h", "text"))
+    A bitmap of h, of MAP_WORDS words whatever the data, tells most other texts apart where they are read; what it lets
+    through meets the wanted keys in one shuffle. The keys themselves never travel to all executors."""
+    wanted = cut(wanted.select(*keys).distinct())
+    place = lambda c: F.shiftrightunsigned(F.col(c), 6).bitwiseAND(MAP_WORDS - 1)
+    bit = lambda c: F.expr(f"shiftleft(1L, cast({c} & 63 as int))")
+    bitmap = wanted.groupBy(place("h").alias("_place")).agg(F.bit_or(bit("h")).alias("_bits"))
+    near = bodies.select(*keys, "text").withColumn("_place", place("h")).join(F.broadcast(bitmap), "_place").where(F.col("_bits").bitwiseAND(bit("h")) != 0)
+    return cut(near.select(*keys, "text").join(wanted.hint("merge"), keys, "left_semi"))
 
 
 def similar_pairs(rows: DataFrame, bodies: DataFrame, threshold: float, multiset: bool = True, shingle: int = 1) -> DataFrame:
@@ -224,7 +241,7 @@ def similar_pairs(rows: DataFrame, bodies: DataFrame, threshold: float, multiset
     p = p.where((ratio >= threshold) & (estimate(F.col("packed_a"), F.col("packed_b")) >= LEAST_ESTIMATE)).select("a1", "a2", "b1", "b2")
     p = p.join(side("a", "rep", "h"), ["a1", "a2"]).join(side("b", "rep", "h"), ["b1", "b2"]).select("a1", "a2", "b1", "b2", "rep_a", "rep_b", "h_a", "h_b")
     p = cut(p)
-    texts = texts_of(p.select(F.col("rep_a").alias("id"), F.col("h_a").alias("h")).unionByName(p.select(F.col("rep_b").alias("id"), F.col("h_b").alias("h"))), bodies)
+    texts = texts_of(p.select(F.col("rep_a").alias("id"), F.col("h_a").alias("h")).unionByName(p.select(F.col("rep_b").alias("id"), F.col("h_b").alias("h"))), bodies, ["id", "h"])
     text = lambda x: texts.select(F.col("id").alias(f"rep_{x}"), F.col("h").alias(f"h_{x}"), F.col("text").alias(f"text_{x}"))
     p = p.join(text("a"), ["rep_a", "h_a"]).join(text("b"), ["rep_b", "h_b"]).select("a1", "a2", "b1", "b2", "rep_a", "rep_b", "text_a", "text_b")
 

@@ -9,22 +9,31 @@ import warnings
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.minhash import SIGNED, signed, similar_pairs
+from quarry.llm.minhash import WordHashes, cells, meet, mix, texts_of
+from quarry.sources.session import map_arrow
 from quarry.sources.tables import cut
 
+#: Words of a shingle, and the share of a copy's shingles that the longer text must have.
 SHINGLE, THRESHOLD = 5, 0.8
+#: Openings of LEAST_OPENING words, twice, four times as many and so on are signed by OPENING_BANDS bands of OPENING_ROWS minima:
+#: equal openings always meet, those of similarity 0.9 but for 0.0002, of 0.8 but for 0.015.
+LEAST_OPENING, OPENING_BANDS, OPENING_ROWS = 8, 8, 4
+#: Different words a task counts before it hands its counts on.
+WORDS_KEPT = 200_000
 #: A length is a field limit if at least LIMIT_ROWS different texts of a source have it and they exceed what the
-#: lengths within LIMIT_REACH of it lead to expect by LIMIT_SIGMAS standard deviations and LIMIT_ROWS; shorter
-#: ones than LIMIT_LEAST are no limits. Cuts that lost white space or part of a word lie up to LIMIT_TRIM below one.
-#: at least LIMIT_PILE texts must lie there.
-LIMIT_ROWS, LIMIT_REACH, LIMIT_SIGMAS, LIMIT_LEAST, LIMIT_TRIM, LIMIT_PILE = 3, 48, 6.0, 100, 7, 12
+#: lengths within LIMIT_REACH of it lead to expect by LIMIT_SIGMAS standard deviations and LIMIT_ROWS. Cuts that lost white space
+#: or part of a word lie up to LIMIT_TRIM below one; at least LIMIT_PILE texts must lie there, and the limit must be LIMIT_TIMES
+#: that distance, as lengths of short texts vary by it of themselves.
+LIMIT_ROWS, LIMIT_REACH, LIMIT_SIGMAS, LIMIT_TRIM, LIMIT_PILE, LIMIT_TIMES = 3, 48, 6.0, 7, 12, 14
 #: A last line's form is a usual ending if this share of its kind's texts, and at least two, end in it (or, where it
 #: begins with a sign, of another kind's); from COMMON_SHARE on its last word is not looked at.
-USUAL_SHARE, COMMON_SHARE, USUAL_WORDS = 0.0075, 0.03, 14
+#: Lines of more than USUAL_WORDS words are sentences, not forms.
+USUAL_SHARE, COMMON_SHARE, USUAL_WORDS = 0.0075, 0.03, 18
 #: Stray characters are looked for among so many leading signs of a last line; up to STRAY_AFTER signs behind them go too.
 STRAY, STRAY_AFTER = 14, 5
 #: Short last lines that recur in so many different texts, and in this share of their kind's, are formulas (thanks, +1), and so are
@@ -43,13 +52,12 @@ _PART = re.compile(r"https?://\S+|\w[\w\-/]*(?:[./\\][\w\-/]+)+|\d+(?:\.\d+)*|\w
 _WORD = re.compile(r"\w+")
 _LINE_END = re.compile(r"\b(\w+)[.,;:!?)\]}`'\"]{0,2}$")
 _STRAY = re.compile(r"[^\x20-\x7e\n\t]|\w{20}|\d[\d.]{7}|\s{3}")
-FORM = 60
 
 
 def form(line: str) -> list[str]:
     """The line's signs: each number as 0, path or address as p, capitalised word as W, other word as w, others themselves."""
     out = []
-    for t in _PART.findall(line.strip())[: FORM + 1]:
+    for t in _PART.findall(line.strip()):
         c = t[0]
         if c.isspace():
             out.append(" ")
@@ -129,11 +137,17 @@ def unfinished(text: str, lang: str | None) -> bool:
     return bool(re.search(r"(?:[=+\-*/<,|&.(\[{]|\b(?:return|const|let|var|new|import|from|function|class|extends)|->|::)$", text.rstrip())) and kind != "sh"
 
 
-TAILS = pa.schema([
-    ("doc_id", pa.int64()), ("source", pa.string()), ("kind", pa.string()), ("digest", pa.int64()), ("chars", pa.int32()), ("bytes", pa.int32()), ("code", pa.bool_()),
-    ("open", pa.bool_()), ("mark", pa.string()), ("terminal", pa.bool_()), ("forms", pa.list_(pa.string())), ("line", pa.string()), ("word", pa.string()), ("n_words", pa.int32()), ("whole", pa.bool_()),
+SURVEY = pa.schema([
+    ("doc_id", pa.int64()), ("source", pa.string()), ("kind", pa.string()), ("h", pa.int64()), ("chars", pa.int32()), ("bytes", pa.int32()), ("code", pa.bool_()),
+    ("open", pa.bool_()), ("mark", pa.string()), ("terminal", pa.bool_()), ("forms", pa.list_(pa.string())), ("line", pa.string()), ("word", pa.string()), ("whole", pa.bool_()),
+    ("size", pa.int32()), ("bands", pa.list_(pa.int64())), ("n", pa.int64()), ("ends", pa.int64()),
 ])
-TAILS_DDL = "doc_id long, source string, kind string, digest long, chars int, bytes int, code boolean, open boolean, mark string, terminal boolean, forms array<string>, line string, word string, n_words int, whole boolean"
+SURVEY_DDL = "doc_id long, source string, kind string, h long, chars int, bytes int, code boolean, open boolean, mark string, terminal boolean, forms array<string>, line string, word string, whole boolean, size int, bands array<long>, n long, ends long"
+
+
+def bare(text: str) -> str:
+    """The text without blanks and characters of no width at its end."""
+    return text.rstrip().rstrip("\u200b\u200c\u200d\ufeff").rstrip()
 
 
 def unmarked(text: str) -> tuple[str, str]:
@@ -146,8 +160,8 @@ def unmarked(text: str) -> tuple[str, str]:
 
 
 def tail(text: str, kind: str | None, lang: str | None) -> tuple:
-    """What TAILS has of a text from `code` on."""
-    mark, t = unmarked(text.rstrip().rstrip("​‌‍﻿").rstrip())
+    """What SURVEY has of a text from `code` to `whole`."""
+    mark, t = unmarked(bare(text))
     code = (kind or "").strip().lower() == "source_file"
     fences = len(re.findall(r"^[ \t>]*```", t, re.M))
     opened = unfinished(text if mark != "sure" else t, lang) if code else fences % 2 == 1
@@ -161,9 +175,9 @@ def tail(text: str, kind: str | None, lang: str | None) -> tuple:
     words = _WORD.findall(line)
     last = _WORD.search(t[-80:][::-1])
     word = last.group()[::-1] if last and last.start() == 0 else ""
-    signs = form(line) if len(words) <= USUAL_WORDS + 4 else []
+    signs = form(line) if len(words) <= USUAL_WORDS else []
     forms = []
-    if 0 < len(signs) <= FORM:
+    if signs:
         stray = max((k for k, x in enumerate(_PART.findall(line.strip())[:STRAY]) if _STRAY.search(x)), default=-1)
         forms = list(dict.fromkeys("".join(signs[k:]).strip() for k in [0, *range(stray + 1, min(stray + 1 + STRAY_AFTER, len(signs)))][: None if stray >= 0 else 1]))
     if mark == "dots":
@@ -172,38 +186,94 @@ def tail(text: str, kind: str | None, lang: str | None) -> tuple:
     else:
         key = re.sub(r"\d+", "0", line.strip()) if len(words) <= 4 else ""
     ends = bool(_TERMINAL.search(t[-12:])) or bool(re.search(r"(?:^|\s)\|$", t[-3:]) and line.lstrip().startswith("|"))
-    return code, opened, mark, ends, forms, key[:80] or None, word, len(words), t.endswith("```") and fences % 2 == 0
+    return code, opened, mark, ends, forms, key or None, word, t.endswith("```") and fences % 2 == 0
+
+
+class _LowerHashes(WordHashes):
+    def __missing__(self, word: str) -> int:
+        low = word.lower()
+        if low != word:
+            h = self[word] = self[low]
+            return h
+        return super().__missing__(word)
+
+
+_HASHES = _LowerHashes()
+_MULTIPLY = (mix(np.arange(1, OPENING_BANDS * OPENING_ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)).astype(np.uint64)
+
+
+def openings(texts: list[list[str]]) -> list[np.ndarray]:
+    """The bands of every text (as words): OPENING_BANDS for its first LEAST_OPENING words, then for twice as many, as far as it goes.
 
+    The minima of an opening are those of the one before and of the shingles that came in addition, so all openings of
+    a text cost one pass over its shingles; shingles beyond the last opening are not hashed."""
+    sets, starts, rungs, at = [], [], [], 0
+    for words in texts:
+        n = max(0, (len(words) // LEAST_OPENING).bit_length())
+        rungs.append(n)
+        if not n:
+            continue
+        h = _HASHES.of(words[: LEAST_OPENING << (n - 1)])
+        x = h[: len(h) - SHINGLE + 1]
+        for i in range(1, SHINGLE):
+            x = mix(x * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - SHINGLE + 1 + i])
+        sets.append(x)
+        starts += [at + (0 if not k else (LEAST_OPENING << (k - 1)) - SHINGLE + 1) for k in range(n)]
+        at += len(x)
+    if not sets:
+        return [np.empty(0, dtype=np.int64) for _ in texts]
+    x, first = np.concatenate(sets), np.array(starts)
+    low = np.empty((len(_MULTIPLY), len(first)), dtype=np.uint64)
+    for i, m in enumerate(_MULTIPLY):
+        low[i] = np.minimum.reduceat(mix(x * m), first)
+    rung = np.concatenate([np.arange(n) for n in rungs if n])
+    for k in range(1, int(rung.max()) + 1):
+        here = np.flatnonzero(rung == k)
+        low[:, here] = np.minimum(low[:, here], low[:, here - 1])
+    bands = np.empty((len(first), OPENING_BANDS), dtype=np.uint64)
+    for b in range(OPENING_BANDS):
+        h = mix((rung * OPENING_BANDS + b + 1).astype(np.uint64))
+        for i in range(b * OPENING_ROWS, (b + 1) * OPENING_ROWS):
+            h = mix(h ^ low[i])
+        bands[:, b] = h
+    flat, ends = bands.view(np.int64).reshape(-1), np.cumsum(rungs) * OPENING_BANDS
+    return [flat[e - n * OPENING_BANDS : e] for n, e in zip(rungs, ends, strict=True)]
+
+
+def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over (doc_id, h, text, source, kind, lang), one pass over the texts: SURVEY of every text that is not blank, and rows of words.
+
+    A text's `size` is its number of words and `bands` are those of its openings, without a mark of omission. A row of a
+    word has no doc_id but `n`, how often the word stands before the last word of a text (marks left out), and `ends`, how
+    often of these at the end of a line that is too short to be wrapped; each task sums its words."""
+    seen: Counter = Counter()
+    ends: Counter = Counter()
+
+    def counted() -> pa.RecordBatch:
+        words = list(seen)
+        cols = {"word": words, "n": list(seen.values()), "ends": [ends.get(w, 0) for w in words]}
+        out = pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(len(words), f.type) for f in SURVEY], schema=SURVEY)
+        seen.clear()
+        ends.clear()
+        return out
 
-def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over (doc_id, text, source, kind, lang): TAILS of every text that is not blank."""
     for batch in batches:
-        out = []
-        for i, t, source, kind, lang in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        out, texts = [], []
+        for i, h, t, source, kind, lang in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             if t is None or not t.strip():
                 continue
-            raw = t.encode("utf-8", "replace")
-            digest = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
-            out.append((i, source, (kind or "").strip().lower(), digest, len(t), len(raw), *tail(t, kind, lang)))
+            u = unmarked(bare(t))[1]
+            words = _WORD.findall(u)
+            seen.update(words[:-1])
+            ends.update([m.group(1) for x in u.split("\n")[:-1] if 0 < len(x) < 50 and (m := _LINE_END.search(x[-40:]))])
+            texts.append(words)
+            out.append((i, source, (kind or "").strip().lower(), h, len(t), len(t.encode("utf-8", "replace")), *tail(t, kind, lang), len(words)))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), TAILS, strict=True)], schema=TAILS)
-
-
-def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over (text): word, how often it stands before the last word of a text (marks of omission left out), and how often of these at
-    the end of a line that is too short to be wrapped; summed per batch."""
-    for batch in batches:
-        seen: Counter = Counter()
-        ends: Counter = Counter()
-        for t in batch.column(0).to_pylist():
-            if t:
-                t = unmarked(t.rstrip().rstrip("​‌‍﻿").rstrip())[1]
-                seen.update(_WORD.findall(t)[:-1])
-                ends.update([m.group(1) for x in t.split("\n")[:-1] if 0 < len(x) < 50 and (m := _LINE_END.search(x[-40:]))])
-        words = list(seen)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(words, pa.string()), pa.array(list(seen.values()), pa.int64()), pa.array([ends.get(w, 0) for w in words], pa.int64())], names=["word", "n", "ends"]
-        )
+            cols = [*zip(*out, strict=True), openings(texts), None, None]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if c is not None else pa.nulls(len(out), f.type) for c, f in zip(cols, SURVEY, strict=True)], schema=SURVEY)
+        if len(seen) > WORDS_KEPT:
+            yield counted()
+    yield counted()
 
 
 def field_limits(t: DataFrame) -> DataFrame:
@@ -211,7 +281,7 @@ def field_limits(t: DataFrame) -> DataFrame:
 
     exact: at that very length; else the lengths LIMIT_TRIM below it pile up together, as trimmed cuts do, and
     LIMIT_TRIM above it there is next to nothing."""
-    sizes = t.select("source", "digest", F.explode(F.map_from_arrays(F.array(F.lit("chars"), F.lit("bytes")), F.array("chars", "bytes"))).alias("unit", "length")).distinct()
+    sizes = t.select("source", "h", F.explode(F.map_from_arrays(F.array(F.lit("chars"), F.lit("bytes")), F.array("chars", "bytes"))).alias("unit", "length")).distinct()
     at = sizes.groupBy("source", "unit", "length").agg(F.count("*").alias("n"))
     span = lambda a, b: F.coalesce(F.sum("n").over(Window.partitionBy("source", "unit").orderBy("length").rangeBetween(a, b)), F.lit(0))
     beyond = lambda n, usual: (n >= LIMIT_ROWS) & (n >= usual + LIMIT_SIGMAS * F.sqrt(usual) + LIMIT_ROWS - 1)
@@ -221,27 +291,34 @@ def field_limits(t: DataFrame) -> DataFrame:
     at = at.withColumn("near", span(-LIMIT_REACH, LIMIT_REACH)).withColumn("pile", span(-LIMIT_TRIM, 0)).withColumn("top", span(-2, 0)).withColumn("above", span(1, LIMIT_TRIM + 1))
     many = F.greatest((F.col("near") - F.col("pile")) / (2 * LIMIT_REACH - LIMIT_TRIM) * (LIMIT_TRIM + 1), F.lit(0.2))
     exact = F.col("exact")
-    trimmed = beyond(F.col("pile"), many) & (F.col("pile") >= LIMIT_PILE) & (F.col("pile") >= 3 * many) & (F.col("top") >= LIMIT_ROWS) & (F.col("above") * 8 <= F.col("pile"))
-    return at.where((F.col("length") >= LIMIT_LEAST) & (exact | trimmed)).select("source", "unit", "length", exact.alias("exact"))
+    trimmed = (F.col("length") >= LIMIT_TIMES * LIMIT_TRIM) & beyond(F.col("pile"), many) & (F.col("pile") >= LIMIT_PILE) & (F.col("pile") >= 3 * many) & (F.col("top") >= LIMIT_ROWS) & (F.col("above") * 8 <= F.col("pile"))
+    return at.where(exact | trimmed).select("source", "unit", "length", exact.alias("exact"))
+
+
+def early_ends(t: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(h): hashes of texts that are copies of a longer one and whose alignment with it ends early.
 
+    t has the rows of SURVEY of the documents, bodies (h, text). A copy cut anywhere shares its longest signed opening with
+    the whole text, however much of that it lost; so the last bands of texts without closing punctuation meet all bands
+    of longer texts, in cells where they are common. Of a verified pair, that is where the longer text has 0.8 or more of
+    the other's five-word shingles, the words are aligned from the copy's last ones back."""
+    rows = t.where(F.size("bands") > 0).select(F.col("h").alias("d1"), "size", ~F.col("terminal") | (F.col("mark") != ""), F.size("bands").alias("m"), F.posexplode("bands").alias("at", "band")).toDF("d1", "size", "suspect", "m", "at", "band")
+    rows = rows.select("d1", "size", "band", (F.col("suspect") & (F.col("at") >= F.col("m") - OPENING_BANDS)).alias("last"))
+    asked = rows.where("last").select("band").distinct()
+    near = cut(rows.join(asked.hint("merge"), "band", "left_semi").groupBy("band", "d1").agg(F.max("size").alias("size"), F.max("last").alias("last")))
+    sizes = near.groupBy("band").agg(F.count("*").alias("k"), F.min("size").alias("least"), F.max("size").alias("most"))
+    e = cells(near, sizes.where("k > 1 and least < most"))
+    a, b = e.where("last").alias("a"), e.alias("b")
+    p = cut(a.join(b, meet("a", "b") & (F.col("a.size") < F.col("b.size"))).select(F.col("a.d1").alias("h_a"), F.col("b.d1").alias("h_b")).distinct())
+    texts = texts_of(p.select(F.col("h_a").alias("h")).unionByName(p.select(F.col("h_b").alias("h"))), bodies, ["h"]).dropDuplicates(["h"])
+    text = lambda x: texts.select(F.col("h").alias(f"h_{x}"), F.col("text").alias(f"text_{x}"))
+    return map_arrow(p.join(text("a"), "h_a").join(text("b"), "h_b").select("h_a", "text_a", "text_b"), _align, "h long").distinct()
 
-def early_ends(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id): of verified near-copies (five-word shingles, similarity 0.8 or more), those whose alignment ends early.
 
-    The pairs of digests come from banded min-hashes; the different texts of either digest are aligned from their
-    last words back: where the last eight words of one stand in the other before its end and the copy stops inside a
-    sentence, it was cut, and with it every document of that very text."""
-    body = documents.select(F.col(key).cast("string").alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text")).where("text is not null")
-    rows = cut(body.mapInArrow(signed(SHINGLE + 3, shingle=SHINGLE), SIGNED))
-    linked = cut(similar_pairs(rows, body, THRESHOLD, multiset=False, shingle=SHINGLE).select("a1", "a2", "b1", "b2"))
-    digests = linked.select(F.col("a1").alias("d1"), F.col("a2").alias("d2")).unionByName(linked.select(F.col("b1").alias("d1"), F.col("b2").alias("d2"))).distinct()
-    members = rows.select("id", "d1", "d2").join(digests, ["d1", "d2"], "left_semi")
-    members = cut(members.join(body.select("id", F.col("h").alias("copy")), "id"))
-    texts = cut(members.groupBy("d1", "d2", "copy").agg(F.min("id").alias("id")).join(body.drop("h"), "id"))
-    side = lambda x: texts.select(F.col("d1").alias(f"{x}1"), F.col("d2").alias(f"{x}2"), F.col("id").alias(f"id_{x}"), F.col("text").alias(f"text_{x}"))
-    both = linked.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
-    found = both.select("id_a", "id_b", "text_a", "text_b").mapInArrow(_align, "id string").distinct()
-    return members.join(texts.join(found, "id", "left_semi").select("d1", "d2", "copy"), ["d1", "d2", "copy"], "left_semi").select("id")
+def contained(x: list[str], y: list[str]) -> float:
+    """The share of x's shingles that y has."""
+    s = {tuple(x[i : i + SHINGLE]) for i in range(len(x) - SHINGLE + 1)}
+    return len(s & {tuple(y[i : i + SHINGLE]) for i in range(len(y) - SHINGLE + 1)}) / max(1, len(s))
 
 
 def ends_early(a: str, b: str) -> bool:
@@ -263,52 +340,57 @@ def ends_early(a: str, b: str) -> bool:
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = []
-        for i, j, a, b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if ends_early(a, b):
-                found.append(i)
-            elif ends_early(b, a):
-                found.append(j)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["id"])
+        for h, a, b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            a = unmarked(bare(a))[1]
+            # the last shingle holds the word that may be cut
+            if contained(_WORD.findall(a.lower())[:-1], _WORD.findall(b.lower())) >= THRESHOLD and ends_early(a, b):
+                found.append(h)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["h"])
 
 
 def truncated(documents: DataFrame) -> DataFrame:
     """doc_id, source and `reason` of every document whose text was cut off; the first reason of: limit, copy, mark, open, ending.
 
-    limit: the text's length is one at which its source's texts pile up. copy: it is the near-copy that ends
+    limit: the text's length is one at which its source's texts pile up. copy: it is the copy of a longer text that ends
     early. mark: a mark of omission stands at its end, unless the same ending recurs as a formula. open: source
     text ends inside something it opened, or a code fence is open. ending: it ends neither with closing
     punctuation nor in a form that is usual at the end of its kind of text, or in the middle of a known word.
-    All counts are over all documents; they are joined to the documents by key, and only the few hundred field
-    limits are broadcast. Null, empty and blank texts are no cases; doc_ids are unique.
+    One pass over the texts gives all that is counted. Counts are over all different texts of a kind; they are joined to
+    the documents by key, and only the few hundred field limits and the kinds are broadcast. Null, empty and blank texts are
+    no cases; doc_ids are unique.
     """
-    t = cut(documents.select(F.col("doc_id").cast("long"), "text", "source", "kind", "lang").mapInArrow(tails, TAILS_DDL))
-    limits = field_limits(t)
-    size = F.when(limits["unit"] == "chars", t["chars"]).otherwise(t["bytes"])
-    within = (size == limits["length"]) | (~limits["exact"] & size.between(limits["length"] - LIMIT_TRIM, limits["length"]))
-    hit = t.join(F.broadcast(limits), t["source"].eqNullSafe(limits["source"]) & within).groupBy("doc_id").agg(F.max("exact").alias("limit"))
-    copies = early_ends(documents, "doc_id", "text").select(F.col("id").cast("long").alias("doc_id"), F.lit(True).alias("copy"))
-    kinds = t.groupBy("kind").agg(F.countDistinct("digest").alias("kind_n"))
-    complete = t.where("mark = ''").join(hit, "doc_id", "left_anti")
-    usual = complete.where(F.size("forms") > 0).groupBy("kind", F.col("forms")[0].alias("form")).agg(F.countDistinct("digest").alias("form_n"))
+    body = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text", "source", "kind", "lang")
+    passed = cut(map_arrow(body, survey, SURVEY_DDL))
+    t, words = passed.where("n is null").drop("n", "ends"), passed.where("n is not null")
+    words = cut(words.groupBy("word").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")))
+    limits = field_limits(t).groupBy("source").agg(F.collect_list(F.struct("unit", "length", "exact")).alias("limits")).withColumnRenamed("source", "limited")
+    size = lambda x: F.when(x["unit"] == "chars", F.col("chars")).otherwise(F.col("bytes"))
+    within = F.filter("limits", lambda x: (size(x) == x["length"]) | (~x["exact"] & size(x).between(x["length"] - LIMIT_TRIM, x["length"])))
+    t = t.join(F.broadcast(limits), F.col("source").eqNullSafe(F.col("limited")), "left").withColumn("limit", F.array_max(F.transform(within, lambda x: x["exact"]))).drop("limits", "limited", "size", "bands")
+    copies = early_ends(passed.where("n is null"), body.select("h", "text").where("text is not null")).withColumn("copy", F.lit(True))
+    dotted = (F.col("mark") == "dots").alias("dotted")
+    u = cut(t.groupBy("kind", "h").agg(
+        F.first(F.when(F.size("forms") > 0, F.col("forms")[0])).alias("form"), F.first("line").alias("line"), F.first("mark").alias("mark"), F.first("word").alias("word"), F.first("terminal").alias("terminal"), F.max(F.col("limit").isNull()).alias("free")
+    ))
+    kinds = u.groupBy("kind").agg(F.count("*").alias("kind_n"))
+    usual = u.where("mark = '' and free and form is not null").groupBy("kind", "form").agg(F.count("*").alias("form_n"))
     usual = usual.join(F.broadcast(kinds), "kind").where(F.col("form_n") >= F.greatest(F.lit(2.0), F.when(F.col("form") == "p", 0.0).otherwise(USUAL_SHARE) * F.col("kind_n")))
     usual = cut(usual.where((F.length("form") > 2) | (F.col("form") == "p")).withColumn("share", F.col("form_n") / F.col("kind_n")).select("kind", "form", "share"))
     doubtful = t.where(~F.col("terminal") & ~F.col("code")).select("doc_id", "kind", F.explode("forms").alias("form"))
     signs = usual.where(~F.col("form").rlike("^[wWp0]")).groupBy("form").agg(F.max("share").alias("share"))
     best = doubtful.join(usual, ["kind", "form"]).select("doc_id", "share").unionByName(doubtful.join(signs, "form").select("doc_id", "share")).groupBy("doc_id").agg(F.max("share").alias("share"))
-    lines = t.where("line is not null").groupBy("kind", "line", (F.col("mark") == "dots").alias("dotted")).agg(F.countDistinct("digest").alias("line_n")).join(F.broadcast(kinds), "kind")
+    lines = u.where("line is not null").groupBy("kind", "line", dotted).agg(F.count("*").alias("line_n")).join(F.broadcast(kinds), "kind")
     lines = lines.where(F.col("line_n") >= F.greatest(F.lit(float(FORMULA)), F.when(F.col("dotted"), 0.0).otherwise(FORMULA_SHARE * F.col("kind_n")))).select("kind", "line", "dotted", F.lit(True).alias("formula"))
-    asked = t.where(~F.col("terminal") & (F.col("word") != "")).select("word").distinct()
-    words = cut(documents.select("text").mapInArrow(vocabulary, "word string, n long, ends long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")))
-    inside = asked.join(words, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("inside"), F.coalesce("ends", F.lit(0)).alias("ends"))
+    last = u.where(~F.col("terminal") & (F.col("word") != ""))
+    inside = cut(last.select("word").distinct().join(words, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("inside"), F.coalesce("ends", F.lit(0)).alias("ends")))
     starts = words.where((F.col("n") >= 2) & (F.length("word").between(2, 40))).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda k: F.substring(F.col("word"), F.lit(1), k))).alias("word"), "n")
     broken = inside.join(starts.groupBy("word").agg(F.sum("n").alias("begun")), "word").where(F.col("inside") <= FRAGMENT * F.col("begun")).select("word")
     never = inside.where((F.col("inside") >= OFTEN) & (F.col("ends") < RARELY * F.col("inside"))).select("word")
-    closing = t.where(~F.col("terminal") & (F.col("word") != "")).groupBy("kind", "word").agg(F.countDistinct("digest").alias("word_n")).join(F.broadcast(kinds), "kind")
+    closing = last.groupBy("kind", "word").agg(F.count("*").alias("word_n")).join(F.broadcast(kinds), "kind")
     closing = closing.where(F.col("word_n") >= F.greatest(F.lit(float(FORMULA)), FORMULA_SHARE * F.col("kind_n"))).join(inside, "word").where("inside <= word_n").select("kind", "word", F.lit(True).alias("closing"))
     odd = broken.withColumn("odd", F.lit("broken")).unionByName(never.withColumn("odd", F.lit("never")))
     j = t.join(best, "doc_id", "left").withColumn("dotted", F.col("mark") == "dots").join(lines, ["kind", "line", "dotted"], "left").join(odd, "word", "left").join(closing, ["kind", "word"], "left")
-    j = j.join(hit, "doc_id", "left").join(copies, "doc_id", "left")
-    return j.select("doc_id", "source", _reason().alias("reason")).where("reason is not null")
+    return j.join(copies, "h", "left").select("doc_id", "source", _reason().alias("reason")).where("reason is not null")
 
 
 def _reason() -> Column:

@@ -292,12 +292,50 @@ def test_fragments_that_also_stand_inside_texts(spark):
     assert {r["doc_id"]: r["reason"] for r in truncation.truncated(df).collect()} == {300: "ending", 302: "mark"}
 
 
+def _cut_copies(spark, rows):
+    from quarry.sources.session import map_arrow
+
+    df = spark.createDataFrame([(i, t, "s", "prose", "en") for i, t in rows], "doc_id long, text string, source string, kind string, lang string")
+    body = df.select("doc_id", F.xxhash64("text").alias("h"), "text", "source", "kind", "lang")
+    t = map_arrow(body, truncation.survey, truncation.SURVEY_DDL).where("n is null")
+    found = truncation.early_ends(t, body.where("text is not null"))
+    return sorted(r["doc_id"] for r in body.join(found, "h").select("doc_id").collect())
+
+
 def test_every_delivery_of_a_cut_copy(spark):
     full = " ".join(f"word{i}" for i in range(60)) + "."
     short = full[: full.index(" word55")]
-    rows = [(1, full), (2, full), (3, short), (4, short), (5, short.upper()), (6, "Some other text of ten words that has no copy.")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(r["id"] for r in truncation.early_ends(df, "doc_id", "text").collect()) == ["3", "4", "5"]
+    rows = [(1, full), (2, full), (3, short), (4, short), (5, short.upper()), (6, "Some other text of ten words that has no copy."), (7, None), (8, ""), (9, "x")]
+    assert _cut_copies(spark, rows) == [3, 4, 5]
+
+
+def test_half_cut_copies_are_found(spark, monkeypatch):
+    """Copies that lost up to nine tenths, some with edits or a mark, a third of all rows copies of one text; blocks of small size."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(900)]
+    rows, cut_ids = [], set()
+    for i in range(60):
+        w = [rng.choice(words) for _ in range(rng.randint(120, 400))]
+        w[::9] = [x + "." for x in w[::9]]
+        rows.append((i, " ".join(w) + " end."))
+        keep = list(w[: int(len(w) * rng.uniform(0.1, 0.9)) // 9 * 9 + 4])
+        if i % 2:
+            keep[rng.randrange(4)] = "edited"
+        rows.append((100 + i, " ".join(keep) + (" [truncated]" if i % 3 == 0 else "")))
+        cut_ids.add(100 + i)
+    rows += [(1000 + k, rows[1][1]) for k in range(60)]
+    cut_ids |= {1000 + k for k in range(60)}
+    got = set(_cut_copies(spark, rows))
+    assert got <= cut_ids and len({i for i in got if i < 1000}) >= 0.9 * 60 and {i for i in got if i >= 1000} == ({1000 + k for k in range(60)} if 100 in got else set())
+
+
+def test_openings_share_bands():
+    a = [f"w{i}" for i in range(100)]
+    one, two, short, none = truncation.openings([a, [*a[:40], "x", "y"], a[:9], a[:7]])
+    n = truncation.OPENING_BANDS
+    assert len(one) == 4 * n and len(two) == 3 * n and len(short) == n and not len(none)
+    assert (one[: 3 * n] == two).all() and (short == one[:n]).all() and not set(one[n : 2 * n]) & set(one[:n])
 
 
 NAMES = ["p1_found", "p1_rates", "p2_found", "p3_found", "p3_ranking", "p6_found", "p6_groups", "p7_found", "p7_pairs", "p8_ids", "p9_packing", "p10_found", "p10_rates"]

@@ -11,34 +11,30 @@ from pyspark.sql import functions as F
 from quarry.llm.files import assemble, file_parts
 from quarry.llm.grammars import parses
 from quarry.llm.languages import EXTENSIONS, extension, rank_languages
-
-_FAMILY = {"js": "ecma", "ts": "ecma", "tsx": "ecma"}
-
+from quarry.sources.session import map_arrow
 
 def judge(path: str | None, text: str) -> tuple[str | None, bool, str | None, str | None]:
     """(language, valid, cause, reads_as) of a file.
 
     The language is that of the extension, letter case ignored; None, and valid, where there is no grammar. A blank
-    file is valid. An invalid one is tried in all other grammars, those first whose tokens it has most of:
-    if it is valid in one, the cause is `extension` and reads_as that language, else `corrupt` and reads_as None.
-    A file that other formats without a grammar here claim by their tokens (HTML, Markdown) is of cause
-    `extension` as well. PHP without its opening tag is plain text, so it is tried only where the tag is."""
+    file is valid. Every other text is parsed by all grammars, in the order of its languages by tokens. It is valid if
+    that of its extension accepts it. Else the first other that does tells a wrong extension (cause `extension`,
+    reads_as that language); if all refuse, or only those do not that accept nearly any text, it is `corrupt`. These are
+    PHP, to which text without its opening tag is plain, and Bash, to which most words are commands: they count where the tag
+    stands and where the text has more tokens of Bash than of the named language. A file whose most tokens are of a format without a grammar here (HTML,
+    Markdown) is of cause `extension` as well."""
     named = EXTENSIONS.get(extension(path))
-    if named is None or not text.strip() or parses(text, named):
+    if named is None or not text.strip():
         return named, True, None, None
     ranked = rank_languages(text)
-    for other in dict.fromkeys([*ranked, *EXTENSIONS.values()]):
-        if other == named:
-            continue
-        if other not in EXTENSIONS.values():
-            if ranked[0] == other:
-                return named, False, "extension", other
-            continue
-        if other == "php" and "<?php" not in text or other == "sh" and other not in ranked[:1]:
-            continue
-        if parses(text, other):
-            return named, False, "extension", other
-    return named, False, "corrupt", None
+    accepted = [g for g in dict.fromkeys([*ranked, *EXTENSIONS.values()]) if g in EXTENSIONS.values() and parses(text, g)]
+    if named in accepted:
+        return named, True, None, None
+    above = ranked[: ranked.index(named)] if named in ranked else ranked
+    told = [g for g in accepted if (g != "php" or "<?php" in text) and (g != "sh" or g in above)]
+    if ranked and ranked[0] not in EXTENSIONS.values():
+        return named, False, "extension", ranked[0]
+    return (named, False, "extension", told[0]) if told else (named, False, "corrupt", None)
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,7 +53,7 @@ def judged_files(chunks: DataFrame) -> DataFrame:
     Files are put together from all their whole chunks by one shuffle on repo and path and parsed where they
     land; nothing is collected or broadcast. Rows delivered twice count once; null contents are empty."""
     known = F.lower(F.regexp_extract("file_path", r"\.(\w+)$", 1)).isin(list(EXTENSIONS))
-    return file_parts(chunks.where(known)).mapInArrow(_judged, "repo string, file_path string, language string, valid boolean, cause string, reads_as string")
+    return map_arrow(file_parts(chunks.where(known)), _judged, "repo string, file_path string, language string, valid boolean, cause string, reads_as string")
 
 
 def broken_rates(judged: DataFrame) -> DataFrame:

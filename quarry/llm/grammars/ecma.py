@@ -260,6 +260,8 @@ class Parser:
         self.match, self.at, self.signs = tokens.match, [*tokens.at, -1, -1, -1], tokens.signs
         self.ts, self.end = ts, len(tokens.kind)
         self.text, self.ambient = tokens.text, False
+        #: What may stand here: return, await, continue, break, super; then the labels around, and how many labelled jumps were met.
+        self.around, self.labels, self.jumps = (False, True, False, False, False), (), 0
 
     def need(self, p: int, kind: str) -> int:
         if self.k[p] != kind:
@@ -292,18 +294,40 @@ class Parser:
             j = self.line_end(p, end)
             key = None
             if j - p <= LONG:
-                key = (mark, self.ts, self.ambient, self.signs[p:j], self.signs[j : j + 1])
+                key = (mark, self.ts, self.ambient, self.around, self.signs[p:j], self.signs[j : j + 1])
                 if key in _MEMO:
                     p = j
                     continue
+            jumps = self.jumps
             while p < j:
                 p = one(p)
-            if p == j and key is not None:
+            if p == j and key is not None and jumps == self.jumps:
                 remember(_MEMO, key)
         if p != end:
             raise Bad
         return p
 
+    def inside(self, around: tuple, part, p: int, labels: tuple = ()) -> int:
+        """part(p) where other things may stand than here."""
+        outer, self.around = self.around, around
+        kept, self.labels = self.labels, labels
+        try:
+            return part(p)
+        finally:
+            self.around, self.labels = outer, kept
+
+    def code(self, p: int, waits: bool, above: bool) -> int:
+        """The body of a function: return may stand there, await in an async one, super in a method."""
+        return self.inside((True, waits, False, False, above), self.block, p)
+
+    def repeated(self, p: int) -> int:
+        """The statement of a loop."""
+        r, w, _, _, s = self.around
+        return self.inside((r, w, True, True, s), self.statement, p, self.labels)
+
+    def label(self, p: int) -> str:
+        return re.compile(r"[\w$]*").match(self.text, self.at[p]).group()
+
     def module(self) -> None:
         self.several(0, self.end, self.top, "m")
 
@@ -313,8 +337,6 @@ class Parser:
             return self.imports(p)
         if k == "export":
             return self.exports(p)
-        if k == "return":
-            raise Bad
         return self.statement(p)
 
     def imports(self, p: int) -> int:
@@ -425,6 +447,8 @@ class Parser:
             p = self.statement(self.parens(p + 1))
             return self.statement(p + 1) if self.k[p] == "else" else p
         if k == "return":
+            if not self.around[0]:
+                raise Bad
             p += 1
             if self.k[p] not in (";", "}", "end") and not self.first[p]:
                 p = self.expression(p)
@@ -432,9 +456,9 @@ class Parser:
         if k == "for":
             return self.loop(p)
         if k == "while":
-            return self.statement(self.parens(p + 1))
+            return self.repeated(self.parens(p + 1))
         if k == "do":
-            p = self.statement(p + 1)
+            p = self.repeated(p + 1)
             p = self.parens(self.need(p, "while"))
             return p + 1 if self.k[p] == ";" else p
         if k == "throw":
@@ -464,12 +488,18 @@ class Parser:
         if k in ("break", "continue"):
             p += 1
             if self.k[p] in _NAMES and not self.first[p]:
+                self.jumps += 1
+                if self.label(p) not in self.labels or k == "continue" and not self.around[2]:
+                    raise Bad
                 p += 1
+            elif not self.around[3 if k == "break" else 2]:
+                raise Bad
             return self.semicolon(p)
         if k == "debugger":
             return self.semicolon(p + 1)
         if k in _NAMES and n == ":":
-            return self.statement(p + 2)
+            self.jumps += 1
+            return self.inside(self.around, self.statement, p + 2, (*self.labels, self.label(p)))
         if self.ts:
             q = self.declaration(p, k, n)
             if q:
@@ -496,13 +526,9 @@ class Parser:
                 p = self.name(p + 1)
             if self.k[p] != "{":
                 return self.semicolon(p)
-            close = self.match[p]
-            self.several(p + 1, close, self.top, "m")
-            return close + 1
+            return self.space(p)
         if k == "global" and n == "{":
-            close = self.match[p + 1]
-            self.several(p + 2, close, self.top, "m")
-            return close + 1
+            return self.space(p + 1)
         if k == "abstract" and n == "class":
             return self.klass(p)
         if k == "declare" and (n in ("const", "let", "var", "function", "class", "enum", "namespace", "module", "type", "interface", "abstract", "global", "async")):
@@ -514,6 +540,12 @@ class Parser:
             return p
         return 0
 
+    def space(self, p: int) -> int:
+        """The block of a namespace."""
+        close = self.match[p]
+        self.inside((False, False, False, False, False), lambda q: self.several(q, close, self.top, "m"), p + 1)
+        return close + 1
+
     def enum(self, p: int) -> int:
         p = self.name(self.need(p, "enum"))
         self.need(p, "{")
@@ -602,6 +634,8 @@ class Parser:
     def loop(self, p: int) -> int:
         p += 1
         if self.k[p] == "await":
+            if not self.around[1]:
+                raise Bad
             p += 1
         self.need(p, "(")
         close = self.match[p]
@@ -622,11 +656,15 @@ class Parser:
                 p = self.expression(p)
         if p != close:
             raise Bad
-        return self.statement(close + 1)
+        return self.repeated(close + 1)
 
     def switch(self, p: int) -> int:
         p = self.parens(p + 1)
         self.need(p, "{")
+        r, w, c, _, s = self.around
+        return self.inside((r, w, c, True, s), self.cases, p, self.labels)
+
+    def cases(self, p: int) -> int:
         close = self.match[p]
         p += 1
         while p < close:
@@ -641,9 +679,8 @@ class Parser:
         return close + 1
 
     def function(self, p: int, named: bool = True) -> int:
-        if self.k[p] == "async":
-            p += 1
-        p = self.need(p, "function")
+        waits = self.k[p] == "async"
+        p = self.need(p + waits, "function")
         if self.k[p] == "*":
             p += 1
         if self.k[p] in _NAMES:
@@ -653,7 +690,7 @@ class Parser:
         p = self.result(self.params(self.parameters_of_type(p)))
         if self.ts and self.k[p] != "{":
             return self.semicolon(p)
-        return self.block(p)
+        return self.code(p, waits, False)
 
     def params(self, p: int) -> int:
         self.need(p, "(")
@@ -720,9 +757,11 @@ class Parser:
             return p + 1
         p = self.decorators(p)
         if k[p] == "static" and k[p + 1] == "{":
-            return self.block(p + 1)
+            return self.inside((False, False, False, False, True), self.block, p + 1)
+        waits = False
         words = _MODIFIERS if self.ts else frozenset(("static", "async", "get", "set", "accessor"))
         while k[p] in words and k[p + 1] not in ("(", "=", ";", ":", "}", "?", "!", "<") and not (self.first[p + 1] and k[p] in ("get", "set", "async", "accessor")):
+            waits = waits or k[p] == "async"
             p += 1
         if k[p] == "*":
             p += 1
@@ -738,8 +777,8 @@ class Parser:
             p = self.result(self.params(self.parameters_of_type(p)))
             if self.ts and k[p] != "{":
                 return self.semicolon(p)
-            return self.block(p)
-        return self.semicolon(self.default(self.annotation(p)))
+            return self.code(p, waits, True)
+        return self.semicolon(self.inside((False, False, False, False, True), self.default, self.annotation(p)))
 
     def expression(self, p: int, loop: bool = False) -> int:
         p = self.assignment(p, loop)
@@ -751,10 +790,12 @@ class Parser:
         """The place behind an arrow function that begins here, or 0."""
         k = self.k
         q = p
+        waits = False
         if k[q] == "async" and not self.first[q + 1] and (k[q + 1] in _NAMES or k[q + 1] in ("(", "<")):
             q += 1
+            waits = True
         if k[q] in _NAMES and k[q + 1] == "=>":
-            return self.body(q + 2)
+            return self.body(q + 2, waits)
         if self.ts and k[q] == "<":
             try:
                 q = self.parameters_of_type(q)
@@ -766,18 +807,18 @@ class Parser:
         if k[after] == "=>":
             if self.first[after]:
                 raise Bad
-            return self.body(self.params(q) + 1)
+            return self.body(self.params(q) + 1, waits)
         if self.ts and k[after] == ":":
             try:
                 r = self.result(self.params(q))
                 if k[r] == "=>":
-                    return self.body(r + 1)
+                    return self.body(r + 1, waits)
             except Bad:
                 return 0
         return 0
 
-    def body(self, p: int) -> int:
-        return self.block(p) if self.k[p] == "{" else self.assignment(p)
+    def body(self, p: int, waits: bool) -> int:
+        return self.inside((True, waits, False, False, self.around[4]), self.block if self.k[p] == "{" else self.assignment, p)
 
     def assignment(self, p: int, loop: bool = False) -> int:
         k = self.k
@@ -840,6 +881,8 @@ class Parser:
     def unary(self, p: int) -> int:
         k = self.k
         while k[p] in _UNARY and not (k[p] == "await" and k[p + 1] in ("=", ",", ")", ";", ".", "=>")):
+            if k[p] == "await" and not self.around[1]:
+                raise Bad
             p += 1
         if self.ts and k[p] == "<":
             p = self.unary(self.need(self.type(p + 1), ">"))
@@ -925,7 +968,7 @@ class Parser:
 
     def primary(self, p: int) -> int:
         k = self.k[p]
-        if k in ("i", "n", "q", "r", "this", "null", "true", "false", "super"):
+        if k in ("i", "n", "q", "r", "this", "null", "true", "false") or k == "super" and self.around[4]:
             return p + 1
         if k == "(":
             return self.parens(p)
@@ -953,7 +996,7 @@ class Parser:
                 p += 1
             if self.k[p] in _NAMES:
                 p += 1
-            return self.block(self.result(self.params(self.parameters_of_type(p))))
+            return self.code(self.result(self.params(self.parameters_of_type(p))), k == "async", False)
         if k in ("class", "@"):
             return self.klass(self.decorators(p), named=False)
         if k == "new":
@@ -989,14 +1032,16 @@ class Parser:
             if k[p] == "...":
                 p = self.assignment(p + 1)
             else:
+                waits = False
                 if k[p] in ("get", "set", "async") and k[p + 1] not in (",", ":", "(", "}", "=", "<") and not (k[p] == "async" and self.first[p + 1]):
+                    waits = k[p] == "async"
                     p += 1
                 if k[p] == "*":
                     p += 1
                 short = k[p] in _NAMES
                 p = self.key(p)
                 if k[p] in ("(", "<"):
-                    p = self.block(self.result(self.params(self.parameters_of_type(p))))
+                    p = self.code(self.result(self.params(self.parameters_of_type(p))), waits, True)
                 elif k[p] == ":":
                     p = self.assignment(p + 1)
                 elif short:
@@ -1176,6 +1221,13 @@ class Parser:
         return close + 1
 
 
+_LAST: dict[bool, tuple[str, Tokens]] = {}
+
+
 def check(text: str, lang: str) -> None:
-    """Raises Bad if the text is not a valid js, ts or tsx module."""
-    Parser(Tokens(text, lang == "tsx"), lang != "js").module()
+    """Raises Bad if the text is not a valid js, ts or tsx module; js and ts share the tokens of the text last seen."""
+    jsx = lang == "tsx"
+    if jsx not in _LAST or _LAST[jsx][0] != text:
+        _LAST.pop(jsx, None)
+        _LAST[jsx] = (text, Tokens(text, jsx))
+    Parser(_LAST[jsx][1], lang != "js").module()

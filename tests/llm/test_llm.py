@@ -386,3 +386,24 @@ def test_an_id_with_several_texts_counts_once(spark):
     df = spark.createDataFrame([("r", "x", a, None), ("r", "x", b, None), ("r", "y", a + " z", None), ("r", "z", b + " z", None)], "repo string, id string, content string, parent_chunk_id string")
     got = neardup.id_pairs(*neardup.near_duplicates(df)).collect()
     assert [tuple(r) for r in got] in ([("x", "y")], [("x", "z")])
+
+
+OUT_OF_PLACE = ["{ break; }", "if (a) break;", "{ return 1; }", "function f() { await g(); }", "function f() { super.x(); }", "while (a) { continue b; }", "class A { static { return; } }", "const f = () => { break; };", "a: { continue a; }", "switch (a) { case 1: continue; }", "for (;;) { (function () { break; }); }", "class A { m() { function g() { super.m(); } } }", "function f() { for await (const a of b) {} }"]
+IN_PLACE = ["await a;", "a: for (;;) { for (;;) { continue a; } }", "a: { break a; }", "switch (a) { case 1: break; }", "class A extends B { constructor() { super(); } m() { return () => super.m(); } x = super.y; }", "const o = { async m() { await a; super.q(); }, get x() { return 1; } };", "const f = async () => await a;", "async function f() { for await (const a of b) { if (a) break; else continue; } }", "do if (a) break; while (b)", "function* g() { while (1) { yield 1; if (a) return; } }"]
+
+
+@pytest.mark.parametrize("lang", ["js", "ts", "tsx"])
+def test_statements_out_of_place(lang):
+    for text in OUT_OF_PLACE:
+        assert not parses(text, lang), text
+    for text in IN_PLACE:
+        assert parses(text, lang), text
+    loop = "for (;;) {\n  break;\n}\n"
+    assert parses(loop, lang) and not parses("{\n  break;\n}\n", lang) and parses(loop, lang)
+
+
+def test_any_depth_is_parsed():
+    n = 5000
+    for text, lang in [(f"const a = {'[' * n}{']' * n};", "js"), ("if (a) {" * n + "}" * n, "ts"), (f"const a = {'<b>' * n}{'</b>' * n};", "tsx"), (f"<?php $a = {'[' * n}{']' * n};", "php"), ("if a; then\n" * n + "b\n" + "fi\n" * n, "sh")]:
+        assert parses(text, lang), lang
+        assert not parses(text[:-1] if lang != "sh" else text[:-3], lang) or lang == "js"

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.lexing import closing, lex
+from quarry.sources.session import map_arrow
 from quarry.llm.languages import EXTENSIONS, extension, rank_languages
 
 #: Words a description must have besides markers, tags, parameter lists and the words of the name.
@@ -30,13 +31,12 @@ _SIGNATURES = {
     "sh": [re.compile(r"^[ \t]*(?:function[ \t]+(?P<name>[\w:.-]+)[ \t]*(?:\([ \t]*\))?|(?P<name2>[\w:.-]+)[ \t]*\([ \t]*\))\s*(?P<body>[{(])", re.M)],
 }
 _SIGNATURES["ts"] = _SIGNATURES["tsx"] = _SIGNATURES["js"]
-_DEF = r"(?:function\b|(?:const|let|var)[ \t]+[\w$]+[ \t]*[:=]|\#?\*?[\w$]+[ \t]*(?:\([^\n]*[{(,]|=[^\n]*(?:=>|\())[ \t\r]*$)"
-#: What a text must have at all to hold a documented function: a comment on the line above a signature or a string behind one.
+#: Without any of these a text has no documentation at all: no comment, and no string where a body may begin.
 _MAYBE = {
-    "python": re.compile(r"^[ \t]*\#[^\n]*\n(?:[ \t]*@[^\n]*\n)*[ \t]*(?:async[ \t]+)?def\b|:[ \t]*(?:\#[^\n]*)?\r?\n(?:[ \t]*(?:\#[^\n]*)?\r?\n)*[ \t(]*[rRuU]?[\"']|\bdef\b[^\n]*:[ \t]*[rRuU]?[\"']|^[ \t]*@[^\n]*\([ \t\r]*\n", re.M),
-    "js": re.compile(rf"(?:\*/|^[ \t]*//[^\n]*)[ \t\r]*\n(?:[ \t]*@[^\n]*\n)*[ \t]*{_MODIFIERS}{_DEF}|\{{\s*['\"][^\n]*\s", re.M),
-    "php": re.compile(rf"(?:\*/|^[ \t]*(?://|\#)[^\n]*)[ \t\r]*\n(?:[ \t]*\#\[[^\n]*\n)*[ \t]*{_MODIFIERS}function\b|\#\[[^\]\n]*\n", re.M),
-    "sh": re.compile(r"^[ \t]*\#[^\n]*\n[ \t]*(?:function\b|[\w:.-]+[ \t]*\()", re.M),
+    "python": re.compile(r"\#|:\s*[rRuU]?[\"'(]"),
+    "js": re.compile(r"//|\*/|\{\s*['\"]"),
+    "php": re.compile(r"//|\*/|\#|\{\s*['\"]"),
+    "sh": re.compile(r"\#"),
 }
 _MAYBE["ts"] = _MAYBE["tsx"] = _MAYBE["js"]
 _NO_NAMES = frozenset("if for while switch catch return function with else do try typeof new await yield throw case in of import super constructor_ foreach elseif match".split())
@@ -262,7 +262,7 @@ _OWN["ts"] = _OWN["tsx"] = _OWN["js"]
 
 def chunk_language(path: str | None, content: str) -> str | None:
     """The language of the extension, unless the tokens are clearly another's; None where the extension has no functions
-    here or the text can hold no documented one."""
+    here or the text has neither a comment nor a string where a body may begin."""
     named = EXTENSIONS.get(extension(path))
     if named is None or not any(p.search(content) for p in _FAMILIES):
         return None
@@ -298,4 +298,4 @@ def documented_functions(chunks: DataFrame) -> DataFrame:
     counts once. No shuffle but for the de-duplication of what was found.
     """
     whole = chunks.where(F.coalesce(F.trim("parent_chunk_id"), F.lit("")) == "")
-    return whole.select("id", "file_path", "content").mapInArrow(_pairs, "chunk_id string, file_path string, func_name string, description string, code string").distinct()
+    return map_arrow(whole.select("id", "file_path", "content"), _pairs, "chunk_id string, file_path string, func_name string, description string, code string").distinct()

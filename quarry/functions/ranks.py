@@ -7,35 +7,19 @@ from pyspark.sql import functions as F
 
 from quarry.sources.tables import cut
 
-#: Groups above this many rows, or above a ten-thousandth of all rows if that is more, are ranked in pieces.
-LARGE = 1_000_000
-PIECES = 64
 
+def spread_rank(df: DataFrame, group: list[str], *measure: str) -> DataFrame:
+    """df with `rank` (1-based, ties share the lowest) by the measures ascending within `group`, and `n`, the group's rows.
 
-def spread_rank(df: DataFrame, group: list[str], measure: str, large: int = LARGE) -> DataFrame:
-    """df with `rank` (1-based, ties share the lowest) of `measure` ascending within `group`, and `n`, the group's rows.
-
-    measure is numeric and not null. Small groups are ranked by one window. A large group is first cut into
-    PIECES ranges of the measure at approximate quantiles; each range is ranked in a task of its own and the
-    exact number of rows in lower ranges is added, so the result is exact whatever the quantiles are. At most
-    10,000 groups can be large, which bounds what is broadcast; the quantiles are written before use, so a lost
-    task finds the same ranges.
-    """
-    count = df.groupBy(*group).agg(F.count("*").alias("n"))
-    total = count.agg(F.sum("n")).first()[0] or 0
-    limit = max(large, total // 10_000)
-    hot = cut(
-        df.join(F.broadcast(count.where(F.col("n") > limit).select(*group)), group, "left_semi")
-        .groupBy(*group)
-        .agg(F.percentile_approx(F.col(measure).cast("double"), [i / PIECES for i in range(1, PIECES)], 10_000).alias("_cuts"))
-    ) if total > limit else None
+    Neither groups nor measures are null. Equal rows become one with their number by a partial sum; what is left is
+    laid out by ranges of (group, measures), so a group of any size spreads over as many tasks as it needs. Each
+    range is ranked by itself and the rows of the group's lower ranges are added: one plan, exact for groups of any
+    size. The ranges are written before use, so a lost task finds the same ones."""
+    distinct = df.groupBy(*group, *measure).agg(F.count("*").alias("_m"))
+    laid = cut(distinct.repartitionByRange(*group, *measure).withColumn("_part", F.spark_partition_id()))
     w = Window.partitionBy(*group)
-    if hot is None:
-        return df.withColumn("rank", F.rank().over(w.orderBy(measure))).withColumn("n", F.count("*").over(w))
-    pieced = df.join(F.broadcast(hot), group, "left").withColumn(
-        "_piece", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(measure).cast("double"))), F.lit(0))
-    ).drop("_cuts")
-    sizes = pieced.groupBy(*group, "_piece").agg(F.count("*").alias("_m"))
-    below = sizes.withColumn("_below", F.sum("_m").over(w.orderBy("_piece")) - F.col("_m")).withColumn("n", F.sum("_m").over(w)).drop("_m")
-    ranked = pieced.withColumn("rank", F.rank().over(Window.partitionBy(*group, "_piece").orderBy(measure)))
-    return ranked.join(below, [*group, "_piece"]).withColumn("rank", F.col("rank") + F.col("_below")).drop("_piece", "_below")
+    parts = laid.groupBy(*group, "_part").agg(F.sum("_m").alias("_s"))
+    parts = parts.select(*group, "_part", (F.sum("_s").over(w.orderBy("_part")) - F.col("_s")).alias("_below"), F.sum("_s").over(w).alias("n"))
+    before = F.sum("_m").over(Window.partitionBy(*group, "_part").orderBy(*measure).rowsBetween(Window.unboundedPreceding, -1))
+    placed = laid.withColumn("_before", F.coalesce(before, F.lit(0))).join(parts, [*group, "_part"])
+    return df.join(placed.select(*group, *measure, (F.col("_below") + F.col("_before") + 1).alias("rank"), "n"), [*group, *measure]).select(*df.columns, "rank", "n")

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import trim_all
+from quarry.sources.tables import cut
 
-#: Copies made of each distinct orphan key, and salts its referring rows are spread over: a key with a third of
-#: all rows is then read by as many tasks.
-SALTS = 16
+#: A key is hot if more than one in so many of all rows has it; so there are fewer hot keys than that.
+HOT = 1000
 
 
 def clean_id(c: Column) -> Column:
@@ -44,16 +44,22 @@ def orphan_keys(children: DataFrame, parents: DataFrame, keys: list[str]) -> Dat
     return grouped.where(~F.col("parent") & (F.col("n") > 0)).drop("parent")
 
 
-def rows_with_keys(rows: DataFrame, found: DataFrame, keys: list[str], by: Column) -> DataFrame:
-    """rows whose keys are in `found` (distinct keys), each hot key spread over SALTS tasks by the hash of `by`."""
-    spread = found.select(*keys).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    cond = [rows[k].eqNullSafe(spread[k]) for k in keys]
-    salted = rows.withColumn("_salt", F.pmod(F.hash(by), F.lit(SALTS)))
-    cond = [salted[k].eqNullSafe(spread[k]) for k in keys] + [salted["_salt"] == spread["_salt"]]
-    on = cond[0]
-    for x in cond[1:]:
-        on = on & x
-    return salted.join(spread, on, "left_semi").drop("_salt")
+def rows_with_keys(rows: DataFrame, found: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows whose keys are in `found` (distinct keys with `n`, their rows); total is the number of all rows.
+
+    Hot keys, fewer than HOT whatever the data, go to the rows where they are read; the rest meet in a shuffle in which
+    no key has more than one in HOT of all rows."""
+
+    def on(a: DataFrame, b: DataFrame) -> Column:
+        out = a[keys[0]].eqNullSafe(b[keys[0]])
+        for k in keys[1:]:
+            out = out & a[k].eqNullSafe(b[k])
+        return out
+
+    much = total // HOT
+    hot = F.broadcast(found.where(F.col("n") > much).select(*keys))
+    rest = found.where(F.col("n") <= much).select(*keys)
+    return rows.join(hot, on(rows, hot), "left_semi").unionByName(rows.join(hot, on(rows, hot), "left_anti").join(rest, on(rows, rest), "left_semi"))
 
 
 def reference_rows(refs: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -87,30 +93,39 @@ def parent_rows(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
     )
 
 
-def dangling(refs: DataFrame, chunks: DataFrame, symbols: DataFrame) -> DataFrame:
-    """One row per dangling reference at the end of the data: table_name, field_name, row_key, repo, at.
+def lost_keys(rows: DataFrame, chunks: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(space, repo, key, n): the keys of reference_rows that lead nowhere, with the number of references that name them.
 
     A symbol target may be met by any of its ends, so the distinct targets are expanded to their ends, those
-    ends are grouped with the parents, and a target dangles when all of its ends are orphans.
-    Empty tables give no rows; a row_key appears once per field.
-    """
+    ends are grouped with the parents, and a target dangles when all of its ends are orphans."""
     keys = ["space", "repo", "key"]
-    rows = reference_rows(refs, chunks)
     wanted = rows.groupBy(*keys).agg(F.count("*").alias("n"))
     ends = wanted.select("space", "repo", F.col("key").alias("full"), "n", F.explode(F.when(F.col("space") == "symbol", symbol_ends(F.col("key"))).otherwise(F.array("key"))).alias("key"))
     orphan = orphan_keys(ends, parent_rows(chunks, symbols).where(F.col("key").isNotNull()), keys).select(*keys, F.lit(1).alias("lost"))
     o, e = orphan.alias("o"), ends.alias("e")
     judged = e.join(o, (F.col("e.space") == F.col("o.space")) & F.col("e.repo").eqNullSafe(F.col("o.repo")) & (F.col("e.key") == F.col("o.key")), "left")
-    lost = judged.groupBy("e.space", "e.repo", "e.full").agg(F.min(F.coalesce("o.lost", F.lit(0))).alias("lost")).where("lost = 1")
-    lost = lost.select("space", "repo", F.col("full").alias("key"))
-    return rows_with_keys(rows, lost, keys, F.col("row_key")).select("table_name", "field_name", "row_key", "repo", "at")
+    lost = judged.groupBy("e.space", "e.repo", "e.full").agg(F.min(F.coalesce("o.lost", F.lit(0))).alias("lost"), F.first("e.n").alias("n")).where("lost = 1")
+    return lost.select("space", "repo", F.col("full").alias("key"), "n")
+
+
+def dangling(refs: DataFrame, chunks: DataFrame, symbols: DataFrame) -> DataFrame:
+    """One row per dangling reference at the end of the data: table_name, field_name, row_key, repo, at.
+
+    The long form of the references is written once and serves the grouping and the rows that come out.
+    Empty tables give no rows; a row_key appears once per field."""
+    rows = cut(reference_rows(refs, chunks))
+    lost = cut(lost_keys(rows, chunks, symbols))
+    return rows_with_keys(rows, lost, ["space", "repo", "key"], rows.count()).select("table_name", "field_name", "row_key", "repo", "at")
 
 
 def dangling_by_period(refs: DataFrame, chunks: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Per table, field and month: references, dangling ones and their share."""
-    period = F.date_format("at", "yyyy-MM").alias("period")
-    group = ["table_name", "field_name", "period"]
-    every = reference_rows(refs, chunks).select("table_name", "field_name", period, F.lit(1).alias("n"), F.lit(0).alias("lost"))
-    lost = dangling(refs, chunks, symbols).select("table_name", "field_name", period, F.lit(0).alias("n"), F.lit(1).alias("lost"))
-    total = every.unionByName(lost).groupBy(*group).agg(F.sum("n").alias("n_references"), F.sum("lost").alias("n_dangling"))
+    """Per table, field and month: references, dangling ones and their share.
+
+    References are counted by key and month before the lost keys meet the counts; no row is joined."""
+    rows = cut(reference_rows(refs, chunks))
+    counts = rows.groupBy("table_name", "field_name", "space", "repo", "key", F.date_format("at", "yyyy-MM").alias("period")).agg(F.count("*").alias("n"))
+    lost = lost_keys(rows, chunks, symbols).select("space", "repo", "key", F.lit(True).alias("lost")).alias("l")
+    c = counts.alias("c")
+    j = c.join(lost, (F.col("c.space") == F.col("l.space")) & F.col("c.repo").eqNullSafe(F.col("l.repo")) & (F.col("c.key") == F.col("l.key")), "left")
+    total = j.groupBy("table_name", "field_name", "period").agg(F.sum("n").alias("n_references"), F.sum(F.when(F.col("lost"), F.col("n")).otherwise(0)).alias("n_dangling"))
     return total.withColumn("share", F.round(F.col("n_dangling") / F.col("n_references"), 6))

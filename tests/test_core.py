@@ -45,10 +45,16 @@ def test_dangling(spark):
 
 
 def test_spread_rank_equals_the_window(spark):
-    df = spark.range(5000).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 3 == 0, F.col("id") * 7 % 501).otherwise(F.col("id")).alias("m"))
-    few = sorted(tuple(r) for r in spread_rank(df, ["g"], "m").select("g", "m", "rank", "n").collect())
-    cut = sorted(tuple(r) for r in spread_rank(df, ["g"], "m", large=100).select("g", "m", "rank", "n").collect())
-    assert few == cut and len(few) == 5000
+    """One group holds a third of all rows, a third of these tied."""
+    from pyspark.sql import Window
+
+    df = spark.range(5000).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 3 == 0, F.col("id") * 7 % 501).when(F.col("id") % 9 == 1, 5).otherwise(F.col("id")).alias("m"), F.col("id").alias("k"))
+    w = Window.partitionBy("g")
+    want = df.withColumn("rank", F.rank().over(w.orderBy("m"))).withColumn("n", F.count("*").over(w))
+    assert sorted(map(tuple, spread_rank(df, ["g"], "m").collect())) == sorted(map(tuple, want.collect()))
+    both = df.withColumn("rank", F.rank().over(w.orderBy("m", "k"))).withColumn("n", F.count("*").over(w))
+    assert sorted(map(tuple, spread_rank(df, ["g"], "m", "k").collect())) == sorted(map(tuple, both.collect()))
+    assert spread_rank(df.limit(0), ["g"], "m").collect() == []
 
 
 def test_bm25_phrases_and_ties(spark):

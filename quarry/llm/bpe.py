@@ -14,6 +14,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.sources.session import map_arrow
+
 #: Where the vocabulary files of the public tokenizers lie unless a call names another folder.
 TOKENIZERS = "/opt/tokenizers"
 #: Pieces whose ids a worker keeps.
@@ -148,14 +150,22 @@ def token_ids(df: DataFrame, key: str, text: str, tokenizer: str = "byte_bpe_50k
     Null and empty texts have the empty list. No shuffle; a worker keeps the ids of the pieces it has seen, at
     most KEPT of them, and texts of any length are encoded whole. Repeated and null keys are kept as they are."""
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_ids(f"{folder}/{tokenizer}.json", False), f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    return map_arrow(df.select(F.col(key).alias("key"), F.col(text).alias("text")), _ids(f"{folder}/{tokenizer}.json", False), f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
-def token_counts(df: DataFrame, key: str, text: str, tokenizer: str, folder: str = TOKENIZERS) -> DataFrame:
-    """(key, n_tokens int): byte-level vocabularies (.json) by the pair index, sentence-piece ones (.model) by their library."""
+def token_counts(df: DataFrame, key: str, text: str, tokenizers: list[str], folder: str = TOKENIZERS) -> DataFrame:
+    """(key, tokenizer, n_tokens int) for every tokenizer, in one pass over the texts: byte-level vocabularies (.json) by the
+    pair index, sentence-piece ones (.model) by their library."""
     kind = df.schema[key].dataType.simpleString()
-    run = _pieces(f"{folder}/{tokenizer}.model") if tokenizer.startswith("piece") else _ids(f"{folder}/{tokenizer}.json", True)
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, ids int").toDF(key, "n_tokens")
+    parts = [_pieces(f"{folder}/{t}.model") if t.startswith("piece") else _ids(f"{folder}/{t}.json", True) for t in tokenizers]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, part in zip(tokenizers, parts, strict=True):
+                for out in part(iter((batch,))):
+                    yield pa.RecordBatch.from_arrays([out.column(0), pa.array([name] * out.num_rows, pa.string()), out.column(1)], names=["key", "tokenizer", "n_tokens"])
+
+    return map_arrow(df.select(F.col(key).alias("key"), F.col(text).alias("text")), run, f"key {kind}, tokenizer string, n_tokens int").withColumnRenamed("key", key)
 
 
 @lru_cache(maxsize=2)

@@ -131,7 +131,7 @@ def assignments(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int]]
     return out
 
 
-PLAN = T.StructType([T.StructField("pack_name", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("size", "from_rank", "to_rank", "first_container", "per_container")]])
+PLAN = T.StructType([T.StructField("pack_name", T.StringType()), T.StructField("size", T.LongType()), *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("from_rank", "first_container", "per_container")]])
 
 
 def pieces(sized: DataFrame, limits: DataFrame) -> DataFrame:
@@ -148,25 +148,29 @@ def pieces(sized: DataFrame, limits: DataFrame) -> DataFrame:
 def pack(spark: SparkSession, sized: DataFrame, limits: DataFrame) -> DataFrame:
     """(pack_name, container_id, doc_id, part, from_token, size) for every item of `pieces`.
 
-    Only the histogram of sizes comes to the driver, at most one row per pack and token of capacity, and only the
-    plan, bounded likewise, is broadcast. Items are then numbered within (pack, size), in pieces where a size
-    is very common, and find their container by that number. Items of size 0 take no room and go to container 0;
-    packs without a capacity of at least 1 are left out; repeated doc_ids are items of their own.
+    Only the histogram of sizes comes to the driver, at most one row per pack and token of capacity. The plan has one row
+    per pack and size as well, its stretches of ranks in order, so it is bounded by the capacities, not by the items;
+    it is joined by pack and size, and an item finds its stretch by its number within its size. Items of size 0 take no
+    room and go to container 0; packs without a capacity of at least 1 are left out; repeated doc_ids are items of their own.
     """
     limits = limits.where(F.col("capacity_tokens") >= 1).select("pack_name", "tokenizer", "capacity_tokens").distinct()
     items = pieces(sized, limits)
     counted: dict[tuple[str, int], dict[int, int]] = {}
     for r in items.where("size > 0").groupBy("pack_name", "capacity_tokens", "size").count().collect():
         counted.setdefault((r[0], r[1]), {})[r[2]] = r[3]
-    rows = [(name, *a) for (name, capacity), h in counted.items() for a in assignments(plan(h, capacity))]
-    where = F.broadcast(spark.createDataFrame(rows, PLAN))
+    rows: dict[tuple[str, int], list[list[int]]] = {}
+    for (name, capacity), h in counted.items():
+        for size, first, _, container, per in assignments(plan(h, capacity)):
+            for column, x in zip(rows.setdefault((name, size), [[], [], []]), (first, container, per), strict=True):
+                column.append(x)
+    where = spark.createDataFrame([(*k, *v) for k, v in rows.items()], PLAN)
     order = items.where("size > 0").withColumn("_order", F.xxhash64("doc_id", "part"))
     ranked = spread_rank(order, ["pack_name", "size"], "_order")
     tied = Window.partitionBy("pack_name", "size", "rank").orderBy("doc_id", "part")
     ranked = ranked.withColumn("rank", F.col("rank") + F.row_number().over(tied) - 1)
-    i, w = ranked.alias("i"), where.alias("w")
-    placed = i.join(w, (F.col("i.pack_name") == F.col("w.pack_name")) & (F.col("i.size") == F.col("w.size")) & F.col("i.rank").between(F.col("w.from_rank"), F.col("w.to_rank")))
-    container = F.col("w.first_container") + F.floor((F.col("i.rank") - F.col("w.from_rank")) / F.col("w.per_container"))
-    out = placed.select("i.pack_name", container.cast("long").alias("container_id"), "i.doc_id", "i.part", "i.from_token", "i.size")
+    at = F.size(F.filter("from_rank", lambda x: x <= F.col("rank")))
+    placed = ranked.join(where, ["pack_name", "size"]).withColumn("_at", at)
+    container = F.element_at("first_container", F.col("_at")) + F.floor((F.col("rank") - F.element_at("from_rank", F.col("_at"))) / F.element_at("per_container", F.col("_at")))
+    out = placed.select("pack_name", container.cast("long").alias("container_id"), "doc_id", "part", "from_token", "size")
     none = items.where("size = 0").select("pack_name", F.lit(0).cast("long").alias("container_id"), "doc_id", "part", "from_token", "size")
     return out.unionByName(none)

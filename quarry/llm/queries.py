@@ -63,9 +63,8 @@ def p8_ids(spark: SparkSession, root: str) -> DataFrame:
 
 def p9_packing(spark: SparkSession, root: str) -> DataFrame:
     limits, documents = table(spark, root, "pack_limits"), table(spark, root, "documents")
-    sized = documents.select("doc_id", F.lit(0).alias("n_tokens"), F.lit("").alias("tokenizer")).where("false")
-    for (name,) in sorted(limits.select("tokenizer").where("tokenizer is not null").distinct().collect()):
-        sized = sized.unionByName(bpe.token_counts(documents, "doc_id", "text", name).withColumn("tokenizer", F.lit(name)))
+    names = sorted(r[0] for r in limits.select("tokenizer").where("tokenizer is not null").distinct().collect())
+    sized = bpe.token_counts(documents, "doc_id", "text", names)
     return packing.pack(spark, cut(sized), limits)
 
 

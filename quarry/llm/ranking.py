@@ -61,7 +61,10 @@ def search_lists(rows: DataFrame) -> DataFrame:
 
 
 def leaders(df: DataFrame, k: int | None = None) -> DataFrame:
-    """Of aggregate_ranks' output per query: position by significance, then strength, then chunk_id; the first k."""
-    w = Window.partitionBy("query_id").orderBy(F.round("rho", 12), F.round("strength", 12), "chunk_id")
-    placed = df.withColumn("position", F.row_number().over(w))
-    return placed if k is None else placed.where(F.col("position") <= k)
+    """Of aggregate_ranks' output per query: position by significance, then strength, then chunk_id; the first k.
+
+    With k each task keeps its k best before anything is shuffled; without, a query of any size is ranked in ranges."""
+    if k is not None:
+        w = Window.partitionBy("query_id").orderBy(F.round("rho", 12), F.round("strength", 12), "chunk_id")
+        return df.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
+    return spread_rank(df.withColumn("_rho", F.round("rho", 12)).withColumn("_strength", F.round("strength", 12)), ["query_id"], "_rho", "_strength", "chunk_id").withColumnRenamed("rank", "position").drop("_rho", "_strength", "n")

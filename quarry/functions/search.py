@@ -3,13 +3,27 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accents folded by the full-text tokenizer.
-ACCENTED, PLAIN = "àâäáéèêëíìîïóòôöúùûüñç", "aaaaeeeeiiiioooouuuunc"
+
+
+def _folds() -> tuple[str, str]:
+    """Lower-case letters that Unicode decomposes into a letter and marks, up to the end of the extended Greek block, and these letters."""
+    accented, plain = [], []
+    for c in map(chr, range(0xC0, 0x2000)):
+        d = unicodedata.normalize("NFD", c)
+        if len(d) > 1 and c == c.lower() and d[0].isalpha() and all(unicodedata.combining(x) for x in d[1:]):
+            accented.append(c)
+            plain.append(d[0])
+    return "".join(accented), "".join(plain)
+
+
+#: Letters with marks and what the full-text tokenizer makes of them.
+ACCENTED, PLAIN = _folds()
 # Weights of the kinds of query words.
 QUESTION_WORDS = ["how", "what", "where", "why", "when", "which", "does", "is"]
 QUALITY = {"ast": 1.0, "regex": 0.85, "text_fallback": 0.7}
@@ -86,3 +100,8 @@ def excluded(path: Column, patterns: list[str]) -> Column:
     """True where the path, or one of its components with or without a slash behind it, matches a pattern."""
     whole = "|".join(glob_regex(p) for p in patterns)
     return path.rlike(whole) | F.exists(F.split(path, "/"), lambda c: c.rlike(whole) | F.concat(c, F.lit("/")).rlike(whole))
+
+
+def inside(path: Column) -> Column:
+    """True for a path that stays within its repository: not null or empty, not absolute, no step up, no backslash, no null character."""
+    return F.coalesce((path != "") & ~path.rlike(r"(^|/)\.\.(/|$)|^/|^[A-Za-z]:|\\|\x00"), F.lit(False))

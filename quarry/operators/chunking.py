@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quarry.functions.lexing import closing, lex
+from quarry.operators import references
 from quarry.sources.session import map_arrow
 
 MAX_CHARS, LEAST_CHARS, OVERLAP = 6000, 20, 8
@@ -180,6 +181,7 @@ _TOP = {
     "type_alias": re.compile(_EXPORT + r"type[ \t]+(\w+)[^=\n]*=", re.M),
     "enum": re.compile(_EXPORT + r"(?:const[ \t]+)?enum[ \t]+(\w+)", re.M),
     "variable": re.compile(_EXPORT + r"(?:const|let|var)[ \t]+(\w+)[^=\n]*=", re.M),
+    "object": re.compile(r"^(?:export[ \t]+default[ \t]+|module\.exports[ \t]*=[ \t]*)(?:\w+\()?(?=\{)()", re.M),
 }
 _METHOD = re.compile(r"^[ \t]+(?:(?:public|private|protected|static|async|readonly|abstract|override|get|set)[ \t]+)*\#?(\w+)[ \t]*(?:<[^\n(]*>)?\([^;{}]*?\)[^;{}\n]*\{", re.M)
 _WORDS = {"if", "for", "while", "switch", "catch", "return", "function", "with"}
@@ -214,6 +216,52 @@ def _members(lines: list[str], masked: str, name: str, a: int, b: int, open_at:
     return [Chunk(name, "class_shell", shell, a + 1, b, quality), *out]
 
 
+_PROPERTY = re.compile(
+    r"(?:(?:async|get|set)[ \t]+)*\*?[ \t]*(?P<method>[A-Za-z_$][\w$]*)[ \t]*(?:<[^\n(]*>)?(?=\()|(?P<key>[A-Za-z_$][\w$]*|'[^'\n]*'|\"[^\"\n]*\")[ \t]*:[ \t]*(?P<kind>\{|(?:async[ \t]+)?function\b|(?:async[ \t]*)?(?:\((?=[^()]*(?:\([^()]*\)[^()]*)*\)[^=,{]*=>)|[\w$]+[ \t]*=>))?"
+)
+
+
+def _properties(text: str, masked: str, a: int, b: int) -> list[tuple[str, str, int, int]]:
+    """(name, function, object or value, start, end) of the properties of the object whose braces enclose a to b."""
+    out, at = [], a
+    while at < b:
+        at = re.compile(r"[\s,]*").match(masked, at, b).end()
+        if at >= b:
+            break
+        depth, end = 0, at
+        while end < b and (depth or masked[end] != ","):
+            depth += (masked[end] in "([{") - (masked[end] in ")]}")
+            end += 1
+        m = _PROPERTY.match(text, at, b)
+        if m and masked[at:end].strip():
+            kind = "function" if m.group("method") or m.group("kind") and m.group("kind") != "{" else "object" if m.group("kind") else "value"
+            out.append(((m.group("method") or m.group("key")).strip("'\""), kind, at, at + len(masked[at:end].rstrip())))
+        at = end + 1
+    return out
+
+
+def _object(lines: list[str], text: str, masked: str, name: str, a: int, b: int, brace: int, depth: int = 0) -> list[Chunk] | None:
+    """The shell of an object that has functions, without them, and the functions as name.key, objects in it likewise; None if it has none."""
+    stop = closing(masked, brace)
+    found = _properties(text, masked, brace + 1, stop - 1) if stop > 0 and depth < OBJECT_DEPTH else []
+    if not any(kind == "function" for _, kind, _, _ in found):
+        inner = [(_object(lines, text, masked, f"{name}.{key}".lstrip("."), _line(text, s), _line(text, e - 1) + 1, masked.find("{", s), depth + 1), s, e) for key, kind, s, e in found if kind == "object"]
+        if not any(x for x, _, _ in inner):
+            return None
+    taken: set[int] = set()
+    out: list[Chunk] = []
+    for key, kind, s, e in found:
+        label, i, j = f"{name}.{key}".lstrip("."), _lead(lines, _line(text, s), a + 1), _line(text, e - 1) + 1
+        if kind == "value" or taken & set(range(i, j)) or i <= a or j > b:
+            continue
+        parts = _object(lines, text, masked, label, i, j, masked.find("{", s), depth + 1) if kind == "object" else _piece(lines, i, j, label, "method", "regex")
+        if parts:
+            out += parts
+            taken |= set(range(i, j))
+    shell = "\n".join(x for i, x in enumerate(lines[a:b], a) if i not in taken).rstrip()
+    return [Chunk(name, "variable" if depth == 0 and name else "block", shell, a + 1, b, "regex"), *out] if taken else None
+
+
 def script(text: str, jsx: bool = True) -> list[Chunk]:
     """TypeScript and JavaScript by their top-level declarations; components are Pascal-case functions that return markup."""
     masked, lines, found = lex(text, "ts")[0], text.split("\n"), []
@@ -240,7 +288,10 @@ def script(text: str, jsx: bool = True) -> list[Chunk]:
         body = "\n".join(lines[a:b])
         if kind == "class_shell":
             out += _members(lines, masked, name, lead, b, masked.find("{", e) + 1, stop, _METHOD, "regex")
+        elif kind in ("object", "variable") and re.match(r"\s*\{", masked[e:stop]) and (parts := _object(lines, text, masked, name, lead, b, masked.find("{", e))):
+            out += parts
         else:
+            kind = "block" if kind == "object" else kind
             function = kind == "function" or kind == "variable" and re.search(r"=>|\bfunction\b", body)
             markup = jsx and name[:1].isupper() and (re.search(r"<[A-Za-z][\w.]*[\s/>]|<>", body) or re.search(r"\b(?:memo|forwardRef|lazy)\(", body))
             out += _piece(lines, lead, b, name, "component" if function and markup else "function" if function else kind, "regex")
@@ -252,63 +303,234 @@ _PHP_TYPE = re.compile(r"^(?:(?:abstract|final|readonly)[ \t]+)*(?:class|interfa
 _PHP_METHOD = re.compile(r"^[ \t]+(?:(?:public|private|protected|static|abstract|final)[ \t]+)*function[ \t]+&?(\w+)[ \t]*\(", re.M)
 
 
+_PHP_CODE = re.compile(r"<\?(?:php\b|=)")
+
+
+def _php_markup(text: str) -> list[tuple[int, int]]:
+    """The spans outside the tags of PHP: what stands before, between and behind its code."""
+    out, at = [], 0
+    quiet = lex(text, "php")[0]
+    while m := _PHP_CODE.search(text, at):
+        out.append((at, m.start()))
+        end = quiet.find("?>", m.end())
+        if end < 0:
+            return out
+        at = end + 2
+    return [*out, (at, len(text))]
+
+
 def php(text: str) -> list[Chunk]:
+    """Types as shells with their methods, functions, and what stands between; markup outside the tags as blocks of its own."""
     masked, lines, out, at = lex(text, "php")[0], text.split("\n"), [], 0
+    markup = {i for a, b in _php_markup(text) for i in range(_line(text, a) + (a > 0 and text[a - 1] != "\n"), _line(text, b)) if text[a:b].strip()}
+
+    def between(a: int, b: int, kind: str) -> list[Chunk]:
+        found, i = [], a
+        while i < b:
+            j = i
+            while j < b and (j in markup) == (i in markup):
+                j += 1
+            found += _piece(lines, i, j, "", "block" if i in markup else kind, "regex")
+            i = j
+        return found
+
     for m in _PHP_TYPE.finditer(masked):
         a = _line(text, m.start())
         brace = masked.find("{", m.end())
         stop = closing(masked, brace) if brace >= 0 else -1
-        if a < at or stop < 0:
+        if a < at or stop < 0 or a in markup:
             continue
         b, lead = _line(text, stop - 1) + 1, _lead(lines, a, at)
-        out += _piece(lines, at, lead, "", "module" if not out else "block", "regex")
+        out += between(at, lead, "module" if not out else "block")
         if m.group(1):
             out += _members(lines, masked, m.group(1), lead, b, brace + 1, stop, _PHP_METHOD, "regex")
         else:
             out += _piece(lines, lead, b, m.group(2), "function", "regex")
         at = b
-    return out + _piece(lines, at, len(lines), "", "block", "regex")
+    return out + between(at, len(lines), "block")
+
+
+# Levels an over-long template or object is opened to; shorter markup joins what stands before it.
+VUE_DEPTH, VUE_SCRAP, OBJECT_DEPTH = 3, 200, 3
+# Elements of the markup language that have no content.
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+_TAG = re.compile(r"<!--[\s\S]*?(?:-->|\Z)|<(/?)([A-Za-z][\w.:-]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>")
+
+
+def _elements(text: str, a: int, b: int) -> list[tuple[int, int, str, int, int]]:
+    """(start, end, name, inner start, inner end) of the outermost elements between a and b; an element that is not closed ends with its parent."""
+    out, stack = [], []
+    for m in _TAG.finditer(text, a, b):
+        name = m.group(2)
+        if name is None:
+            continue
+        if not m.group(1):
+            if m.group(3).rstrip().endswith("/") or name.lower() in VOID:
+                if not stack:
+                    out.append((m.start(), m.end(), name, m.end(), m.end()))
+            else:
+                stack.append((name, m.start(), m.end()))
+        elif any(n == name for n, _, _ in stack):
+            while stack[-1][0] != name:
+                stack.pop()
+            n, s, inner = stack.pop()
+            if not stack:
+                out.append((s, m.end(), n, inner, m.start()))
+    if stack:
+        n, s, inner = stack[0]
+        out.append((s, b, n, inner, b))
+    return out
+
+
+def _markup(text: str, a: int, b: int, limit: int, depth: int = 0) -> list[tuple[int, int]]:
+    """Spans of lines (b excluded) that an element between the places a and b is cut into: whole if it is short, else its children in packs."""
+    first, last = _line(text, a), _line(text, max(a, b - 1)) + 1
+    children = [] if b - a <= limit or depth >= VUE_DEPTH else _elements(text, *next((e[3:] for e in _elements(text, a, b)[:1]), (a, a)))
+    if not children:
+        return [(first, last)]
+    spans, at = [], first
+    for s, e, *_ in children:
+        i, j = _line(text, s), _line(text, e - 1) + 1
+        if j <= at:
+            continue
+        if e - s > limit:
+            if i > at:
+                spans.append((at, i))
+            spans += [(max(x, at), y) for x, y in _markup(text, s, e, limit, depth + 1) if y > at]
+        else:
+            spans.append((at, j))
+        at = j
+    if last > at:
+        spans.append((at, last))
+    size = lambda x, y: sum(len(z) + 1 for z in text.split("\n")[x:y])
+    packed = [spans[0]]
+    for x, y in spans[1:]:
+        if size(packed[-1][0], y) <= limit or size(x, y) < VUE_SCRAP:
+            packed[-1] = (packed[-1][0], y)
+        else:
+            packed.append((x, y))
+    return packed
 
 
-def vue(text: str) -> list[Chunk]:
-    """A single-file component: its script as TypeScript with its own line numbers, its other elements whole."""
+def vue(text: str, limit: int = MAX_CHARS) -> list[Chunk]:
+    """A single-file component: its script as TypeScript with its own line numbers, its other elements whole, an over-long one by the elements in it."""
     lines, out = text.split("\n"), []
-    for m in re.finditer(r"^<(script|template|style)\b[^>]*>\n?([\s\S]*?)^</\1>", text, re.M):
-        a, b = _line(text, m.start()), _line(text, m.end()) + 1
-        if m.group(1) == "script":
-            base = _line(text, m.start(2))
-            for c in script(m.group(2)):
-                c.start_line += base
-                c.end_line += base
+    for s, e, name, inner, end in _elements(text, 0, len(text)):
+        if name == "script":
+            base = _line(text, inner)
+            body = text[inner:end]
+            lead = len(body) - len(body.lstrip("\n"))
+            for c in script(body[lead:] if body[:1] == "\n" else body):
+                shift = base + (lead if body[:1] == "\n" else 0)
+                c.start_line += shift
+                c.end_line += shift
                 out.append(c)
         else:
-            out += _piece(lines, a, b, m.group(1), "block", "regex")
+            label = name if name in ("template", "style") else ""
+            for a, b in _markup(text, s, e, limit):
+                out += _piece(lines, a, b, label, "block", "regex")
     return out or blank_lines(text)
 
 
-# Directives of the template language that open a block, each closed by its `end` form.
-BLADE = "section if unless isset empty auth guest can cannot canany foreach forelse for while switch push prepend once php component slot error env production verbatim fragment prependOnce pushOnce hasSection sectionMissing session pushIf".split()
+# Directives of the template language that open a block, in lower case, with those that close it.
+BLADE = {
+    "auth": ("endauth",), "can": ("endcan",), "canany": ("endcanany",), "cannot": ("endcannot",), "component": ("endcomponent",), "empty": ("endempty",), "env": ("endenv",),
+    "error": ("enderror",), "for": ("endfor",), "foreach": ("endforeach",), "forelse": ("endforelse",), "fragment": ("endfragment",), "guest": ("endguest",), "hassection": ("endif",),
+    "if": ("endif",), "isset": ("endisset",), "once": ("endonce",), "php": ("endphp",), "prepend": ("endprepend",), "prependonce": ("endprependonce",), "production": ("endproduction",),
+    "push": ("endpush",), "pushonce": ("endpushonce",), "section": ("endsection", "show", "stop", "append", "overwrite"), "sectionmissing": ("endif",), "session": ("endsession",),
+    "slot": ("endslot",), "switch": ("endswitch",), "unless": ("endunless",), "verbatim": ("endverbatim",), "while": ("endwhile",),
+}
+# Blocks named by their first argument; those that are whole with a second one; levels an over-long block is opened to.
+BLADE_NAMED = ("component", "fragment", "prepend", "prependonce", "push", "pushonce", "section", "slot")
+BLADE_SHORT = ("section", "slot")
+BLADE_DEPTH = 3
+_DIRECTIVE = re.compile(r"(?<!@)@(\w+)")
+
+
+def _arguments(text: str, at: int) -> tuple[str | None, int]:
+    """What stands in the brackets that open at or after blanks from `at`, and the place behind them; None without brackets."""
+    m = re.compile(r"[ \t]*\(").match(text, at)
+    if m is None:
+        return None, at
+    depth, quote, i = 1, "", m.end()
+    while i < len(text) and depth:
+        c = text[i]
+        if quote:
+            i += c == "\\"
+            quote = "" if c == quote else quote
+        elif c in "'\"":
+            quote = c
+        else:
+            depth += (c in "([") - (c in ")]")
+        i += 1
+    return text[m.end() : i - 1], i
+
+
+def _two(arguments: str) -> bool:
+    """True if a comma stands outside quotes and inner brackets."""
+    bare = re.sub(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"", "", arguments)
+    while (less := re.sub(r"[(\[][^()\[\]]*[)\]]", "", bare)) != bare:
+        bare = less
+    return "," in bare
 
 
-def blade(text: str) -> list[Chunk]:
-    """Template blocks at the top level by a stack of directives; comments and verbatim parts open nothing."""
-    lines, out, stack, at = text.split("\n"), [], [], 0
-    quiet = re.sub(r"\{\{--[\s\S]*?--\}\}|@verbatim[\s\S]*?@endverbatim", lambda m: re.sub(r"[^\n]", " ", m.group()), text)
-    for m in re.finditer(r"(?<![@\w])@(end)?(\w+)(?:[ \t]*\(((?:[^()]|\([^()]*\))*)\))?", quiet):
-        end, name, args = m.group(1), m.group(2), m.group(3)
-        if not end and name in BLADE:
-            if name == "section" and args and re.search(r"['\"]\s*,", args):
+@dataclass
+class _Block:
+    label: str
+    start: int
+    end: int
+    inner: list
+
+
+def _blade_blocks(text: str) -> list[_Block]:
+    """The outermost blocks with those in them. Comments and verbatim bodies open nothing; what is not closed ends with the text."""
+    quiet = re.sub(r"\{\{--[\s\S]*?--\}\}|(?<=@verbatim)[\s\S]*?(?=@endverbatim)", lambda m: re.sub(r"[^\n]", " ", m.group()), text)
+    top: list[_Block] = []
+    stack: list[tuple[str, _Block]] = []
+    for m in _DIRECTIVE.finditer(quiet):
+        name = m.group(1).lower()
+        if name in BLADE:
+            arguments, _ = _arguments(text, m.end())
+            if name == "php" and arguments is not None or name in BLADE_SHORT and arguments and _two(arguments) or name == "empty" and arguments is None:
                 continue
-            label = re.search(r"['\"]([^'\"]+)['\"]", text[m.start() : m.end()])
-            stack.append((name, f"{name}:{label.group(1)}" if label else name, _line(text, m.start())))
-        elif stack and (end and name == stack[-1][0] or name in ("show", "stop", "append", "overwrite") and stack[-1][0] == "section"):
-            kind, label, a = stack.pop()
-            if not stack:
-                b = _line(text, m.end()) + 1
-                out += _piece(lines, at, a, "", "block", "regex")
-                out += _piece(lines, a, b, label, "section" if kind == "section" else "block", "regex")
-                at = b
-    return out + _piece(lines, at, len(lines), "", "block", "regex")
+            first = re.match(r"\s*['\"]([^'\"]+)['\"]", arguments or "") if name in BLADE_NAMED else None
+            block = _Block(f"{name}:{first.group(1)}" if first else "", m.start(), len(text), [])
+            (stack[-1][1].inner if stack else top).append(block)
+            stack.append((name, block))
+            continue
+        at = next((i for i in range(len(stack) - 1, -1, -1) if name in BLADE[stack[i][0]]), None)
+        if at is not None:
+            for _, block in stack[at + 1 :]:
+                block.end = m.start()
+            stack[at][1].end = m.end()
+            del stack[at:]
+    return top
+
+
+def blade(text: str, limit: int = MAX_CHARS) -> list[Chunk]:
+    """A template by its outermost blocks, an over-long one by the blocks in it, down to BLADE_DEPTH levels; its parts keep its name."""
+    lines, out = text.split("\n"), []
+
+    def emit(blocks: list[_Block], a: int, b: int, name: str, depth: int) -> None:
+        at = a
+        for block in blocks:
+            i, j = _line(text, block.start), _line(text, max(block.end - 1, block.start)) + 1
+            if i < at:
+                continue
+            between(at, i, name)
+            label = name or block.label
+            if block.end - block.start > limit and block.inner and depth < BLADE_DEPTH:
+                emit(block.inner, i, min(j, b), label, depth + 1)
+            else:
+                out.extend(_piece(lines, i, min(j, b), label, "section" if label.startswith("section:") else "block", "regex"))
+            at = j
+        between(at, b, name)
+
+    def between(a: int, b: int, name: str) -> None:
+        out.extend(_piece(lines, a, b, name, "section" if name.startswith("section:") else "block", "regex"))
+
+    emit(_blade_blocks(text), 0, len(lines), "", 0)
+    return out
 
 
 def chunk_file(path: str, text: str, limit: int = MAX_CHARS) -> list[Chunk]:
@@ -319,7 +541,7 @@ def chunk_file(path: str, text: str, limit: int = MAX_CHARS) -> list[Chunk]:
         return []
     try:
         if name.endswith(".blade.php"):
-            found = blade(text)
+            found = blade(text, limit)
         elif ext in ("ts", "tsx", "js", "jsx", "mjs"):
             found = script(text, ext in ("tsx", "jsx", "js"))
         elif ext == "py":
@@ -327,7 +549,7 @@ def chunk_file(path: str, text: str, limit: int = MAX_CHARS) -> list[Chunk]:
         elif ext == "php":
             found = php(text)
         elif ext == "vue":
-            found = vue(text)
+            found = vue(text, limit)
         elif ext in ("sh", "bash"):
             found = bash(text)
         elif ext in ("md", "markdown"):
@@ -343,6 +565,21 @@ def chunk_file(path: str, text: str, limit: int = MAX_CHARS) -> list[Chunk]:
 
 CHUNKS_DDL = "repo string, id string, file_path string, symbol_name string, symbol_type string, content string, start_line int, end_line int, parent_chunk_id string, sub_chunk_index int, search_quality string"
 _FIELDS = [x.split() for x in CHUNKS_DDL.split(", ")]
+#: Rows of chunk_and_refer that are references have their chunk's id and these, and nothing else but repo and path.
+REFERENCE_DDL = "target_symbol string, ref_type string, place int"
+
+
+def _batch(rows: list[tuple], fields: list[list[str]]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if t == "int" else pa.string()) for v, (_, t) in zip(cols, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def _made(repo: str | None, path: str | None, text: str | None, limit: int) -> dict[str, tuple]:
+    out = {}
+    for c in chunk_file(path or "", text or "", limit):
+        i = identity(path or "", c.symbol_name, c.content)
+        out[i] = (repo, i, path, c.symbol_name, c.symbol_type, c.content, c.start_line, c.end_line, c.parent, c.place, c.quality)
+    return out
 
 
 def chunk_files(files: DataFrame, limit: int = MAX_CHARS) -> DataFrame:
@@ -350,14 +587,24 @@ def chunk_files(files: DataFrame, limit: int = MAX_CHARS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for repo, path, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                made = {}
-                for c in chunk_file(path or "", text or "", limit):
-                    i = identity(path or "", c.symbol_name, c.content)
-                    made[i] = (repo, i, path, c.symbol_name, c.symbol_type, c.content, c.start_line, c.end_line, c.parent, c.place, c.quality)
-                rows += made.values()
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * len(_FIELDS)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if t == "int" else pa.string()) for v, (_, t) in zip(cols, _FIELDS, strict=True)], names=[n for n, _ in _FIELDS])
+            yield _batch([row for f in zip(*[c.to_pylist() for c in batch.columns], strict=True) for row in _made(*f, limit).values()], _FIELDS)
 
     return map_arrow(files.select("repo", "file_path", "content"), run, CHUNKS_DDL)
+
+
+def chunk_and_refer(files: DataFrame, limit: int = MAX_CHARS) -> DataFrame:
+    """The chunk rows of files and, with a ref_type, the references they make: id is then the chunk that holds the line, `place` the order within the file."""
+    fields = _FIELDS + [x.split() for x in REFERENCE_DDL.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for repo, path, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                made = _made(repo, path, text, limit)
+                rows += [(*r, None, None, None) for r in made.values()]
+                refs = references.found(path or "", text or "") if made else []
+                for n, (holder, (_, target, kind)) in enumerate(zip(references.holders([(r[6], r[7], r[1]) for r in made.values()], [line for line, _, _ in refs]), refs, strict=True)):
+                    rows.append((repo, holder, path, *[None] * (len(_FIELDS) - 3), target, kind, n))
+            yield _batch(rows, fields)
+
+    return map_arrow(files.select("repo", "file_path", "content"), run, f"{CHUNKS_DDL}, {REFERENCE_DDL}")

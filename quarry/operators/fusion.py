@@ -59,3 +59,14 @@ def normalised(df: DataFrame, group: str) -> DataFrame:
     """score divided by the greatest of its group where that is positive."""
     best = df.groupBy(group).agg(F.max("score").alias("best"))
     return df.join(best, group).withColumn("score", F.when(F.col("best") > 0, F.col("score") / F.col("best")).otherwise(F.col("score"))).drop("best")
+
+
+def fill(placed: DataFrame, more: DataFrame, k: Column) -> DataFrame:
+    """placed (query_id, chunk_id, score, reason, position) and, behind it, the chunks of `more` (query_id, chunk_id, slot) in the order of their slots, up to position k.
+
+    Those that stand in placed already, at any position, are left out; they have no score of their own."""
+    last = placed.where(F.col("position") <= k).groupBy("query_id").agg(F.max("position").alias("last"))
+    new = more.join(placed.where(F.col("position") <= k).select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").join(last, "query_id")
+    new = new.withColumn("position", (F.col("last") + F.row_number().over(Window.partitionBy("query_id").orderBy("slot"))).cast("long"))
+    new = new.select("query_id", "chunk_id", F.lit(0.0).alias("score"), F.lit("graph_expansion").alias("reason"), "position")
+    return placed.select("query_id", "chunk_id", "score", "reason", "position").where(F.col("position") <= k).unionByName(new.where(F.col("position") <= k))

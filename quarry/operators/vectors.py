@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import re
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.search import bucket
+from quarry.sources.session import map_arrow
+
+#: Queries that travel to the executors at a time.
+BLOCK = 20_000
 
 
 def doubles(v: Column) -> Column:
@@ -43,3 +53,105 @@ def bag_of_words(df: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame
     counts = tokens.groupBy("key", bucket(F.col("w"), dim).alias("bucket")).agg(F.count("*").alias("n"))
     norm = counts.groupBy("key").agg(F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("norm"))
     return counts.join(norm, "key").select("key", "bucket", (F.col("n") / F.col("norm")).alias("value"))
+
+
+class Buckets(dict):
+    """The bag-of-words bucket of a word, kept per worker; at most a million words are kept."""
+
+    def __init__(self, dim: int) -> None:
+        self.dim = dim
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        b = self[word] = int.from_bytes(hashlib.md5(word.encode("utf-8", "surrogatepass")).digest()[:4], "little") % self.dim
+        return b
+
+
+def embedder(dim: int = 64) -> Callable[[list], np.ndarray]:
+    """Texts as rows of a matrix: the normalised bag-of-words vector of each; zeros for null and empty ones."""
+    of = Buckets(dim)
+
+    def run(texts: list) -> np.ndarray:
+        out = np.zeros((len(texts), dim))
+        for i, t in enumerate(texts):
+            if t:
+                out[i] = np.bincount(np.fromiter(map(of.__getitem__, _SPACE.split(t.lower().strip(_BLANKS))), np.int64), minlength=dim) if t.strip(_BLANKS) else 0
+        n = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return np.divide(out, n, out=out, where=n > 0)
+
+    return run
+
+
+# White space as the pattern for it has it in queries.
+_BLANKS = " \t\n\x0b\f\r"
+_SPACE = re.compile(f"[{_BLANKS}]+")
+
+
+def search(rows: DataFrame, queries: DataFrame, k: int, metric: str = "dot", positive: bool = False, embed: Callable[[list], np.ndarray] | None = None) -> DataFrame:
+    """(query_id, key, score, rank): the k best rows of its group for every query.
+
+    rows has grp, key and `x`, a vector, or with `embed` what that makes a vector of; queries has query_id, grp and x
+    likewise. metric: dot, cosine or l2 (score is then the distance, less is better). Ties go by key; with `positive` only
+    scores above 0 count. Vectors of another length than the query's, null ones and null keys are left out.
+
+    Queries travel in blocks of BLOCK; each batch of rows is multiplied with those of its groups and hands on its k best for
+    each, so rows of a group of any size stay where they are read."""
+    parts = -(-queries.count() // BLOCK)
+    sign = 1.0 if metric == "l2" else -1.0
+    kind, ident = rows.schema["key"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    found = None
+    for part in range(parts):
+        block: dict = {}
+        mine = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).select("query_id", "grp", "x").where("x is not null").collect()
+        made = embed([r["x"] for r in mine]) if embed else [np.array(r["x"], dtype=np.float64) for r in mine]
+        for r, v in zip(mine, made, strict=True):
+            block.setdefault((r["grp"], len(v)), []).append((r["query_id"], v))
+        block = {g: ([i for i, _ in v], np.stack([x for _, x in v])) for g, v in block.items()}
+        shared = rows.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                groups, keys, xs = (c.to_pylist() for c in batch.columns)
+                vs = embed(xs) if embed else [None if x is None or None in x else np.array(x, dtype=np.float64) for x in xs]
+                by: dict = {}
+                for i, (g, key, v) in enumerate(zip(groups, keys, vs, strict=True)):
+                    if v is not None and key is not None and (g, len(v)) in shared.value:
+                        by.setdefault((g, len(v)), []).append(i)
+                ids, out, scores = [], [], []
+                for g, members in by.items():
+                    queried, q = shared.value[g]
+                    m = np.stack([vs[i] for i in members])
+                    names = np.argsort(np.argsort(np.array([keys[i] for i in members], dtype=object)))
+                    s = sign * _scores(q, m, metric)
+                    r = np.round(s, 10)
+                    for j, row in enumerate(r):
+                        at = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]) if len(row) > k else np.arange(len(row))
+                        if positive:
+                            at = at[s[j, at] < 0]
+                        at = at[np.lexsort((names[at], row[at]))][:k]
+                        ids += [queried[j]] * len(at)
+                        out += [keys[members[i]] for i in at.tolist()]
+                        scores += (sign * s[j, at]).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(ids, schema.field(0).type), pa.array(out, schema.field(1).type), pa.array(scores, pa.float64())], schema=schema)
+
+        schema = pa.schema([("query_id", _ARROW[ident]), ("key", _ARROW[kind]), ("score", pa.float64())])
+        one = map_arrow(rows.select("grp", "key", "x"), run, f"query_id {ident}, key {kind}, score double")
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        found = queries.select("query_id").limit(0).withColumn("key", F.lit(None).cast(kind)).withColumn("score", F.lit(0.0))
+    w = Window.partitionBy("query_id").orderBy(F.round(sign * F.col("score"), 10), "key")
+    return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+
+
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
+
+def _scores(q: np.ndarray, m: np.ndarray, metric: str) -> np.ndarray:
+    """One row a query, one column a row; cosine with a vector of zeros is 0."""
+    if metric == "l2":
+        return np.stack([np.sqrt(((x - m) ** 2).sum(axis=1)) for x in q])
+    if metric == "cosine":
+        norm = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((m * m).sum(axis=1))[None]
+        return np.divide(q @ m.T, norm, out=np.zeros(norm.shape), where=norm > 0)
+    return q @ m.T

@@ -145,15 +145,38 @@ r AS (SELECT query_id, key, round(score, 8) AS score, row_number() OVER (PARTITI
 SELECT * FROM r WHERE rank <= 10"""
 )
 def bow_cosine_search(spark, root):
-    """The ten chunks of a query's repository nearest to it by bag-of-words cosine; only shared buckets are joined."""
-    c = table(spark, root, "chunks")
-    q = table(spark, root, "queries")
-    b = vectors.bag_of_words(c.select("id", "content").distinct(), "id", "content").join(c.select(F.col("id").alias("key"), "repo").distinct(), "key")
-    v = vectors.bag_of_words(q, "query_id", "query_text").join(q.select(F.col("query_id").alias("key"), "repo"), "key")
-    j = v.select(F.col("key").alias("query_id"), "repo", "bucket", F.col("value").alias("x")).join(b, ["repo", "bucket"])
-    s = j.groupBy("query_id", "key").agg(F.sum(F.col("x") * F.col("value")).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.round("score", 10).desc(), "key")
-    return s.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 10").withColumn("score", F.round("score", 8))
+    """The ten chunks of a query's repository nearest to it by bag-of-words cosine, of those that share a bucket with it."""
+    return _bow_search(spark, root, 10)
+
+
+def _bow_search(spark: SparkSession, root: str, k: int) -> DataFrame:
+    """A chunk is embedded where it is read; ids delivered twice come twice among the best and are made one at the end."""
+    c = table(spark, root, "chunks").select(F.col("repo").alias("grp"), F.col("id").alias("key"), F.col("content").alias("x")).distinct()
+    q = table(spark, root, "queries").select("query_id", F.col("repo").alias("grp"), F.col("query_text").alias("x"))
+    return vectors.search(c, q, k, positive=True, embed=vectors.embedder()).withColumn("score", F.round("score", 8))
+
+
+_VEC_ALL = """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0),
+d AS (SELECT query_id, vec_id AS key, {0} AS score FROM embeddings, q),
+r AS (SELECT query_id, key, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10){1}, key) AS rank FROM d)
+SELECT query_id, key, score, rank FROM r WHERE rank <= {2}"""
+
+
+def _knn(spark: SparkSession, root: str, k: int, metric: str) -> DataFrame:
+    e = table(spark, root, "embeddings").select(F.lit(0).alias("grp"), F.col("vec_id").alias("key"), F.col("embedding").alias("x"))
+    q = e.where(F.col("key") % 20 == 0).withColumnRenamed("key", "query_id")
+    return vectors.search(e, q, k, metric).withColumn("score", F.round("score", 6) + 0.0)
+
+
+@query(_VEC_ALL.format("list_distance(embedding::DOUBLE[], v)", "", 90))
+def knn_l2_all(spark, root):
+    """The 90 nearest of all vectors for every vector whose id is divisible by 20."""
+    return _knn(spark, root, 90, "l2")
+
+
+@query(_VEC_ALL.format("list_cosine_similarity(embedding::DOUBLE[], v)", " DESC", 30))
+def knn_cosine_all(spark, root):
+    return _knn(spark, root, 30, "cosine")
 
 
 # Query classification and symbols.
@@ -291,6 +314,29 @@ def multi_repo_normalised(spark, root):
     return _rounded(fusion.normalised(_fused_top(spark, root).join(q, "query_id"), "repo")).select("repo", "query_id", "chunk_id", "score")
 
 
+@query(
+    f"""WITH {_LISTS}, f AS ({_FUSE.format(_QF, '')}), ranked AS (SELECT f.*, row_number() OVER (PARTITION BY f.query_id ORDER BY round(score, 10) DESC, chunk_id) AS place, top_k FROM f JOIN queries USING (query_id)),
+again AS (SELECT query_id, chunk_id, round(1e0 - 0.01e0 * (place - 1), 6) AS score, reason || '+reranked' AS reason, top_k FROM ranked WHERE place <= 3 * top_k),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS position FROM again) SELECT query_id, chunk_id, score, reason, position FROM p WHERE position <= top_k"""
+)
+def rerank_window(spark, root):
+    """The three times top_k best are reranked, of these top_k stay."""
+    q = table(spark, root, "queries").select("query_id", "top_k")
+    wide = fusion.top(fusion.reciprocal(*_lists(spark, root)).join(q, "query_id"), 3 * F.col("top_k"))
+    again = fusion.rerank_by_place(wide).drop("position").withColumn("score", F.round("score", 6))
+    return fusion.top(again, F.col("top_k")).drop("top_k")
+
+
+@query(
+    f"""WITH {_TOP}, j AS (SELECT repo, t.query_id, chunk_id, score FROM top t JOIN queries USING (query_id)), b AS (SELECT repo, max(score) AS best FROM j GROUP BY repo),
+n AS (SELECT repo, query_id, chunk_id, round(CASE WHEN best > 0 THEN score / best ELSE score END, 8) AS score FROM j JOIN b USING (repo))
+SELECT * FROM n ORDER BY score DESC, repo, query_id, chunk_id LIMIT 100"""
+)
+def multi_repo_top(spark, root):
+    """The hundred best results over all repositories, on one scale."""
+    return multi_repo_normalised(spark, root).orderBy(F.col("score").desc(), "repo", "query_id", "chunk_id").limit(100)
+
+
 @query(f"WITH {_TOP}, p AS (SELECT DISTINCT chunk_id, file_path FROM search_rows) SELECT query_id, file_path, min(position) AS first_position FROM top JOIN p USING (chunk_id) GROUP BY ALL")
 def distinct_files(spark, root):
     p = table(spark, root, "search_rows").select("chunk_id", "file_path").distinct()
@@ -330,6 +376,48 @@ def graph_expand_onehop(spark, root):
     return graph.expand(seeds, fused.select("query_id", "chunk_id"), table(spark, root, "refs"), table(spark, root, "symbol_lookup"), table(spark, root, "chunks"))
 
 
+_ON_BRANCH = """br AS (SELECT id AS chunk_id, max(coalesce(branches, '')) AS branches FROM chunks GROUP BY id),
+f AS (SELECT g.* FROM g JOIN br USING (chunk_id) JOIN queries USING (query_id) WHERE coalesce(branch, '') = '' OR branches = '' OR list_contains(string_split(branches, ','), branch))"""
+
+
+@query(
+    f"""WITH {_LISTS}, g AS ({_FUSE.format(_QF, '')}), {_ON_BRANCH}, pos AS (SELECT f.*, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, chunk_id) AS position FROM f),
+base AS (SELECT query_id, chunk_id, score, reason, position FROM pos JOIN queries USING (query_id) WHERE position <= 2 * top_k),
+edges AS (SELECT DISTINCT repo, source_chunk_id AS chunk_id, target_symbol AS name FROM refs WHERE target_symbol IS NOT NULL),
+wanted AS (SELECT query_id, position, repo, name FROM pos JOIN edges USING (chunk_id) WHERE position <= 5), names AS (SELECT DISTINCT repo, name FROM wanted), {_LOOKUP},
+hits AS (SELECT query_id, chunk_id, min(struct_pack(position := position, name := name, place := place)) AS o FROM wanted JOIN (SELECT * FROM found WHERE place <= 25) USING (repo, name) GROUP BY ALL),
+fresh AS (SELECT h.* FROM hits h ANTI JOIN f USING (query_id, chunk_id)), slots AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY o, chunk_id) AS slot FROM fresh),
+ends AS (SELECT query_id, max(position) AS last FROM base GROUP BY query_id),
+more AS (SELECT query_id, chunk_id, 0e0 AS score, 'graph_expansion' AS reason, last + row_number() OVER (PARTITION BY query_id ORDER BY slot) AS position FROM slots JOIN ends USING (query_id) WHERE slot <= 10)
+SELECT query_id, chunk_id, round(score, 8) AS score, reason, position FROM base UNION ALL
+SELECT query_id, chunk_id, score, reason, position FROM more JOIN queries USING (query_id) WHERE position <= 2 * top_k"""
+)
+def branch_results_filled(spark, root):
+    """Twice top_k results on a query's branch; what the branch leaves empty is filled by the chunks the first five refer to."""
+    q = table(spark, root, "queries").select("query_id", "top_k", F.coalesce("branch", F.lit("")).alias("branch"))
+    br = table(spark, root, "chunks").groupBy(F.col("id").alias("chunk_id")).agg(F.max(F.coalesce("branches", F.lit(""))).alias("branches"))
+    j = fusion.reciprocal(*_lists(spark, root)).join(q, "query_id").join(br, "chunk_id")
+    f = j.where((F.col("branch") == "") | (F.col("branches") == "") | F.array_contains(F.split("branches", ","), F.col("branch"))).select("query_id", "chunk_id", "score", "reason", "top_k")
+    placed = fusion.top(f, F.greatest(2 * F.col("top_k"), F.lit(graph.SEEDS)))
+    seeds = placed.where(F.col("position") <= graph.SEEDS)
+    more = graph.expand(seeds, f.select("query_id", "chunk_id"), table(spark, root, "refs"), table(spark, root, "symbol_lookup"), table(spark, root, "chunks"))
+    base = placed.where(F.col("position") <= 2 * F.col("top_k"))
+    out = fusion.fill(base.drop("top_k"), more, F.lit(1_000_000)).join(q.select("query_id", "top_k"), "query_id")
+    return _rounded(out.where(F.col("position") <= 2 * F.col("top_k")).drop("top_k"))
+
+
+@query(
+    """WITH n AS (SELECT DISTINCT repo, target_symbol AS name FROM refs WHERE target_symbol IS NOT NULL), k AS (SELECT DISTINCT repo, id, symbol_name FROM chunks WHERE symbol_name IS NOT NULL),
+h AS (SELECT n.repo, n.name, k.id AS chunk_id, row_number() OVER (PARTITION BY n.repo, n.name ORDER BY k.id) AS place FROM n JOIN k ON n.repo = k.repo AND lower(n.name) = lower(k.symbol_name)) SELECT * FROM h WHERE place <= 5"""
+)
+def symbol_exact_of_targets(spark, root):
+    """For each name that references use at most five chunks of that name in the repository, letter case ignored."""
+    n = table(spark, root, "refs").where("target_symbol is not null").select("repo", F.col("target_symbol").alias("name"), F.lower("target_symbol").alias("lc")).distinct()
+    k = table(spark, root, "chunks").where("symbol_name is not null").select("repo", F.col("id").alias("chunk_id"), F.lower("symbol_name").alias("lc")).distinct()
+    w = Window.partitionBy("repo", "name").orderBy("chunk_id")
+    return n.join(k, ["repo", "lc"]).withColumn("place", F.row_number().over(w).cast("long")).where("place <= 5").select("repo", "name", "chunk_id", "place")
+
+
 # Identity, chunking, references.
 
 
@@ -373,20 +461,39 @@ _WHOLE = "SELECT DISTINCT repo, file_path, id, start_line, end_line, symbol_name
 
 
 @query(
-    f"""WITH w AS ({_WHOLE}), l AS (SELECT repo, file_path, CAST(unnest(range(10, max(end_line) + 20, 10)) AS INTEGER) AS line FROM w GROUP BY repo, file_path),
-a AS (SELECT l.repo, l.file_path, l.line, arg_max(id, start_line) FILTER (WHERE start_line <= line) AS id, max(end_line) FILTER (WHERE start_line <= line) AS e, arg_min(id, start_line) AS first FROM l JOIN w USING (repo, file_path) GROUP BY ALL)
-SELECT repo, file_path, line, CASE WHEN line <= e THEN id ELSE first END AS chunk_id FROM a"""
+    f"""WITH w AS ({_WHOLE}), l AS (SELECT repo, file_path, CAST(unnest(range(1, max(end_line) + 1)) AS INTEGER) AS line FROM w GROUP BY repo, file_path),
+a AS (SELECT l.repo, l.file_path, l.line, max(struct_pack(s := start_line, id := id, e := end_line)) FILTER (WHERE start_line <= line) AS hit, min(struct_pack(s := start_line, id := id)) AS head FROM l JOIN w USING (repo, file_path) GROUP BY ALL)
+SELECT repo, file_path, line, CASE WHEN line <= hit.e THEN hit.id ELSE head.id END AS chunk_id FROM a"""
 )
 def ref_line_to_chunk(spark, root):
-    """Each tenth line of a file to the chunk that holds it; lines in none fall to the file's first chunk."""
-    c = table(spark, root, "chunks")
-    w = c.where(F.coalesce(F.trim("parent_chunk_id"), F.lit("")) == "").select("repo", "file_path", "id", "start_line", "end_line").distinct()
-    l = w.groupBy("repo", "file_path").agg(F.max("end_line").alias("m")).select("repo", "file_path", F.explode(F.sequence(F.lit(10), F.floor((F.col("m") + 19) / 10).cast("int") * 10, F.lit(10))).alias("line"))
-    before = F.col("start_line") <= F.col("line")
-    a = l.join(w, ["repo", "file_path"]).groupBy("repo", "file_path", "line").agg(
-        F.max(F.when(before, F.struct("start_line", "id"))).alias("at"), F.max(F.when(before, F.col("end_line"))).alias("e"), F.min(F.struct("start_line", "id")).alias("first")
-    )
-    return a.select("repo", "file_path", "line", F.when(F.col("line") <= F.col("e"), F.col("at.id")).otherwise(F.col("first.id")).alias("chunk_id"))
+    """Every line of a file to the chunk that holds it, the last to start at or before it; lines in none fall to the file's first chunk.
+
+    Lines and starts of chunks lie in one order, so a file costs one sort and no line meets every chunk."""
+    w = _whole(spark, root)
+    span = F.struct(F.col("start_line").alias("s"), "id", F.col("end_line").alias("e"))
+    starts = w.groupBy("repo", "file_path", F.col("start_line").alias("line")).agg(F.max(span).alias("at"))
+    ends = w.groupBy("repo", "file_path").agg(F.max("end_line").alias("m"), F.min(F.struct("start_line", "id"))["id"].alias("first"))
+    lines = ends.select("repo", "file_path", "first", F.explode(F.sequence(F.lit(1), F.col("m"))).alias("line")).join(starts, ["repo", "file_path", "line"], "left")
+    at = F.last("at", ignorenulls=True).over(Window.partitionBy("repo", "file_path").orderBy("line"))
+    return lines.withColumn("at", at).select("repo", "file_path", "line", F.when(F.col("line") <= F.col("at.e"), F.col("at.id")).otherwise(F.col("first")).alias("chunk_id"))
+
+
+def _whole(spark: SparkSession, root: str) -> DataFrame:
+    w = table(spark, root, "chunks").where(F.coalesce(F.trim("parent_chunk_id"), F.lit("")) == "")
+    return w.select("repo", "file_path", "id", "start_line", "end_line", "symbol_name").distinct()
+
+
+@query(
+    f"""WITH w AS ({_WHOLE}), s AS (SELECT DISTINCT repo, file_path, id, start_line AS line FROM chunks WHERE coalesce(trim(parent_chunk_id), '') <> '')
+SELECT s.id, count(w.id) > 0 AS inside, min(w.id) AS holder FROM s LEFT JOIN w ON s.repo = w.repo AND s.file_path = w.file_path AND s.line BETWEEN w.start_line AND w.end_line GROUP BY s.id"""
+)
+def span_membership(spark, root):
+    """For each sub-chunk whether its first line lies in a whole chunk of its file, and in which: the file's spans travel as one array."""
+    spans = _whole(spark, root).groupBy("repo", "file_path").agg(F.collect_list(F.struct("id", "start_line", "end_line")).alias("spans"))
+    s = table(spark, root, "chunks").where(F.coalesce(F.trim("parent_chunk_id"), F.lit("")) != "").select("repo", "file_path", "id", F.col("start_line").alias("line")).distinct()
+    hits = F.filter("spans", lambda x: F.col("line").between(x["start_line"], x["end_line"]))
+    j = s.join(spans, ["repo", "file_path"], "left").select("id", F.coalesce(F.transform(hits, lambda x: x["id"]), F.array()).alias("ids"))
+    return j.groupBy("id").agg(F.max(F.size("ids") > 0).alias("inside"), F.min(F.array_min("ids")).alias("holder"))
 
 
 @query(
@@ -443,6 +550,63 @@ def php_refs(spark, root):
     return one(r"(?m)^use[ \t]+(?:function[ \t]+|const[ \t]+)?([\w\\]+)[ \t]*;", "import").unionByName(one(r"(?m)^(?:abstract |final )?class[ \t]+\w+[ \t]+extends[ \t]+([\w\\]+)", "inherits"))
 
 
+_PY_ALL = """WITH c AS (SELECT DISTINCT id, content FROM chunks WHERE regexp_matches(file_path, '(?i)\\.pyi?$')),
+f AS (SELECT id, unnest(regexp_extract_all(content, '(?m)^from[ \\t]+([\\w.]+)[ \\t]+import[ \\t]+[^\\n]+$', 1)) AS module, unnest(regexp_extract_all(content, '(?m)^from[ \\t]+[\\w.]+[ \\t]+import[ \\t]+([^\\n]+)$', 1)) AS names FROM c),
+n AS (SELECT id, module, trim(split_part(trim(unnest(string_split(trim(regexp_replace(names, '[ \\t]+#.*$', ''), '() \t'), ','))), ' as ', 1)) AS name FROM f),
+k AS (SELECT id, unnest(regexp_extract_all(content, '(?m)^class[ \\t]+\\w+\\(([^)]+)\\)', 1)) AS bases FROM c),
+b AS (SELECT id, trim(split_part(unnest(string_split(bases, ',')), '[', 1)) AS name FROM k)
+SELECT id, module || '.' || name AS target, 'import' AS ref_type FROM n WHERE name <> '' AND name <> '*'
+UNION ALL SELECT id, unnest(regexp_extract_all(content, '(?m)^import[ \\t]+([\\w.]+)', 1)), 'import' FROM c
+UNION ALL SELECT id, name, 'inherits' FROM b WHERE name <> '' AND name <> 'object'
+UNION ALL SELECT id, unnest(regexp_extract_all(content, '(?m)^@([\\w.]+)', 1)), 'decorator' FROM c"""
+
+
+def _refs(spark: SparkSession, root: str, ending: str) -> DataFrame:
+    """The references in every chunk of the files with this ending, by the extraction the index uses."""
+    import pyarrow as pa
+
+    from quarry.operators import references
+    from quarry.sources.session import map_arrow
+
+    def run(batches):
+        for batch in batches:
+            rows = [(i, target, kind) for i, path, text in zip(*[c.to_pylist() for c in batch.columns], strict=True) for _, target, kind in references.found(path, text or "")]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (zip(*rows, strict=True) if rows else ((), (), ()))], names=["id", "target", "ref_type"])
+
+    c = table(spark, root, "chunks").where(F.col("file_path").rlike(ending) & ~F.col("file_path").rlike(r"(?i)\.blade\.php$"))
+    return map_arrow(c.groupBy("id", "content").agg(F.min("file_path").alias("file_path")).select("id", "file_path", "content"), run, "id string, target string, ref_type string")
+
+
+@query(_PY_ALL)
+def python_refs_all(spark, root):
+    """Imports of both forms, base classes and decorators of Python chunks."""
+    return _refs(spark, root, r"(?i)\.pyi?$")
+
+
+@query(
+    """WITH c AS (SELECT DISTINCT id, content FROM chunks WHERE regexp_matches(file_path, '(?i)\\.(ts|tsx|js|jsx|mjs|cjs|vue)$')),
+k AS (SELECT id, unnest(regexp_extract_all(content, 'import\\s+\\{([^}]+)\\}\\s+from\\s+[''"][^''"]+[''"]', 1)) AS names FROM c), m AS (SELECT id, unnest(string_split(names, ',')) AS n FROM k)
+SELECT id, regexp_replace(split_part(regexp_replace(n, '^\\s+|\\s+$', '', 'g'), ' as ', 1), '\\s+$', '') AS target, 'import' AS ref_type FROM m WHERE regexp_replace(n, '\\s+', '', 'g') <> ''
+UNION ALL SELECT id, unnest(regexp_extract_all(content, 'import\\s+(\\w+)\\s+from\\s+[''"][^''"]+[''"]', 1)), 'import' FROM c"""
+)
+def ts_refs_all(spark, root):
+    """Named and default imports of TypeScript, JavaScript and Vue chunks."""
+    return _refs(spark, root, r"(?i)\.(ts|tsx|js|jsx|mjs|cjs|vue)$")
+
+
+@query(
+    """WITH c AS (SELECT DISTINCT id, content FROM chunks WHERE regexp_matches(file_path, '(?i)\\.php$') AND NOT regexp_matches(file_path, '(?i)\\.blade\\.php$')),
+b AS (SELECT id, unnest(regexp_extract_all(content, '\\b(?:class|interface)\\s+\\w+\\s+extends\\s+([\\w\\\\,\\s]+?)\\s*(?:\\{|implements\\b)', 1)) AS names FROM c
+ UNION ALL SELECT id, unnest(regexp_extract_all(content, '\\bimplements\\s+([\\w\\\\,\\s]+?)\\s*\\{', 1)) FROM c),
+n AS (SELECT id, ltrim(regexp_replace(unnest(string_split(names, ',')), '^\\s+|\\s+$', '', 'g'), '\\') AS name FROM b)
+SELECT id, ltrim(unnest(regexp_extract_all(content, '(?m)^\\s*use\\s+(?:function\\s+|const\\s+)?([\\w\\\\]+)(?:\\s+as\\s+\\w+)?\\s*;', 1)), '\\') AS target, 'import' AS ref_type FROM c
+UNION ALL SELECT id, name, 'inherits' FROM n WHERE name <> ''"""
+)
+def php_refs_all(spark, root):
+    """Imports and the parents and interfaces of PHP chunks."""
+    return _refs(spark, root, r"(?i)\.php$")
+
+
 # Index upkeep.
 
 
@@ -579,11 +743,63 @@ def coverage_share(spark, root):
     return j.groupBy("source").agg(F.count("*").alias("n_rows"), F.count("v").alias("n_vectors"), F.round(F.count("v") / F.count("*"), 4).alias("coverage"))
 
 
-@query("SELECT r.repo, r.state FROM repos r ANTI JOIN (SELECT DISTINCT repo FROM chunks WHERE repo LIKE '%-%') c USING (repo)")
+@query("SELECT c.repo, count(DISTINCT id) AS n_chunks FROM chunks c ANTI JOIN (SELECT repo FROM repos WHERE state IS NOT NULL) r USING (repo) GROUP BY c.repo")
 def orphan_indexes(spark, root):
-    """Registered repositories without any chunk (here: among those with a dash in their name)."""
-    c = table(spark, root, "chunks").where(F.col("repo").like("%-%")).select("repo").distinct()
-    return table(spark, root, "repos").select("repo", "state").join(c, "repo", "left_anti")
+    """Indexes, with their chunks, whose repository is not registered or has no state any more."""
+    live = table(spark, root, "repos").where("state is not null").select("repo")
+    return table(spark, root, "chunks").join(live, "repo", "left_anti").groupBy("repo").agg(F.countDistinct("id").alias("n_chunks"))
+
+
+@query(
+    """WITH c AS (SELECT repo, count(DISTINCT id) AS chunks, count(DISTINCT id) FILTER (WHERE search_quality = 'ast') AS ast, count(DISTINCT id) FILTER (WHERE search_quality = 'regex') AS regex,
+ count(DISTINCT id) FILTER (WHERE search_quality = 'text_fallback') AS text_fallback, max(indexed_at) AS indexed_at FROM chunks GROUP BY repo),
+f AS (SELECT repo, count(DISTINCT file_path) AS files, count(DISTINCT file_path) FILTER (WHERE coalesce(content_hash, '') = '') AS unhashed FROM file_hashes GROUP BY repo),
+r AS (SELECT repo, count(DISTINCT ref_id) AS refs FROM refs GROUP BY repo), s AS (SELECT repo, count(DISTINCT symbol_name) FILTER (WHERE removed_at IS NULL) AS symbols FROM symbol_lookup GROUP BY repo)
+SELECT repo, state, default_branch, main_lang, coalesce(files, 0) AS files, coalesce(unhashed, 0) AS unhashed, coalesce(chunks, 0) AS chunks, coalesce(ast, 0) AS ast, coalesce(regex, 0) AS regex, coalesce(text_fallback, 0) AS text_fallback,
+ coalesce(refs, 0) AS refs, coalesce(symbols, 0) AS symbols, indexed_at FROM repos LEFT JOIN c USING (repo) LEFT JOIN f USING (repo) LEFT JOIN r USING (repo) LEFT JOIN s USING (repo)"""
+)
+def catalogue_rollup(spark, root):
+    """One row per registered repository: state and counts of everything the index has of it."""
+    t = lambda n: table(spark, root, n).groupBy("repo")
+    of = lambda q: F.countDistinct(F.when(F.col("search_quality") == q, F.col("id"))).alias(q)
+    c = t("chunks").agg(F.countDistinct("id").alias("chunks"), of("ast"), of("regex"), of("text_fallback"), F.max("indexed_at").alias("indexed_at"))
+    f = t("file_hashes").agg(F.countDistinct("file_path").alias("files"), F.countDistinct(F.when(F.coalesce("content_hash", F.lit("")) == "", F.col("file_path"))).alias("unhashed"))
+    r = t("refs").agg(F.countDistinct("ref_id").alias("refs"))
+    s = t("symbol_lookup").agg(F.countDistinct(F.when(F.col("removed_at").isNull(), F.col("symbol_name"))).alias("symbols"))
+    j = table(spark, root, "repos").join(c, "repo", "left").join(f, "repo", "left").join(r, "repo", "left").join(s, "repo", "left")
+    n = [F.coalesce(x, F.lit(0)).alias(x) for x in ("files", "unhashed", "chunks", "ast", "regex", "text_fallback", "refs", "symbols")]
+    return j.select("repo", "state", "default_branch", "main_lang", *n, "indexed_at")
+
+
+_ALLOWED = {"symbol_type": "function method class_shell interface type_alias enum component variable module block section assignment".split(), "search_quality": ["ast", "regex", "text_fallback"]}
+
+
+@query(
+    "SELECT DISTINCT id, symbol_type NOT IN ({}) OR symbol_type IS NULL AS bad_type, search_quality NOT IN ({}) OR search_quality IS NULL AS bad_quality, coalesce(start_line > end_line OR start_line < 1, true) AS bad_lines FROM chunks "
+    "WHERE symbol_type NOT IN ({}) OR symbol_type IS NULL OR search_quality NOT IN ({}) OR search_quality IS NULL OR coalesce(start_line > end_line OR start_line < 1, true) OR end_line - start_line > 60".format(
+        *[", ".join(f"'{x}'" for x in _ALLOWED[k]) for k in ("symbol_type", "search_quality", "symbol_type", "search_quality")]
+    )
+)
+def constraint_violations(spark, root):
+    """Chunks that break a constraint of the index, and those of more than 60 lines, with what each breaks."""
+    c = table(spark, root, "chunks")
+    out = lambda k: ~F.col(k).isin(_ALLOWED[k]) | F.col(k).isNull()
+    lines = F.coalesce((F.col("start_line") > F.col("end_line")) | (F.col("start_line") < 1), F.lit(True))
+    rows = c.select("id", out("symbol_type").alias("bad_type"), out("search_quality").alias("bad_quality"), lines.alias("bad_lines"), (F.col("end_line") - F.col("start_line") > 60).alias("long"))
+    return rows.where("bad_type or bad_quality or bad_lines or long").drop("long").distinct()
+
+
+@query(
+    "SELECT file_path, lower(file_path) AS key, row_number() OVER (ORDER BY file_path) AS place FROM (SELECT DISTINCT file_path FROM file_hashes WHERE file_path IS NOT NULL AND file_path <> '' AND NOT regexp_matches(file_path, '(^|/)[.][.](/|$)|^/|^[A-Za-z]:|[\\\\]'))"
+)
+def sorted_safe_paths(spark, root):
+    """The paths that lie inside their repository, in order, numbered over all without one task holding them all."""
+    from quarry.functions.ranks import spread_rank
+    from quarry.functions.search import inside
+
+    p = table(spark, root, "file_hashes").where(inside(F.col("file_path"))).select("file_path").distinct()
+    ranked = spread_rank(p.withColumn("_g", F.lit(0)), ["_g"], "file_path")
+    return ranked.select("file_path", F.lower("file_path").alias("key"), F.col("rank").cast("long").alias("place"))
 
 
 # Streams and chunkers.
@@ -668,12 +884,18 @@ def files_without_chunks(spark, root):
     return f.exceptAll(c)
 
 
-@query("SELECT a.repo AS repo_a, b.repo AS repo_b FROM repos a JOIN repos b ON a.default_branch = b.default_branch AND a.main_lang = b.main_lang AND a.repo < b.repo")
-def same_identity(spark, root):
-    """Pairs of registered repositories with the same branch and language (a fixed table of 24 rows)."""
-    r = table(spark, root, "repos")
-    a, b = r.alias("a"), r.alias("b")
-    return a.join(b, (F.col("a.default_branch") == F.col("b.default_branch")) & (F.col("a.main_lang") == F.col("b.main_lang")) & (F.col("a.repo") < F.col("b.repo"))).select(F.col("a.repo").alias("repo_a"), F.col("b.repo").alias("repo_b"))
+@query(
+    """WITH h AS (SELECT DISTINCT repo, content_hash FROM file_hashes WHERE content_hash IS NOT NULL AND content_hash <> '')
+SELECT a.repo AS repo_a, b.repo AS repo_b, count(*) AS n_shared FROM h a JOIN h b ON a.content_hash = b.content_hash AND a.repo < b.repo GROUP BY ALL"""
+)
+def identity_overlap(spark, root):
+    """Pairs of repositories that share contents, with how many: what tells copies of one repository apart from strangers.
+
+    A content is held by at most as many rows as there are repositories."""
+    h = table(spark, root, "file_hashes").where("content_hash is not null and content_hash <> ''").select("repo", "content_hash").distinct()
+    a, b = h.alias("a"), h.alias("b")
+    j = a.join(b, (F.col("a.content_hash") == F.col("b.content_hash")) & (F.col("a.repo") < F.col("b.repo")))
+    return j.groupBy(F.col("a.repo").alias("repo_a"), F.col("b.repo").alias("repo_b")).agg(F.count("*").alias("n_shared"))
 
 
 @query("SELECT symbol_type, count(*) AS n_chunks, round(avg(end_line - start_line + 1), 6) AS mean_lines, max(end_line - start_line + 1) AS most_lines FROM (SELECT DISTINCT id, symbol_type, start_line, end_line FROM chunks) GROUP BY symbol_type")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,33 +11,55 @@ from quarry.operators.index import latest
 from quarry.sources.tables import shared_dir
 
 
-def refresh_stream(spark: SparkSession, source: str, keys: list[str], order: list[str], every: str | None = None) -> DataFrame:
+def _versions(spark: SparkSession, base: str) -> list[int]:
+    """The numbers of the states under base that were written whole, ascending."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(path)]
+    whole = lambda n: fs.exists(jvm.org.apache.hadoop.fs.Path(f"{base}/{n}/_SUCCESS"))
+    return sorted(int(n[6:]) for n in names if n.startswith("state-") and n[6:].isdigit() and whole(n))
+
+
+def refresh_stream(
+    spark: SparkSession, source: str, keys: list[str], order: list[str], every: str | None = None, base: str | None = None, files_a_batch: int | None = None, keep: int = 2
+) -> DataFrame:
     """The last state per key of all rows that have arrived under `source`, kept by a stream.
 
-    Each micro-batch is merged into a new version of the state in the shared folder and named by its batch, so a
-    batch that is run again after a failure writes the same version. Without `every` all that is there is taken and
-    the stream ends; with it (say `300 seconds`) the stream goes on and the state so far is returned."""
-    base = f"{shared_dir(spark)}/refresh-{uuid.uuid4().hex}"
+    Each micro-batch is merged into the state before its number, found on disk, and written as the state of its number:
+    a batch that is run again after a failure reads the same state and writes the same result, and a stream that is
+    started again goes on where it stopped. `base` is the folder of progress and states, by default one in the shared
+    folder that belongs to this source; states but the last `keep` are removed. Without `every` all that is there is taken
+    and the stream ends; with it (say `300 seconds`) the stream takes what is there, batch by batch, and the state so far is
+    returned. An empty source gives no rows."""
+    base = base or f"{shared_dir(spark)}/refresh-{hashlib.sha256('|'.join([source, *keys, *order]).encode()).hexdigest()[:16]}"
     schema = spark.read.parquet(source).schema
-    version: dict[str, int] = {}
 
     def merge(batch: DataFrame, number: int) -> None:
-        old = version.get("n")
-        rows = batch if old is None or old == number else batch.unionByName(spark.read.schema(schema).parquet(f"{base}/state-{old}"))
+        before = [v for v in _versions(spark, base) if v < number]
+        rows = batch.select(*schema.names)
+        if before:
+            rows = rows.unionByName(spark.read.schema(schema).parquet(f"{base}/state-{before[-1]}"))
         latest(rows, keys, order).write.mode("overwrite").parquet(f"{base}/state-{number}")
-        version["n"] = number
+        for old in before[: max(0, len(before) + 1 - keep)]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/state-{old}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     pattern = f"{source[:-1]}[{source[-1]}]"  # a pattern may name a single file as well as a folder
-    writer = spark.readStream.schema(schema).parquet(pattern).writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/progress")
+    reader = spark.readStream.schema(schema)
+    if files_a_batch:
+        reader = reader.option("maxFilesPerTrigger", files_a_batch)
+    writer = reader.parquet(pattern).writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/progress")
     stream = (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
     if every:
         stream.processAllAvailable()
         stream.stop()
     else:
         stream.awaitTermination()
-    if "n" not in version:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{base}/state-{version['n']}")
+    known = _versions(spark, base)
+    return spark.read.schema(schema).parquet(f"{base}/state-{known[-1]}") if known else spark.createDataFrame([], schema)
 
 
 def stale_files(state: DataFrame, now_ns: int, age_ns: int) -> DataFrame:

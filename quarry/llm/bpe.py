@@ -53,21 +53,26 @@ class PairIndexEncoder:
     def learn(self, pieces: list[str]) -> None:
         """Enters the ids of new pieces in self.known, as little-endian int32."""
         rank, first = self.rank, self.first
-        sym: list[int] = []
-        starts = []
-        for p in pieces:
-            starts.append(len(sym))
-            sym.extend([first[b] for b in p.encode("utf-8", "replace")])
-            sym.append(-1)
-        n = len(sym)
+        raw = [p.encode("utf-8", "replace") for p in pieces]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        ends = np.cumsum(sizes + 1)
+        starts = ends - sizes - 1
+        laid = np.full(int(ends[-1]), -1, dtype=np.int64)
+        inner = np.ones(len(laid), dtype=bool)
+        inner[ends - 1] = False
+        laid[inner] = np.array(first, dtype=np.int64)[np.frombuffer(b"".join(raw), dtype=np.uint8)]
+        n = len(laid)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         where: dict[tuple[int, int], list[int]] = {}
-        for i in range(n - 1):
-            pair = (sym[i], sym[i + 1])
-            if pair in where:
-                where[pair].append(i)
-            elif pair in rank:
-                where[pair] = [i]
+        both = laid[:-1] << 32 | (laid[1:] & 0xFFFFFFFF)
+        order = np.argsort(both, kind="stable")
+        cuts = np.flatnonzero(np.diff(both[order])) + 1
+        for places in np.split(order, cuts):
+            i = int(places[0]) if len(places) else -1
+            pair = (int(laid[i]), int(laid[i + 1])) if i >= 0 else None
+            if pair in rank:
+                where[pair] = places.tolist()
+        sym = laid.tolist()
         active = [(*rank[p], p) for p in where]
         heapq.heapify(active)
         while active:
@@ -105,12 +110,14 @@ class PairIndexEncoder:
                         where[q] = [h]
                         heapq.heappush(active, (*rank[q], q))
         flat = np.array(sym, dtype=np.int32)
-        ends = [*starts[1:], n]
-        for p, s, e in zip(pieces, starts, ends, strict=True):
-            x = flat[s : e - 1]
-            self.known[p] = x[x >= 0].tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+        kept = flat >= 0
+        upto = np.concatenate(([0], np.cumsum(kept)))
+        ids = flat[kept].tobytes()
+        for p, s, e in zip(pieces, (4 * upto[starts]).tolist(), (4 * upto[ends - 1]).tolist(), strict=True):
+            self.known[p] = ids[s:e]
+
+    def split(self, texts: list[str | None]) -> list[list[str]]:
+        """The pieces of every text, all of them known afterwards."""
         split = [(_ASCII if t.isascii() else _FULL).findall(t) if t else [] for t in texts]
         known = self.known
         if len(known) > KEPT:
@@ -118,8 +125,17 @@ class PairIndexEncoder:
         new = {p for s in split for p in s if p not in known}
         if new:
             self.learn(list(new))
-        get = known.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        return split
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        get = self.known.__getitem__
+        return [b"".join(map(get, s)) for s in self.split(texts)]
+
+    def count(self, texts: list[str | None]) -> list[int]:
+        """The number of ids of every text."""
+        split, known = self.split(texts), self.known
+        size = {p: len(known[p]) // 4 for p in {p for s in split for p in s}}.__getitem__
+        return [sum(map(size, s)) for s in split]
 
 
 @lru_cache(maxsize=4)
@@ -133,11 +149,11 @@ def _ids(path: str, counts: bool):
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                out = e.encode(part.column(1).to_pylist())
-                sizes = np.array([len(x) // 4 for x in out], dtype=np.int32)
                 if counts:
-                    ids = pa.array(sizes)
+                    ids = pa.array(e.count(part.column(1).to_pylist()), pa.int32())
                 else:
+                    out = e.encode(part.column(1).to_pylist())
+                    sizes = np.array([len(x) // 4 for x in out], dtype=np.int32)
                     ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(np.frombuffer(b"".join(out), dtype="<i4")))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["key", "ids"])
 

@@ -185,7 +185,7 @@ def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(repo, file_path, made, whole, masked, still): the features of a file as it is and masked, and whether the masked one still has evidence."""
+    """(repo, file_path, made, whole, masked, still): the features of a file as it is and, where that is another text, masked, and whether it then still has evidence."""
     for batch in batches:
         repos, paths, parts, made = (c.to_pylist() for c in batch.columns)
         whole, masked, still = [], [], []
@@ -193,7 +193,7 @@ def _learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             path, text = path or "", assemble(p)
             other = mask(text)
             whole.append(features(path, text).tobytes())
-            masked.append(features(path, other).tobytes())
+            masked.append(features(path, other).tobytes() if other != text.removeprefix("\ufeff") else None)
             still.append(bool(m) and evidence(path, other) is not None)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), batch.column(3), pa.array(whole, pa.binary()), pa.array(masked, pa.binary()), pa.array(still, pa.bool_())], names=["repo", "file_path", "made", "whole", "masked", "still"]
@@ -231,7 +231,7 @@ def _fit(rows: list) -> Model | None:
     for r in rows:
         x.append(np.frombuffer(r["whole"], np.int32))
         y.append(int(r["made"]))
-        if r["masked"] != r["whole"] and (r["still"] or not r["made"]):
+        if r["masked"] is not None and (r["still"] or not r["made"]):
             x.append(np.frombuffer(r["masked"], np.int32))
             y.append(int(r["made"]))
     return fit_svm(x, y) if len(set(y)) == 2 else None
@@ -249,7 +249,7 @@ def train(files: DataFrame) -> tuple[Model, dict[str, float]]:
     figures = {"files": len(rows), "held_out": len(last)}
     if last and first and (m := _fit(first)):
         for name, part in (("whole", last), ("masked", [r for r in last if r["still"] or not r["made"]])):
-            s = np.array([m.of(np.frombuffer(r[name], np.int32)) for r in part])
+            s = np.array([m.of(np.frombuffer(r[name] or r["whole"], np.int32)) for r in part])
             y = np.array([r["made"] for r in part], dtype=bool)
             figures |= {f"{name}_recall": (y & (s > 0)).sum() / max(1, y.sum()), f"{name}_precision": (y & (s > 0)).sum() / max(1, (s > 0).sum()), f"{name}_doubtful": (abs(s) < MARGIN).sum() / max(1, len(s))}
     return _fit(rows) or Model(np.zeros(VIEWS * BUCKETS), 0.0), figures

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.functions.bitmaps import bitmap, maybe
 from quarry.sources.session import map_arrow
 from quarry.sources.tables import cut
 
@@ -25,8 +26,6 @@ WORDS = -(-HASHES * BITS // 64)
 LEAST_ESTIMATE = 0.6
 #: Documents of a band that meet in one cell; a band with more is cut into blocks, every two of which meet in a cell of their own.
 BLOCK = 1024
-#: Words of 64 bits of the bitmap that texts are looked up in before they are shuffled (8 MB).
-MAP_WORDS = 1 << 19
 _WORD = re.compile(r"[a-z0-9_]+")
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -219,13 +218,10 @@ def representatives(rows: DataFrame) -> DataFrame:
 def texts_of(wanted: DataFrame, bodies: DataFrame, keys: list[str]) -> DataFrame:
     """keys and text of the rows of bodies whose keys, h among them, are wanted; written to the shared folder.
 
-    A bitmap of h, of MAP_WORDS words whatever the data, tells most other texts apart where they are read; what it lets
-    through meets the wanted keys in one shuffle. The keys themselves never travel to all executors."""
+    A bitmap of h tells most other texts apart where they are read; what it lets through meets the wanted keys in one
+    shuffle. The keys themselves never travel to all executors."""
     wanted = cut(wanted.select(*keys).distinct())
-    place = lambda c: F.shiftrightunsigned(F.col(c), 6).bitwiseAND(MAP_WORDS - 1)
-    bit = lambda c: F.expr(f"shiftleft(1L, cast({c} & 63 as int))")
-    bitmap = wanted.groupBy(place("h").alias("_place")).agg(F.bit_or(bit("h")).alias("_bits"))
-    near = bodies.select(*keys, "text").withColumn("_place", place("h")).join(F.broadcast(bitmap), "_place").where(F.col("_bits").bitwiseAND(bit("h")) != 0)
+    near = maybe(bodies.select(*keys, "text"), bitmap(wanted))
     return cut(near.select(*keys, "text").join(wanted.hint("merge"), keys, "left_semi"))
 
 

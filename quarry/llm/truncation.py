@@ -8,12 +8,14 @@ import re
 import warnings
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.bitmaps import bitmap, maybe
 from quarry.llm.minhash import WordHashes, cells, meet, mix, texts_of
 from quarry.sources.session import map_arrow
 from quarry.sources.tables import cut
@@ -21,8 +23,8 @@ from quarry.sources.tables import cut
 #: Words of a shingle, and the share of a copy's shingles that the longer text must have.
 SHINGLE, THRESHOLD = 5, 0.8
 #: Openings of LEAST_OPENING words, twice, four times as many and so on are signed by OPENING_BANDS bands of OPENING_ROWS minima:
-#: equal openings always meet, those of similarity 0.9 but for 0.0002, of 0.8 but for 0.015.
-LEAST_OPENING, OPENING_BANDS, OPENING_ROWS = 8, 8, 4
+#: equal openings always meet, those of similarity 0.9 but for 0.0015, of 0.8 but for 0.028.
+LEAST_OPENING, OPENING_BANDS, OPENING_ROWS = 8, 5, 3
 #: Different words a task counts before it hands its counts on.
 WORDS_KEPT = 200_000
 #: A length is a field limit if at least LIMIT_ROWS different texts of a source have it and they exceed what the
@@ -199,45 +201,47 @@ class _LowerHashes(WordHashes):
 
 
 _HASHES = _LowerHashes()
-_MULTIPLY = (mix(np.arange(1, OPENING_BANDS * OPENING_ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)).astype(np.uint64)
+_STATE = mix(np.arange(1, 2 * OPENING_BANDS * OPENING_ROWS + SHINGLE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_MULTIPLY, _ADD, _PLACES = np.split(_STATE, [OPENING_BANDS * OPENING_ROWS, 2 * OPENING_BANDS * OPENING_ROWS])
+_MULTIPLY, _ADD = (_MULTIPLY >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (_ADD >> np.uint64(32)).astype(np.uint32)
 
 
 def openings(texts: list[list[str]]) -> list[np.ndarray]:
     """The bands of every text (as words): OPENING_BANDS for its first LEAST_OPENING words, then for twice as many, as far as it goes.
 
     The minima of an opening are those of the one before and of the shingles that came in addition, so all openings of
-    a text cost one pass over its shingles; shingles beyond the last opening are not hashed."""
-    sets, starts, rungs, at = [], [], [], 0
-    for words in texts:
-        n = max(0, (len(words) // LEAST_OPENING).bit_length())
-        rungs.append(n)
-        if not n:
-            continue
-        h = _HASHES.of(words[: LEAST_OPENING << (n - 1)])
-        x = h[: len(h) - SHINGLE + 1]
-        for i in range(1, SHINGLE):
-            x = mix(x * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - SHINGLE + 1 + i])
-        sets.append(x)
-        starts += [at + (0 if not k else (LEAST_OPENING << (k - 1)) - SHINGLE + 1) for k in range(n)]
-        at += len(x)
-    if not sets:
+    a text cost one pass over its shingles; shingles beyond the last opening are not hashed. All texts are laid end to
+    end; the SHINGLE - 1 places that would reach into the next text are segments of their own and fall away."""
+    rungs = [(len(w) // LEAST_OPENING).bit_length() for w in texts]
+    sizes = np.array([LEAST_OPENING << (n - 1) if n else 0 for n in rungs])
+    total = int(sizes.sum())
+    if not total:
         return [np.empty(0, dtype=np.int64) for _ in texts]
-    x, first = np.concatenate(sets), np.array(starts)
-    low = np.empty((len(_MULTIPLY), len(first)), dtype=np.uint64)
-    for i, m in enumerate(_MULTIPLY):
-        low[i] = np.minimum.reduceat(mix(x * m), first)
+    h = np.zeros(total + SHINGLE - 1, dtype=np.uint64)
+    h[:total] = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(w[:n] for w, n in zip(texts, sizes.tolist(), strict=True))), np.uint64, total)
+    x = h[:total] * _PLACES[0]
+    for i in range(1, SHINGLE):
+        x += h[i : total + i] * _PLACES[i]
+    x = (mix(x) >> np.uint64(32)).astype(np.uint32)
+    offsets = [[0, *[(LEAST_OPENING << k) - SHINGLE + 1 for k in range(n)]] for n in range(max(rungs) + 1)]
+    begins = (np.cumsum(sizes) - sizes).tolist()
+    first = np.concatenate([np.array(offsets[n]) + b for n, b in zip(rungs, begins, strict=True) if n])
+    kept = np.concatenate([[True] * n + [False] for n in rungs if n])
+    low = np.empty((len(_MULTIPLY), int(kept.sum())), dtype=np.uint64)
+    for i in range(len(_MULTIPLY)):
+        low[i] = np.minimum.reduceat(x * _MULTIPLY[i] + _ADD[i], first)[kept]
     rung = np.concatenate([np.arange(n) for n in rungs if n])
     for k in range(1, int(rung.max()) + 1):
         here = np.flatnonzero(rung == k)
         low[:, here] = np.minimum(low[:, here], low[:, here - 1])
-    bands = np.empty((len(first), OPENING_BANDS), dtype=np.uint64)
+    bands = np.empty((len(rung), OPENING_BANDS), dtype=np.uint64)
     for b in range(OPENING_BANDS):
-        h = mix((rung * OPENING_BANDS + b + 1).astype(np.uint64))
+        v = mix((rung * OPENING_BANDS + b + 1).astype(np.uint64))
         for i in range(b * OPENING_ROWS, (b + 1) * OPENING_ROWS):
-            h = mix(h ^ low[i])
-        bands[:, b] = h
+            v = mix(v ^ mix(low[i] + np.uint64(i)))
+        bands[:, b] = v
     flat, ends = bands.view(np.int64).reshape(-1), np.cumsum(rungs) * OPENING_BANDS
-    return [flat[e - n * OPENING_BANDS : e] for n, e in zip(rungs, ends, strict=True)]
+    return [flat[e - n * OPENING_BANDS : e] for n, e in zip(rungs, ends.tolist(), strict=True)]
 
 
 def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,6 +388,7 @@ def truncated(documents: DataFrame) -> DataFrame:
     last = u.where(~F.col("terminal") & (F.col("word") != ""))
     inside = cut(last.select("word").distinct().join(words, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("inside"), F.coalesce("ends", F.lit(0)).alias("ends")))
     starts = words.where((F.col("n") >= 2) & (F.length("word").between(2, 40))).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda k: F.substring(F.col("word"), F.lit(1), k))).alias("word"), "n")
+    starts = maybe(starts.withColumn("h", F.xxhash64("word")), bitmap(inside.select(F.xxhash64("word").alias("h"))))
     broken = inside.join(starts.groupBy("word").agg(F.sum("n").alias("begun")), "word").where(F.col("inside") <= FRAGMENT * F.col("begun")).select("word")
     never = inside.where((F.col("inside") >= OFTEN) & (F.col("ends") < RARELY * F.col("inside"))).select("word")
     closing = last.groupBy("kind", "word").agg(F.count("*").alias("word_n")).join(F.broadcast(kinds), "kind")

@@ -92,11 +92,14 @@ _CHUNK_ROWS = "SELECT repo AS grp, id AS key, max(content) AS content, max(file_
 @query(_bm25_sql(_CHUNK_ROWS, "SELECT query_id, repo AS grp, query_text FROM queries", 10, ["content", "file_path", "symbol_name"]))
 def bm25_query_batch(spark, root):
     """Every row of `queries` against the chunks of its repository, statistics per repository."""
+    return _batch_search(spark, root, 10).select("query_id", "key", F.round("score", 8).alias("score"), "rank")
+
+
+def _batch_search(spark: SparkSession, root: str, limit: int) -> DataFrame:
     c = table(spark, root, "chunks").groupBy("repo", "id").agg(*[F.max(x).alias(x) for x in ("content", "file_path", "symbol_name")])
     cols = ["content", "file_path", "symbol_name"]
     q = table(spark, root, "queries").select("query_id", F.col("repo").alias("grp"), "query_text")
-    out = bm25.search(bm25.postings(c, F.col("repo"), "id", cols), bm25.lengths(c, F.col("repo"), "id", cols), q, 10)
-    return out.select("query_id", "key", F.round("score", 8).alias("score"), "rank")
+    return bm25.search(bm25.postings(c, F.col("repo"), "id", cols), bm25.lengths(c, F.col("repo"), "id", cols), q, limit)
 
 
 # Vectors.
@@ -135,15 +138,18 @@ def bow_embedding(spark, root):
     return vectors.bag_of_words(c, "id", "content").withColumn("value", F.round("value", 8))
 
 
-@query(
+_BOW_SEARCH = (
     f"""WITH {_BOW}, qtok AS (SELECT query_id, repo, unnest(list_filter(regexp_split_to_array(lower(query_text), '\\s+'), lambda w: w <> '')) AS w FROM queries),
 qc AS (SELECT query_id, repo, CAST(('0x' || substr(md5(w), 7, 2) || substr(md5(w), 5, 2) || substr(md5(w), 3, 2) || substr(md5(w), 1, 2)) AS BIGINT) % 64 AS bucket, count(*) AS n FROM qtok GROUP BY ALL),
 qn AS (SELECT query_id, sqrt(sum(n * n)::DOUBLE) AS norm FROM qc GROUP BY query_id),
 own AS (SELECT DISTINCT id AS key, repo FROM chunks),
 s AS (SELECT query_id, key, sum(n / norm * value) AS score FROM qc JOIN qn USING (query_id) JOIN own USING (repo) JOIN bow USING (key, bucket) GROUP BY ALL),
 r AS (SELECT query_id, key, round(score, 8) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, key) AS rank FROM s)
-SELECT * FROM r WHERE rank <= 10"""
+SELECT * FROM r WHERE rank <= """
 )
+
+
+@query(_BOW_SEARCH + "10")
 def bow_cosine_search(spark, root):
     """The ten chunks of a query's repository nearest to it by bag-of-words cosine, of those that share a bucket with it."""
     return _bow_search(spark, root, 10)
@@ -348,6 +354,36 @@ def branch_filter(spark, root):
     return index.on_branch(table(spark, root, "chunks").select("id", "branches").distinct(), "branches", "main")
 
 
+_GATED = """w AS (SELECT q.query_id, coalesce(sum(CASE WHEN lower(x) IN ('how','what','where','why','when','which','does','is') THEN -0.1e0 ELSE 0e0 END
+ + CASE WHEN regexp_full_match(x, '[A-Z][a-z]+([A-Z][a-z]+)+') THEN 0.3e0 ELSE 0e0 END + CASE WHEN regexp_full_match(x, '[a-z]+(_[a-z]+)+') THEN 0.2e0 ELSE 0e0 END
+ + CASE WHEN regexp_full_match(x, '\\w+\\.\\w+') THEN 0.2e0 ELSE 0e0 END + CASE WHEN regexp_full_match(x, '[a-z]+([A-Z][a-z]+)+') THEN 0.1e0 ELSE 0e0 END), 0e0) AS weight
+ FROM queries q LEFT JOIN (SELECT query_id, {0} AS x FROM (SELECT query_id, unnest(list_filter(regexp_split_to_array(coalesce(query_text, ''), '\\s+'), lambda w: w <> '')) AS w FROM queries)) s ON q.query_id = s.query_id GROUP BY q.query_id)"""
+
+
+@query(
+    f"""WITH ft AS ({_bm25_sql(_CHUNK_ROWS, "SELECT query_id, repo AS grp, query_text FROM queries", 30, ["content", "file_path", "symbol_name"])}), ve AS ({_BOW_SEARCH}90), {_CAND}, {_GATED.format(_SYM)},
+c AS (SELECT DISTINCT cand.query_id, repo, lower(name) AS lc FROM cand JOIN w ON cand.query_id = w.query_id WHERE weight >= 0.3e0 - 1e-9),
+sy AS (SELECT query_id, chunk_id FROM (SELECT c.query_id, k.id AS chunk_id, row_number() OVER (PARTITION BY c.query_id, c.lc ORDER BY k.id) AS place FROM c JOIN (SELECT DISTINCT repo, id, symbol_name FROM chunks) k ON k.repo = c.repo AND lower(k.symbol_name) = c.lc) WHERE place <= 5),
+parts AS (SELECT query_id, key AS chunk_id, 'bm25' AS src, 1e0 / (15 + rank) AS part FROM ft UNION ALL SELECT query_id, key, 'vector', 1e0 / (15 + rank) FROM ve UNION ALL SELECT query_id, chunk_id, 'symbol', 1e0 / 16 FROM sy),
+ql AS (SELECT id AS chunk_id, max(search_quality) AS q FROM chunks GROUP BY id),
+f AS (SELECT query_id, chunk_id, sum(part){_QF} AS score, concat_ws('+', max(src) FILTER (WHERE src = 'bm25'), max(src) FILTER (WHERE src = 'vector'), max(src) FILTER (WHERE src = 'symbol')) AS reason FROM parts JOIN ql USING (chunk_id) GROUP BY query_id, chunk_id),
+p AS (SELECT f.*, row_number() OVER (PARTITION BY f.query_id ORDER BY round(score, 10) DESC, chunk_id) AS position, top_k FROM f JOIN queries USING (query_id))
+SELECT query_id, chunk_id, round(score, 8) AS score, reason, position FROM p WHERE position <= top_k"""
+)
+def fused_search(spark, root):
+    """Every row of `queries` against the chunks of its repository: full text, bag-of-words vectors and, where it looks like one, symbol names, fused to its top_k."""
+    q = table(spark, root, "queries").select("query_id", "repo", "query_text", "top_k")
+    quality = table(spark, root, "chunks").groupBy(F.col("id").alias("chunk_id")).agg(F.max("search_quality").alias("search_quality"))
+    full = _batch_search(spark, root, 30).select("query_id", F.col("key").alias("chunk_id"), "rank")
+    near = _bow_search(spark, root, 90).select("query_id", F.col("key").alias("chunk_id"), "rank")
+    gated = q.where(symbol_weight(F.col("query_text")) >= 0.3 - 1e-9).select("query_id", "repo", F.explode(symbol_candidates(F.col("query_text"))).alias("name")).select("query_id", "repo", F.lower("name").alias("lc")).distinct()
+    named = table(spark, root, "chunks").select("repo", F.col("id").alias("chunk_id"), F.lower("symbol_name").alias("lc"), "symbol_name").distinct()
+    symbol = fusion.list_ranks(gated.join(named, ["repo", "lc"]), ["query_id", "lc"], "chunk_id", F.lit(0)).where("rank <= 5")
+    lists = [x.select("query_id", "chunk_id", "rank").join(quality, "chunk_id") for x in (full, near, symbol)]
+    fused = fusion.reciprocal(*lists).join(q.select("query_id", "top_k"), "query_id")
+    return _rounded(fusion.top(fused, F.col("top_k")).drop("top_k"))
+
+
 # The graph.
 
 _LOOKUP = """defs AS (SELECT DISTINCT repo, symbol_name AS name, chunk_id FROM symbol_lookup WHERE removed_at IS NULL),

@@ -212,7 +212,7 @@ class Index:
             columns = now.columns
             rest = stored.join(of("added", "changed", "unchanged", "deleted"), keys, "left_anti").select(*[F.col(c) if c in stored.columns else F.lit(None).alias(c) for c in columns])
             self._write(cut(now.unionByName(rest)), parsed, branch, {**(state.get("identity") or {}), **(identity or {})}, state, kept)
-        return {a: counts.get(a, 0) for a in ("added", "changed", "unchanged", "deleted", "failed")}
+        return {a: counts.get(a, 0) for a in ("added", "changed", "unchanged", "deleted")} | ({"failed": counts["failed"]} if "failed" in counts else {})
 
     # Queries.
 

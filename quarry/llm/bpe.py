@@ -147,14 +147,14 @@ def _ids(path: str, counts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for batch in batches:
+            if counts:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(e.count(batch.column(1).to_pylist()), pa.int32())], names=["key", "ids"])
+                continue
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                if counts:
-                    ids = pa.array(e.count(part.column(1).to_pylist()), pa.int32())
-                else:
-                    out = e.encode(part.column(1).to_pylist())
-                    sizes = np.array([len(x) // 4 for x in out], dtype=np.int32)
-                    ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(np.frombuffer(b"".join(out), dtype="<i4")))
+                out = e.encode(part.column(1).to_pylist())
+                sizes = np.array([len(x) // 4 for x in out], dtype=np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(np.frombuffer(b"".join(out), dtype="<i4")))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["key", "ids"])
 
     return run
@@ -191,14 +191,50 @@ def _processor(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
+_UNIT = re.compile(r" +[^ \n]+|\n[^ \n]+|[^ \n]+|\n| +")
+
+
+class UnitCounter:
+    """Counts the ids of texts by a sentence-piece model. Where no piece of the vocabulary has a space behind another
+    sign or a line break anywhere, no id reaches over the start of a unit (a word with the spaces or the line break before it),
+    so the units of an ASCII text are counted one by one, and those seen before are looked up; other texts, those that
+    begin with a space (which joins the one the model puts before a text), and all where the vocabulary has such pieces, are encoded whole."""
+
+    def __init__(self, path: str) -> None:
+        self.model = _processor(path)
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.vocab_size())]
+        self.apart = not any("\u2581" in p.lstrip("\u2581") or "\n" in p for p in pieces) and len(self.model.encode("\n")) == 2
+        self.known: dict[str, int] = {}
+
+    def count(self, texts: list[str | None]) -> list[int]:
+        out: list[int] = [0] * len(texts)
+        apart = [bool(t) and self.apart and t[0] != " " and t.isascii() for t in texts]
+        whole = [i for i, t in enumerate(texts) if t and not apart[i]]
+        for i, ids in zip(whole, self.model.encode([texts[i] for i in whole], num_threads=1), strict=True):
+            out[i] = len(ids)
+        rest = [i for i, a in enumerate(apart) if a]
+        units = [_UNIT.findall(texts[i]) for i in rest]
+        if len(self.known) > KEPT:
+            self.known.clear()
+        new = list({u for s in units for u in s if u not in self.known})
+        # the model puts a space before what it is given: it stands for the first of a unit's own, or is one too many before a line break
+        for u, ids in zip(new, self.model.encode([u[1:] if u[0] == " " else u for u in new], num_threads=1), strict=True):
+            self.known[u] = 1 if u == " " else len(ids) - (u[0] == "\n")
+        get = self.known.__getitem__
+        for i, s in zip(rest, units, strict=True):
+            out[i] = sum(map(get, s)) + (texts[i][0] == "\n")
+        return out
+
+
+@lru_cache(maxsize=2)
+def unit_counter(path: str) -> UnitCounter:
+    return UnitCounter(path)
+
+
 def _pieces(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = _processor(path)
+        counter = unit_counter(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                sizes = [len(x) for x in sp.encode(texts, num_threads=1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(sizes, dtype=np.int32))], names=["key", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counter.count(batch.column(1).to_pylist()), pa.int32())], names=["key", "ids"])
 
     return run

@@ -285,7 +285,8 @@ def field_limits(t: DataFrame) -> DataFrame:
 
     exact: at that very length; else the lengths LIMIT_TRIM below it pile up together, as trimmed cuts do, and
     LIMIT_TRIM above it there is next to nothing."""
-    sizes = t.select("source", "h", F.explode(F.map_from_arrays(F.array(F.lit("chars"), F.lit("bytes")), F.array("chars", "bytes"))).alias("unit", "length")).distinct()
+    texts = t.groupBy("source", "h").agg(F.max("chars").alias("chars"), F.max("bytes").alias("bytes"))
+    sizes = texts.select("source", F.explode(F.map_from_arrays(F.array(F.lit("chars"), F.lit("bytes")), F.array("chars", "bytes"))).alias("unit", "length"))
     at = sizes.groupBy("source", "unit", "length").agg(F.count("*").alias("n"))
     span = lambda a, b: F.coalesce(F.sum("n").over(Window.partitionBy("source", "unit").orderBy("length").rangeBetween(a, b)), F.lit(0))
     beyond = lambda n, usual: (n >= LIMIT_ROWS) & (n >= usual + LIMIT_SIGMAS * F.sqrt(usual) + LIMIT_ROWS - 1)
@@ -394,6 +395,8 @@ def truncated(documents: DataFrame) -> DataFrame:
     closing = last.groupBy("kind", "word").agg(F.count("*").alias("word_n")).join(F.broadcast(kinds), "kind")
     closing = closing.where(F.col("word_n") >= F.greatest(F.lit(float(FORMULA)), FORMULA_SHARE * F.col("kind_n"))).join(inside, "word").where("inside <= word_n").select("kind", "word", F.lit(True).alias("closing"))
     odd = broken.withColumn("odd", F.lit("broken")).unionByName(never.withColumn("odd", F.lit("never")))
+    # A text that ends properly, at no limit and without a mark, has no reason: the rest is joined.
+    t = t.where(~F.col("terminal") | (F.col("mark") != "") | F.col("open") | F.col("limit").isNotNull()).select("doc_id", "source", "kind", "h", "code", "open", "mark", "terminal", "whole", "line", "word", "limit")
     j = t.join(best, "doc_id", "left").withColumn("dotted", F.col("mark") == "dots").join(lines, ["kind", "line", "dotted"], "left").join(odd, "word", "left").join(closing, ["kind", "word"], "left")
     return j.join(copies, "h", "left").select("doc_id", "source", _reason().alias("reason")).where("reason is not null")
 

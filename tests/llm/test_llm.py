@@ -178,6 +178,17 @@ def test_pair_index_equals_the_library():
     assert bytes(back[c] for i in np.frombuffer(mine[4], "<i4").tolist() for c in vocab[i]).decode() == texts[4]
 
 
+def test_units_are_counted_as_whole_texts_are():
+    path = f"{bpe.TOKENIZERS}/piece_bpe_32k.model"
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["", None, "\n", " ", "   ", " a", "a ", "a  b\n\n    c\td \n e", "\na\n", "x" * 5000, "\r\n\x00 a", "é b", "\u2581a b", "def f(a):\n    return  a  # no\n" * 20, "  \n  "]
+    c = bpe.UnitCounter(path)
+    want = [len(sp.encode(t)) if t else 0 for t in texts]
+    assert c.apart and c.count(texts) == want and c.count(texts) == want
+
+
 def test_plans_hold_every_item_and_waste_little():
     rng = random.Random(5)
     for capacity, n in ((7, 30), (100, 0), (100, 1), (100, 500), (4096, 3000)):

@@ -1,4 +1,4 @@
-"""python -m quarry.cli: index a folder, ask an index, show its status."""
+"""python -m quarry.cli: index a folder, ask an index, show its status, list indexes, clean up."""
 
 from __future__ import annotations
 
@@ -8,9 +8,10 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from quarry.engine import Index
+from quarry.engine import Index, catalogue
 from quarry.sources.config import settings
 from quarry.sources.discover import scan_files
+from quarry.sources.git import identity
 
 
 def render(rows: list[dict], form: str) -> str:
@@ -38,17 +39,24 @@ def main(args: list[str] | None = None) -> int:
     s.add_argument("--repo")
     s.add_argument("--form", choices=("json", "files", "plain"), default="plain")
     sub.add_parser("status")
+    sub.add_parser("list", help="every index in the folder")
+    sub.add_parser("clean", help="removes old and unfinished versions")
     a = p.parse_args(args)
-    index = Index(SparkSession.builder.appName("quarry").getOrCreate(), a.index)
+    index = Index(SparkSession.builder.appName("quarry").getOrCreate(), a.index, settings=settings())
     if a.command in ("build", "refresh"):
-        given = settings(a.folder)
+        given = index.settings = settings(a.folder)
         files = scan_files(index.spark, a.folder, a.repo, list(given.exclude_patterns), given.max_file_size)
-        print(json.dumps(index.build(files, a.branch) if a.command == "build" else index.refresh(files, a.branch or None)))
+        whose = identity(a.folder)
+        print(json.dumps(index.build(files, a.branch, whose) if a.command == "build" else index.refresh(files, a.branch or None, whose)))
     elif a.command == "ask":
         if len(a.question) > 10_000:
             p.error("the question is longer than 10,000 characters")
         rows = [r.asDict() for r in index.query(a.question, settings(top_k=a.top_k).top_k, a.branch, a.repo).collect()]
         print(render(rows, a.form))
+    elif a.command == "list":
+        print(json.dumps(catalogue(index.spark, a.index), indent=1))
+    elif a.command == "clean":
+        print(json.dumps(index.clean()))
     else:
         print(json.dumps(index.status()))
     return 0

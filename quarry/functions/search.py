@@ -25,7 +25,7 @@ def _folds() -> tuple[str, str]:
 #: Letters with marks and what the full-text tokenizer makes of them.
 ACCENTED, PLAIN = _folds()
 # Weights of the kinds of query words.
-QUESTION_WORDS = ["how", "what", "where", "why", "when", "which", "does", "is"]
+QUESTION_WORDS = ["how", "why", "what", "where", "when", "which", "does", "is"]
 QUALITY = {"ast": 1.0, "regex": 0.85, "text_fallback": 0.7}
 RRF_K = 15
 # The forms of words that look like symbols.

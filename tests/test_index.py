@@ -235,3 +235,28 @@ def test_paths_that_leave_the_repository(spark):
 
 def test_shared_folder(spark):
     assert shared_dir(spark).startswith("file:")
+
+
+def spans(path, text, limit=6000):
+    return [(c.symbol_name, c.symbol_type, c.start_line, c.end_line) for c in chunk_file(path, text, limit)]
+
+
+def test_components_by_element():
+    text = "<script setup lang=\"ts\">\nimport { ref } from 'vue';\ninterface Review { id: number }\nconst canModerate = () => true;\nasync function approve(r: Review) {\n  await go(r);\n}\n</script>\n\n<template>\n  <div class=\"a\">\n    <br>\n    <img src=\"x\"/>\n    <p v-if=\"a > b\">two</p>\n  </div>\n</template>\n\n<style scoped>\n.a { color: red }\n</style>\n<i18n>\n{}\n</i18n>\n"
+    assert spans("a.vue", text) == [("", "module", 2, 2), ("Review", "interface", 3, 3), ("canModerate", "function", 4, 4), ("approve", "function", 5, 7), ("template", "block", 10, 16), ("style", "block", 18, 20), ("", "block", 21, 23)]
+    row = "    <li>a row of some text that is long enough to fill</li>\n"
+    parts = [c for c in chunk_file("b.vue", "<template>\n<div>\n  <ul>\n" + row * 20 + "  </ul>\n  <section>\n" + row * 4 + "  </section>\n  <b>x</b>\n</div>\n</template>\n", 500) if c.place is None or c.place == 0]
+    assert {c.symbol_name for c in parts} == {"template"} and len(parts) == 3 and parts[-1].end_line == 33
+    assert spans("c.vue", "no element\n") == [("", "block", 1, 1)] and spans("d.vue", "<template>\n<div>\n") == [("template", "block", 1, 2)]
+
+
+def test_functions_of_objects():
+    text = "export default {\n  name: 'x',\n  data() {\n    return { a: 1 };\n  },\n  methods: {\n    // goes\n    go: async (a, b) => {\n      return a;\n    },\n    stop: function () {\n      return 1;\n    },\n  },\n  computed: {},\n};\nconst conf = { a: 1, b: { c: 2 } };\nconst api = {\n  list: (x) => get(x),\n  url: '/x',\n};\n"
+    assert spans("a.ts", text) == [("", "block", 1, 16), ("data", "method", 3, 5), ("methods", "block", 6, 14), ("methods.go", "method", 7, 10), ("methods.stop", "method", 11, 13), ("conf", "variable", 17, 17), ("api", "variable", 18, 21), ("api.list", "method", 19, 19)]
+    assert "return a" not in chunk_file("a.ts", text)[0].content and "name: 'x'" in chunk_file("a.ts", text)[0].content
+    assert spans("a.js", "export default defineComponent({\n  setup() {\n    return 1;\n  },\n  a: 1,\n});\n") == [("", "block", 1, 6), ("setup", "method", 2, 4)]
+
+
+def test_markup_between_code():
+    text = "<html>\n<body>\n<?php\nuse A;\nfunction f() {\n  return \"?>\";\n}\n?>\n<p>x</p>\n<?= f() ?>\n</body>\n"
+    assert spans("a.php", text) == [("", "block", 1, 2), ("", "module", 3, 4), ("f", "function", 5, 7), ("", "block", 8, 8), ("", "block", 9, 9), ("", "block", 10, 10), ("", "block", 11, 11)]

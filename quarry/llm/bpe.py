@@ -49,6 +49,7 @@ class PairIndexEncoder:
             a, b = m if isinstance(m, list) else m.split(" ")
             self.rank[vocab[a], vocab[b]] = (r, vocab[a + b])
         self.known: dict[str, bytes] = {}
+        self.sizes: dict[str, int] = {}
 
     def learn(self, pieces: list[str]) -> None:
         """Enters the ids of new pieces in self.known, as little-endian int32."""
@@ -73,6 +74,7 @@ class PairIndexEncoder:
             if pair in rank:
                 where[pair] = places.tolist()
         sym = laid.tolist()
+        where_get, rank_get = where.get, rank.get
         active = [(*rank[p], p) for p in where]
         heapq.heapify(active)
         while active:
@@ -81,7 +83,8 @@ class PairIndexEncoder:
             places = where.pop(pair, None)
             if places is None:
                 continue
-            places.sort()
+            if a == b:
+                places.sort()
             for i in places:
                 if sym[i] != a:
                     continue
@@ -96,25 +99,34 @@ class PairIndexEncoder:
                     c = sym[k]
                     if c >= 0:
                         q = (new, c)
-                        if q in where:
-                            where[q].append(i)
-                        elif q in rank:
-                            where[q] = [i]
-                            heapq.heappush(active, (*rank[q], q))
+                        at = where_get(q)
+                        if at is not None:
+                            at.append(i)
+                        else:
+                            r = rank_get(q)
+                            if r is not None:
+                                where[q] = [i]
+                                heapq.heappush(active, (*r, q))
                 h = before[i]
-                if h >= 0 and sym[h] >= 0:
-                    q = (sym[h], new)
-                    if q in where:
-                        where[q].append(h)
-                    elif q in rank:
-                        where[q] = [h]
-                        heapq.heappush(active, (*rank[q], q))
+                if h >= 0:
+                    c = sym[h]
+                    if c >= 0:
+                        q = (c, new)
+                        at = where_get(q)
+                        if at is not None:
+                            at.append(h)
+                        else:
+                            r = rank_get(q)
+                            if r is not None:
+                                where[q] = [h]
+                                heapq.heappush(active, (*r, q))
         flat = np.array(sym, dtype=np.int32)
         kept = flat >= 0
         upto = np.concatenate(([0], np.cumsum(kept)))
         ids = flat[kept].tobytes()
-        for p, s, e in zip(pieces, (4 * upto[starts]).tolist(), (4 * upto[ends - 1]).tolist(), strict=True):
-            self.known[p] = ids[s:e]
+        for p, s, e in zip(pieces, upto[starts].tolist(), upto[ends - 1].tolist(), strict=True):
+            self.known[p] = ids[4 * s : 4 * e]
+            self.sizes[p] = e - s
 
     def split(self, texts: list[str | None]) -> list[list[str]]:
         """The pieces of every text, all of them known afterwards."""
@@ -122,6 +134,7 @@ class PairIndexEncoder:
         known = self.known
         if len(known) > KEPT:
             known.clear()
+            self.sizes.clear()
         new = {p for s in split for p in s if p not in known}
         if new:
             self.learn(list(new))
@@ -133,9 +146,8 @@ class PairIndexEncoder:
 
     def count(self, texts: list[str | None]) -> list[int]:
         """The number of ids of every text."""
-        split, known = self.split(texts), self.known
-        size = {p: len(known[p]) // 4 for p in {p for s in split for p in s}}.__getitem__
-        return [sum(map(size, s)) for s in split]
+        get = self.sizes.__getitem__
+        return [sum(map(get, s)) for s in self.split(texts)]
 
 
 @lru_cache(maxsize=4)

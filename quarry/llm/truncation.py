@@ -52,7 +52,8 @@ _SURE = re.compile(r"\s*(?:\[\s*(?:\.\.\.|…|truncated|cut|snip|more|continued|
 _DOTS = re.compile(r"\s*(?:\.{3,}|…)$")
 _PART = re.compile(r"https?://\S+|\w[\w\-/]*(?:[./\\][\w\-/]+)+|\d+(?:\.\d+)*|\w+|\s+|.", re.S)
 _WORD = re.compile(r"\w+")
-_LINE_END = re.compile(r"\b(\w+)[.,;:!?)\]}`'\"]{0,2}$")
+#: A line's last word, read backwards.
+_LINE_END = re.compile(r"[.,;:!?)\]}`'\"]{0,2}(\w+)")
 _STRAY = re.compile(r"[^\x20-\x7e\n\t]|\w{20}|\d[\d.]{7}|\s{3}")
 
 
@@ -269,7 +270,7 @@ def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             u = unmarked(bare(t))[1]
             words = _WORD.findall(u)
             seen.update(words[:-1])
-            ends.update([m.group(1) for x in u.split("\n")[:-1] if 0 < len(x) < 50 and (m := _LINE_END.search(x[-40:]))])
+            ends.update([m.group(1)[::-1] for x in u.split("\n")[:-1] if 0 < len(x) < 50 and (m := _LINE_END.match(x[:-41:-1]))])
             texts.append(words)
             out.append((i, source, (kind or "").strip().lower(), h, len(t), len(t.encode("utf-8", "replace")), *tail(t, kind, lang), len(words)))
         if out:
@@ -383,18 +384,20 @@ def truncated(documents: DataFrame) -> DataFrame:
     usual = cut(usual.where((F.length("form") > 2) | (F.col("form") == "p")).withColumn("share", F.col("form_n") / F.col("kind_n")).select("kind", "form", "share"))
     doubtful = t.where(~F.col("terminal") & ~F.col("code")).select("doc_id", "kind", F.explode("forms").alias("form"))
     signs = usual.where(~F.col("form").rlike("^[wWp0]")).groupBy("form").agg(F.max("share").alias("share"))
-    best = doubtful.join(usual, ["kind", "form"]).select("doc_id", "share").unionByName(doubtful.join(signs, "form").select("doc_id", "share")).groupBy("doc_id").agg(F.max("share").alias("share"))
+    shares = usual.unionByName(signs.withColumn("kind", F.lit(None).cast("string"))).select(F.col("kind").alias("of"), "form", "share")
+    best = doubtful.join(shares, "form").where(F.col("of").isNull() | (F.col("of") == F.col("kind"))).groupBy("doc_id").agg(F.max("share").alias("share"))
     lines = u.where("line is not null").groupBy("kind", "line", dotted).agg(F.count("*").alias("line_n")).join(F.broadcast(kinds), "kind")
     lines = lines.where(F.col("line_n") >= F.greatest(F.lit(float(FORMULA)), F.when(F.col("dotted"), 0.0).otherwise(FORMULA_SHARE * F.col("kind_n")))).select("kind", "line", "dotted", F.lit(True).alias("formula"))
     last = u.where(~F.col("terminal") & (F.col("word") != ""))
     inside = cut(last.select("word").distinct().join(words, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("inside"), F.coalesce("ends", F.lit(0)).alias("ends")))
     starts = words.where((F.col("n") >= 2) & (F.length("word").between(2, 40))).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda k: F.substring(F.col("word"), F.lit(1), k))).alias("word"), "n")
     starts = maybe(starts.withColumn("h", F.xxhash64("word")), bitmap(inside.select(F.xxhash64("word").alias("h"))))
-    broken = inside.join(starts.groupBy("word").agg(F.sum("n").alias("begun")), "word").where(F.col("inside") <= FRAGMENT * F.col("begun")).select("word")
-    never = inside.where((F.col("inside") >= OFTEN) & (F.col("ends") < RARELY * F.col("inside"))).select("word")
+    begun = starts.groupBy("word").agg(F.sum("n").alias("begun"))
+    odd = inside.join(begun, "word", "left").select(
+        "word", F.when(F.col("inside") <= FRAGMENT * F.col("begun"), "broken").when((F.col("inside") >= OFTEN) & (F.col("ends") < RARELY * F.col("inside")), "never").alias("odd")
+    ).where("odd is not null")
     closing = last.groupBy("kind", "word").agg(F.count("*").alias("word_n")).join(F.broadcast(kinds), "kind")
     closing = closing.where(F.col("word_n") >= F.greatest(F.lit(float(FORMULA)), FORMULA_SHARE * F.col("kind_n"))).join(inside, "word").where("inside <= word_n").select("kind", "word", F.lit(True).alias("closing"))
-    odd = broken.withColumn("odd", F.lit("broken")).unionByName(never.withColumn("odd", F.lit("never")))
     # A text that ends properly, at no limit and without a mark, has no reason: the rest is joined.
     t = t.where(~F.col("terminal") | (F.col("mark") != "") | F.col("open") | F.col("limit").isNotNull()).select("doc_id", "source", "kind", "h", "code", "open", "mark", "terminal", "whole", "line", "word", "limit")
     j = t.join(best, "doc_id", "left").withColumn("dotted", F.col("mark") == "dots").join(lines, ["kind", "line", "dotted"], "left").join(odd, "word", "left").join(closing, ["kind", "word"], "left")

@@ -424,3 +424,13 @@ def test_any_depth_is_parsed():
     for text, lang in [(f"const a = {'[' * n}{']' * n};", "js"), ("if (a) {" * n + "}" * n, "ts"), (f"const a = {'<b>' * n}{'</b>' * n};", "tsx"), (f"<?php $a = {'[' * n}{']' * n};", "php"), ("if a; then\n" * n + "b\n" + "fi\n" * n, "sh")]:
         assert parses(text, lang), lang
     assert not parses(f"const a = {'[' * n}{']' * (n - 1)};", "js") and not parses("if a; then\n" * n + "b\n" + "fi\n" * (n - 1), "sh")
+
+
+def test_words_broken_and_never_last_give_one_row(spark, monkeypatch):
+    """A last word that is a fragment of a very common word and, as a word, never ends a line: the document comes out once."""
+    monkeypatch.setattr(truncation, "OFTEN", 3)
+    lasts = ["north", "south", "east", "west", "here", "there", "soon", "later"]
+    rows = [(i, f"{'thought ' * 20}is th then through.\n\n* fix the {lasts[i // 8 % 8]} item {i} {lasts[i % 8]}") for i in range(600)] + [(900, "The thing is done.\n\n* fix the south item 7 th")]
+    df = spark.createDataFrame([(i, t, "en", "s", "prose") for i, t in rows], "doc_id long, text string, lang string, source string, kind string")
+    got = [r["doc_id"] for r in truncation.truncated(df).collect()]
+    assert len(got) == len(set(got))

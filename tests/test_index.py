@@ -260,3 +260,45 @@ def test_functions_of_objects():
 def test_markup_between_code():
     text = "<html>\n<body>\n<?php\nuse A;\nfunction f() {\n  return \"?>\";\n}\n?>\n<p>x</p>\n<?= f() ?>\n</body>\n"
     assert spans("a.php", text) == [("", "block", 1, 2), ("", "module", 3, 4), ("f", "function", 5, 7), ("", "block", 8, 8), ("", "block", 9, 9), ("", "block", 10, 10), ("", "block", 11, 11)]
+
+
+def test_searches_equal_brute_force(spark, monkeypatch):
+    """A group with a third of all rows, ties, nulls, vectors of another length, queries in several blocks."""
+    import random
+
+    from quarry.operators import vectors
+
+    monkeypatch.setattr(vectors, "BLOCK", 3)
+    rng = random.Random(2)
+    rows = [("big" if i % 3 == 0 else f"g{i % 5}", i, [float(rng.randrange(3)) for _ in range(4)]) for i in range(300)]
+    rows += [("big", 900, None), ("big", 901, [1.0, 2.0]), ("big", None, [1.0] * 4), ("big", 902, [1.0, None, 1.0, 1.0]), (None, 903, [1.0] * 4)]
+    asked = [(i, g, [1.0, 0.0, 2.0, float(i)]) for i, g in enumerate(["big", "big", "g1", "g2", "none", "g4", "big"])] + [(50, "big", None)]
+    df = spark.createDataFrame(rows, "grp string, key long, x array<double>")
+    q = spark.createDataFrame(asked, "query_id long, grp string, x array<double>")
+    for metric, sign in (("l2", 1), ("dot", -1)):
+        score = {"l2": lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True)) ** 0.5, "dot": lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))}[metric]
+        want = []
+        for i, g, v in asked:
+            near = sorted((round(sign * score(v, x), 10), k) for h, k, x in rows if v and h == g and x and len(x) == 4 and None not in x and k is not None)
+            want += [(i, k, n + 1) for n, (_, k) in enumerate(near[:7])]
+        assert sorted((r["query_id"], r["key"], r["rank"]) for r in vectors.search(df, q, 7, metric).collect()) == sorted(want)
+    texts = spark.createDataFrame([("g", 1, "alpha beta"), ("g", 2, "alpha"), ("g", 3, ""), ("g", 4, None), ("g", 5, "gamma")], "grp string, key long, x string")
+    ask = spark.createDataFrame([(1, "g", "alpha"), (2, "g", ""), (3, "g", None)], "query_id long, grp string, x string")
+    assert [(r["query_id"], r["key"], round(r["score"], 6)) for r in vectors.search(texts, ask, 2, positive=True, embed=vectors.embedder()).orderBy("query_id", "rank").collect()] == [(1, 2, 1.0), (1, 1, round(0.5**0.5, 6))]
+    assert vectors.search(df, q.limit(0), 3).collect() == []
+
+
+def test_bitmaps_lose_nothing(spark):
+    from quarry.functions.bitmaps import bitmap, maybe
+
+    keys = spark.range(0, 4000, 7).select(F.xxhash64("id").alias("h"))
+    left = maybe(spark.range(4000).withColumn("h", F.xxhash64("id")), bitmap(keys))
+    got = {r["id"] for r in left.collect()}
+    assert {*range(0, 4000, 7)} <= got and len(got) < 700 and maybe(left, bitmap(keys.limit(0))).count() == 0
+
+
+def test_marks_are_folded(spark):
+    from quarry.functions.search import terms
+
+    got = spark.createDataFrame([("Ĉapelo Ångström ṽ ñandú ΆΛΦΑ",)], "t string").select(terms(F.col("t"))).first()[0]
+    assert got == ["capelo", "angstrom", "v", "nandu", "αλφα"]

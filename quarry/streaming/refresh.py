@@ -23,6 +23,13 @@ def _versions(spark: SparkSession, base: str) -> list[int]:
     return sorted(int(n[6:]) for n in names if n.startswith("state-") and n[6:].isdigit() and whole(n))
 
 
+def _identity(spark: SparkSession, source: str) -> str:
+    """What a source is known by: a folder, to which files come, by its path; a single file also by its size and time, as another file may take its place."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+    return source if status.isDirectory() else f"{source}|{status.getLen()}|{status.getModificationTime()}"
+
+
 def refresh_stream(
     spark: SparkSession, source: str, keys: list[str], order: list[str], every: str | None = None, base: str | None = None, files_a_batch: int | None = None, keep: int = 2
 ) -> DataFrame:
@@ -31,10 +38,10 @@ def refresh_stream(
     Each micro-batch is merged into the state before its number, found on disk, and written as the state of its number:
     a batch that is run again after a failure reads the same state and writes the same result, and a stream that is
     started again goes on where it stopped. `base` is the folder of progress and states, by default one in the shared
-    folder that belongs to this source; states but the last `keep` are removed. Without `every` all that is there is taken
+    folder that belongs to this source (a single file replaced by another is a new source); states but the last `keep` are removed. Without `every` all that is there is taken
     and the stream ends; with it (say `300 seconds`) the stream takes what is there, batch by batch, and the state so far is
     returned. An empty source gives no rows."""
-    base = base or f"{shared_dir(spark)}/refresh-{hashlib.sha256('|'.join([source, *keys, *order]).encode()).hexdigest()[:16]}"
+    base = base or f"{shared_dir(spark)}/refresh-{hashlib.sha256('|'.join([_identity(spark, source), *keys, *order]).encode()).hexdigest()[:16]}"
     schema = spark.read.parquet(source).schema
 
     def merge(batch: DataFrame, number: int) -> None:

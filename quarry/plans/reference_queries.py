@@ -865,7 +865,22 @@ def chunk_source_files(spark, root):
     return chunk_files(_files(spark, root)).drop("content")
 
 
-@query()
+_WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_NEW = "(length({0}) - length(replace({0}, chr(10), '')))"
+
+
+@query(
+    f"""WITH RECURSIVE d AS (SELECT doc_id, source, string_split(regexp_replace(text, '([.!?])({_WS})', '\\1' || chr(1114109) || '\\2', 'g'), chr(1114109)) AS p FROM documents WHERE text IS NOT NULL),
+q AS (SELECT doc_id, source, unnest(range(1, len(p) + 1)) AS k, unnest(p) AS x FROM d),
+y AS (SELECT *, regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g') AS s, coalesce(sum({_NEW.format('x')}) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM q),
+sent AS (SELECT doc_id, source, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, s, length(s) AS n, 1 + above + {_NEW.format(f"regexp_extract(x, '^{_WS}*')")} AS line, {_NEW.format('s')} AS breaks FROM y WHERE s <> ''),
+packs AS (SELECT doc_id, i, n AS size, 1 AS pack FROM sent WHERE i = 1 UNION ALL
+ SELECT t.doc_id, t.i, CASE WHEN r.size + 1 + t.n > 500 THEN t.n ELSE r.size + 1 + t.n END, CASE WHEN r.size + 1 + t.n > 500 THEN r.pack + 1 ELSE r.pack END FROM packs r JOIN sent t ON t.doc_id = r.doc_id AND t.i = r.i + 1),
+c AS (SELECT source, doc_id || '.txt' AS file_path, pack, string_agg(s, ' ' ORDER BY i) AS content, CAST(arg_min(line, i) AS INTEGER) AS start_line, CAST(arg_max(line + breaks, i) AS INTEGER) AS end_line FROM packs JOIN sent USING (doc_id, i) GROUP BY source, doc_id, pack),
+m AS (SELECT *, substr(sha256(length(file_path) || ':' || file_path || '|0:|' || sha256(content)), 1, 32) AS id FROM c)
+SELECT source AS repo, id, file_path, '' AS symbol_name, 'block' AS symbol_type, arg_max(start_line, pack) AS start_line, arg_max(end_line, pack) AS end_line, CAST(NULL AS VARCHAR) AS parent_chunk_id, CAST(NULL AS INTEGER) AS sub_chunk_index, 'text_fallback' AS search_quality
+FROM m GROUP BY source, id, file_path"""
+)
 def prose_pack(spark, root):
     """Documents packed into pieces of whole sentences of at most 500 characters."""
     from quarry.operators.chunking import chunk_files

@@ -885,6 +885,27 @@ def chunk_shell_files(spark, root):
     return chunk_files(_files(spark, root).where(F.col("file_path").rlike(r"(?i)\.(sh|bash)$")), 1 << 30).drop("content")
 
 
+@query(
+    """WITH w AS (SELECT DISTINCT repo, file_path, start_line, content FROM chunks WHERE coalesce(trim(parent_chunk_id), '') = '' AND regexp_matches(file_path, '(?i)\\.(md|markdown)$')),
+f AS (SELECT repo, file_path, string_split(string_agg(coalesce(content, ''), chr(10) || chr(10) ORDER BY start_line, content), chr(10)) AS a FROM w GROUP BY repo, file_path),
+l AS (SELECT repo, file_path, unnest(range(1, len(a) + 1)) AS i, unnest(a) AS x FROM f),
+t AS (SELECT *, regexp_matches(x, '^\\s{0,3}(```|~~~)') AS mark FROM l),
+n AS (SELECT *, NOT mark AND coalesce(sum(mark::INT) OVER (PARTITION BY repo, file_path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 0 AND regexp_matches(x, '^#{1,6}\\s+.+$') AS head FROM t),
+g AS (SELECT *, sum(head::INT) OVER (PARTITION BY repo, file_path ORDER BY i) AS part FROM n),
+b AS (SELECT repo, file_path, part, min(i) AS first, max(i) AS last FROM g WHERE trim(x, ' ' || chr(9) || chr(13)) <> '' GROUP BY ALL),
+c AS (SELECT g.repo, g.file_path, g.part, CASE WHEN g.part = 0 THEN '' ELSE arg_min(regexp_replace(regexp_extract(x, '^#{1,6}\\s+(.+)$', 1), '^\\s+|\\s+$', '', 'g'), i) END AS symbol_name, CASE WHEN g.part = 0 THEN 'block' ELSE 'module' END AS symbol_type,
+ string_agg(x, chr(10) ORDER BY i) AS content, CAST(any_value(first) AS INTEGER) AS start_line, CAST(any_value(last) AS INTEGER) AS end_line FROM g JOIN b ON g.repo = b.repo AND g.file_path = b.file_path AND g.part = b.part AND i BETWEEN first AND last GROUP BY g.repo, g.file_path, g.part),
+m AS (SELECT *, substr(sha256(length(file_path) || ':' || file_path || '|' || length(symbol_name) || ':' || symbol_name || '|' || sha256(content)), 1, 32) AS id FROM c)
+SELECT repo, id, file_path, symbol_name, symbol_type, arg_max(start_line, part) AS start_line, arg_max(end_line, part) AS end_line, CAST(NULL AS VARCHAR) AS parent_chunk_id, CAST(NULL AS INTEGER) AS sub_chunk_index, 'regex' AS search_quality
+FROM m GROUP BY repo, id, file_path, symbol_name, symbol_type"""
+)
+def chunk_markdown_files(spark, root):
+    """Every Markdown file chunked anew at its headings outside of fences, none split."""
+    from quarry.operators.chunking import chunk_files
+
+    return chunk_files(_files(spark, root).where(F.col("file_path").rlike(r"(?i)\.(md|markdown)$")), 1 << 30).drop("content")
+
+
 _WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _NEW = "(length({0}) - length(replace({0}, chr(10), '')))"
 

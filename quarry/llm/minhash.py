@@ -230,7 +230,7 @@ def similar_pairs(rows: DataFrame, bodies: DataFrame, threshold: float, multiset
 
     The packed bits estimate first, then the texts decide: those of the representatives that are left are fetched
     from `bodies` (id, h, text) and compared exactly. h tells the texts of an id apart that came with several."""
-    docs = representatives(rows)
+    docs = cut(representatives(rows))
     side = lambda x, *c: docs.select(F.col("d1").alias(f"{x}1"), F.col("d2").alias(f"{x}2"), *[F.col(k).alias(f"{k}_{x}") for k in c])
     p = candidate_pairs(docs).join(side("a", "packed", "n"), "a1").join(side("b", "packed", "n"), "b1")
     ratio = F.least("n_a", "n_b") / F.greatest("n_a", "n_b")

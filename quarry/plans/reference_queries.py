@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.bitmaps import once
 from quarry.functions.search import ACCENTED, EXCLUDES, PLAIN, chunk_id, excluded, symbol_candidates, symbol_weight
 from quarry.operators import bm25, fusion, graph, index, vectors
 from quarry.sources.tables import table
@@ -96,10 +97,10 @@ def bm25_query_batch(spark, root):
 
 
 def _batch_search(spark: SparkSession, root: str, limit: int) -> DataFrame:
-    c = table(spark, root, "chunks").groupBy("repo", "id").agg(*[F.max(x).alias(x) for x in ("content", "file_path", "symbol_name")])
     cols = ["content", "file_path", "symbol_name"]
+    c = once(table(spark, root, "chunks").select("repo", "id", *cols), ["repo", "id"], lambda x: x.groupBy("repo", "id").agg(*[F.max(c).alias(c) for c in cols]))
     q = table(spark, root, "queries").select("query_id", F.col("repo").alias("grp"), "query_text")
-    return bm25.search(bm25.postings(c, F.col("repo"), "id", cols), bm25.lengths(c, F.col("repo"), "id", cols), q, limit)
+    return bm25.scan(c, F.col("repo"), "id", cols, q, limit)
 
 
 # Vectors.

@@ -36,7 +36,9 @@ EXCLUDES = ["node_modules/", "__pycache__/", ".git/", "dist/", "build/", "*.min.
 
 def terms(c: Column) -> Column:
     """The folded letter-digit runs of a text as an array; a null text has none."""
-    return F.regexp_extract_all(F.translate(F.lower(F.coalesce(c, F.lit(""))), ACCENTED, PLAIN), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    low = F.lower(F.coalesce(c, F.lit("")))
+    folded = F.when(F.octet_length(low) == F.char_length(low), low).otherwise(F.translate(low, ACCENTED, PLAIN))  # a text of ASCII has no marks
+    return F.regexp_extract_all(folded, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def words(c: Column) -> Column:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,10 +62,10 @@ class Buckets(dict):
     def __init__(self, dim: int) -> None:
         self.dim = dim
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) > 1_000_000:
             self.clear()
-        b = self[word] = int.from_bytes(hashlib.md5(word.encode("utf-8", "surrogatepass")).digest()[:4], "little") % self.dim
+        b = self[word] = int.from_bytes(hashlib.md5(word).digest()[:4], "little") % self.dim
         return b
 
 
@@ -73,21 +74,17 @@ def embedder(dim: int = 64) -> Callable[[list], np.ndarray]:
     of = Buckets(dim)
 
     def run(texts: list) -> np.ndarray:
-        out = np.zeros((len(texts), dim))
-        for i, t in enumerate(texts):
-            if t:
-                out[i] = np.bincount(np.fromiter(map(of.__getitem__, _SPACE.split(t.lower().strip(_BLANKS))), np.int64), minlength=dim) if t.strip(_BLANKS) else 0
+        # bytes are split at " \t\n\x0b\f\r", as the pattern for white space has it in queries
+        words = [t.lower().encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
+        buckets = np.array(list(map(of.__getitem__, chain.from_iterable(words))), dtype=np.int64)
+        at = np.repeat(np.arange(len(texts)) * dim, np.array(list(map(len, words)), dtype=np.int64))
+        out = np.bincount(at + buckets, minlength=len(texts) * dim).reshape(-1, dim).astype(np.float64)
         n = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return np.divide(out, n, out=out, where=n > 0)
 
     return run
 
 
-# White space as the pattern for it has it in queries.
-_BLANKS = " \t\n\x0b\f\r"
-_SPACE = re.compile(f"[{_BLANKS}]+")
-
-
 def search(rows: DataFrame, queries: DataFrame, k: int, metric: str = "dot", positive: bool = False, embed: Callable[[list], np.ndarray] | None = None) -> DataFrame:
     """(query_id, key, score, rank): the k best rows of its group for every query.
 
@@ -95,55 +92,119 @@ def search(rows: DataFrame, queries: DataFrame, k: int, metric: str = "dot", pos
     likewise. metric: dot, cosine or l2 (score is then the distance, less is better). Ties go by key; with `positive` only
     scores above 0 count. Vectors of another length than the query's, null ones and null keys are left out.
 
-    Queries travel in blocks of BLOCK; each batch of rows is multiplied with those of its groups and hands on its k best for
-    each, so rows of a group of any size stay where they are read."""
+    Queries travel in blocks of BLOCK; each batch of rows is multiplied with those of its groups. A first pass hands on a few of the
+    best scores of each task, which give a bound that the k-th best of a query reaches; a second hands on the rows within the
+    bound, so about k rows a query are shuffled, however many tasks there are, and rows of a group of any size stay where they
+    are read."""
     parts = -(-queries.count() // BLOCK)
-    sign = 1.0 if metric == "l2" else -1.0
     kind, ident = rows.schema["key"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    rows, context = rows.select("grp", "key", "x"), rows.sparkSession.sparkContext
     found = None
     for part in range(parts):
         block: dict = {}
         mine = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).select("query_id", "grp", "x").where("x is not null").collect()
         made = embed([r["x"] for r in mine]) if embed else [np.array(r["x"], dtype=np.float64) for r in mine]
-        for r, v in zip(mine, made, strict=True):
-            block.setdefault((r["grp"], len(v)), []).append((r["query_id"], v))
-        block = {g: ([i for i, _ in v], np.stack([x for _, x in v])) for g, v in block.items()}
-        shared = rows.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                groups, keys, xs = (c.to_pylist() for c in batch.columns)
-                vs = embed(xs) if embed else [None if x is None or None in x else np.array(x, dtype=np.float64) for x in xs]
-                by: dict = {}
-                for i, (g, key, v) in enumerate(zip(groups, keys, vs, strict=True)):
-                    if v is not None and key is not None and (g, len(v)) in shared.value:
-                        by.setdefault((g, len(v)), []).append(i)
-                ids, out, scores = [], [], []
-                for g, members in by.items():
-                    queried, q = shared.value[g]
-                    m = np.stack([vs[i] for i in members])
-                    names = np.argsort(np.argsort(np.array([keys[i] for i in members], dtype=object)))
-                    s = sign * _scores(q, m, metric)
-                    r = np.round(s, 10)
-                    for j, row in enumerate(r):
-                        at = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]) if len(row) > k else np.arange(len(row))
-                        if positive:
-                            at = at[s[j, at] < 0]
-                        at = at[np.lexsort((names[at], row[at]))][:k]
-                        ids += [queried[j]] * len(at)
-                        out += [keys[members[i]] for i in at.tolist()]
-                        scores += (sign * s[j, at]).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(ids, schema.field(0).type), pa.array(out, schema.field(1).type), pa.array(scores, pa.float64())], schema=schema)
-
-        schema = pa.schema([("query_id", _ARROW[ident]), ("key", _ARROW[kind]), ("score", pa.float64())])
-        one = map_arrow(rows.select("grp", "key", "x"), run, f"query_id {ident}, key {kind}, score double")
+        for i, (r, v) in enumerate(zip(mine, made, strict=True)):
+            block.setdefault((r["grp"], len(v)), []).append((i, v))
+        block = {g: (np.array([i for i, _ in v]), np.stack([x for _, x in v])) for g, v in block.items()}
+        shared = context.broadcast(block)
+        best = map_arrow(rows, _scores_of_tasks(shared, k, metric, positive, embed), "i int, s array<float>").groupBy("i").agg(F.collect_list("s").alias("s"))
+        bounds = np.full(len(mine), np.inf)
+        for r in map_arrow(best, _bounds(k), "i int, bound double").collect():
+            bounds[r["i"]] = r["bound"]
+        sent = context.broadcast((bounds, [r["query_id"] for r in mine]))
+        one = map_arrow(rows, _within(shared, sent, k, metric, positive, embed, (_ARROW[ident], _ARROW[kind])), f"query_id {ident}, key {kind}, score double")
         found = one if found is None else found.unionByName(one)
     if found is None:
         found = queries.select("query_id").limit(0).withColumn("key", F.lit(None).cast(kind)).withColumn("score", F.lit(0.0))
-    w = Window.partitionBy("query_id").orderBy(F.round(sign * F.col("score"), 10), "key")
+    w = Window.partitionBy("query_id").orderBy(F.round(_sign(metric) * F.col("score"), 10), "key")
     return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
+def _sign(metric: str) -> float:
+    """What makes less of a score better."""
+    return 1.0 if metric == "l2" else -1.0
+
+
+def _scored(batch: pa.RecordBatch, block: dict, metric: str, embed: Callable[[list], np.ndarray] | None) -> Iterator[tuple]:
+    """(group, keys, queries, scores) of a batch, scores with one row a query and one column a key, less being better."""
+    groups, keys, xs = (c.to_pylist() for c in batch.columns)
+    vs = embed(xs) if embed else [None if x is None or None in x else np.array(x, dtype=np.float64) for x in xs]
+    by: dict = {}
+    for i, (g, key, v) in enumerate(zip(groups, keys, vs, strict=True)):
+        if v is not None and key is not None and (g, len(v)) in block:
+            by.setdefault((g, len(v)), []).append(i)
+    for g, members in by.items():
+        yield g, [keys[i] for i in members], block[g][0], _sign(metric) * _scores(block[g][1], np.stack([vs[i] for i in members]), metric)
+
+
+def _places(k: int) -> np.ndarray:
+    """The places of a task's best rows whose scores are handed on: 1, 2, 3, 4, 6, 8, 12 ... k."""
+    return np.unique([min(k, x) for j in range(k.bit_length() + 1) for x in (1 << j, 3 << j)])
+
+
+def _scores_of_tasks(shared: Broadcast, k: int, metric: str, positive: bool, embed: Callable[[list], np.ndarray] | None):
+    """For each query the scores of the rows of a task at _places, rounded towards the worse."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict = {}
+        for batch in batches:
+            for g, _, queried, s in _scored(batch, shared.value, metric, embed):
+                r = np.where(np.isnan(s) | (s >= 0) & positive, np.inf, np.round(s, 10))
+                r = np.concatenate([least.get(g, np.full((len(queried), k), np.inf)), r], axis=1)
+                least[g] = np.partition(r, k - 1, axis=1)[:, :k]
+        for g, r in least.items():
+            r = np.sort(r, axis=1)[:, _places(k) - 1]
+            with np.errstate(over="ignore"):
+                r = np.nextafter((r + 1e-9).astype(np.float32), np.float32(np.inf))
+            some = np.isfinite(r[:, 0])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(some.sum() + 1) * r.shape[1], pa.int32()), pa.array(r[some].ravel(), pa.float32()))
+            yield pa.RecordBatch.from_arrays([pa.array(shared.value[g][0][some], pa.int32()), lists], names=["i", "s"])
+
+    return run
+
+
+def _bounds(k: int):
+    """The least score that k rows are known to reach, from the lists of all tasks; none where fewer are known."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        more = np.diff(_places(k), prepend=0)
+        for batch in batches:
+            bounds = []
+            for lists in batch.column(1).to_pylist():
+                s = np.array(lists, dtype=np.float64)
+                order = np.argsort(s, axis=None)
+                at = np.searchsorted(np.cumsum(np.tile(more, len(s))[order]), k)
+                bounds.append(float(s.ravel()[order[at]]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bounds, pa.float64())], names=["i", "bound"])
+
+    return run
+
+
+def _within(shared: Broadcast, sent: Broadcast, k: int, metric: str, positive: bool, embed: Callable[[list], np.ndarray] | None, types: tuple):
+    """The rows of a batch within the bound of a query, at most k."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds, names_of = sent.value
+        for batch in batches:
+            ids, out, scores = [], [], []
+            for _, keys, queried, s in _scored(batch, shared.value, metric, embed):
+                r = np.round(s, 10)
+                near = ~(r > bounds[queried][:, None])
+                if positive:
+                    near &= s < 0
+                names = np.argsort(np.argsort(np.array(keys, dtype=object)))
+                for j in np.flatnonzero(near.any(axis=1)).tolist():
+                    at = np.flatnonzero(near[j])
+                    at = at[np.lexsort((names[at], r[j, at]))][:k]
+                    ids += [names_of[queried[j]]] * len(at)
+                    out += [keys[i] for i in at.tolist()]
+                    scores += (_sign(metric) * s[j, at]).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, types[0]), pa.array(out, types[1]), pa.array(scores, pa.float64())], names=["query_id", "key", "score"])
+
+    return run
+
+
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 

@@ -158,7 +158,7 @@ def bow_cosine_search(spark, root):
 
 def _bow_search(spark: SparkSession, root: str, k: int) -> DataFrame:
     """A chunk is embedded where it is read; ids delivered twice come twice among the best and are made one at the end."""
-    c = table(spark, root, "chunks").select(F.col("repo").alias("grp"), F.col("id").alias("key"), F.col("content").alias("x")).distinct()
+    c = once(table(spark, root, "chunks").select(F.col("repo").alias("grp"), F.col("id").alias("key"), F.col("content").alias("x")), ["grp", "key"], DataFrame.distinct)
     q = table(spark, root, "queries").select("query_id", F.col("repo").alias("grp"), F.col("query_text").alias("x"))
     return vectors.search(c, q, k, positive=True, embed=vectors.embedder()).withColumn("score", F.round("score", 8))
 

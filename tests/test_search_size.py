@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from quarry.operators import vectors
 
 WORDS = ["the", "how", "do", "we", "Café", "scan", "table", "full", "index", "x1"]
 
@@ -53,3 +55,25 @@ def test_bm25_of_all_queries_shuffles_less_than_the_texts(spark, tmp_path):
     size, before = tables(spark, str(tmp_path), 1500, 600, odd=False), shuffled(spark)
     assert __spark_entry__.queries()["bm25_query_batch"](spark, str(tmp_path)).count() > 0
     assert shuffled(spark) - before < size
+
+
+@pytest.mark.parametrize("block", [20_000, 50])
+def test_fused_search_equals_its_sql(spark, tmp_path, monkeypatch, block):
+    for m in ("bm25", "vectors"):
+        monkeypatch.setattr(f"quarry.operators.{m}.BLOCK", block)
+    tables(spark, str(tmp_path), 200, 120, odd=False)
+    assert sorted(str(tuple(x)) for x in __spark_entry__.queries()["fused_search"](spark, str(tmp_path)).collect()) == by_sql("fused_search", str(tmp_path))
+
+
+@pytest.mark.parametrize("metric", ["dot", "l2"])
+def test_nearest_rows_of_many_tasks_are_few_to_shuffle(spark, metric):
+    """16 tasks, 200 queries, the 50 best of each; coordinates of few values, so that scores tie."""
+    import numpy as np
+
+    rows = spark.range(0, 4000, 1, 16).select(F.lit(0).alias("grp"), F.col("id").alias("key"), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.pmod(F.xxhash64("id", j), F.lit(5)).cast("double")).alias("x"))
+    ask, before = rows.where("key < 200").withColumnRenamed("key", "query_id"), shuffled(spark)
+    got = [tuple(r) for r in vectors.search(rows, ask, 50, metric).select("query_id", "rank", "key").collect()]
+    assert shuffled(spark) - before < 1_000_000
+    v = np.array([r["x"] for r in rows.orderBy("key").collect()])
+    s = -v[:200] @ v.T if metric == "dot" else ((v[:200, None] - v[None]) ** 2).sum(axis=2)
+    assert sorted(got) == [(q, k + 1, int(x)) for q in range(200) for k, x in enumerate(np.argsort(s[q], kind="stable")[:50])]

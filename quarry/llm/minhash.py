@@ -219,10 +219,11 @@ def texts_of(wanted: DataFrame, bodies: DataFrame, keys: list[str]) -> DataFrame
     """keys and text of the rows of bodies whose keys, h among them, are wanted; written to the shared folder.
 
     A bitmap of h tells most other texts apart where they are read; what it lets through meets the wanted keys in one
-    shuffle. The keys themselves never travel to all executors."""
+    shuffle. The keys themselves never travel to all executors. They are distinct, so they are joined inner: Spark
+    pushes a semi-join below the bitmap, and all texts would be shuffled before it."""
     wanted = cut(wanted.select(*keys).distinct())
     near = maybe(bodies.select(*keys, "text"), bitmap(wanted))
-    return cut(near.select(*keys, "text").join(wanted.hint("merge"), keys, "left_semi"))
+    return cut(near.select(*keys, "text").join(wanted.hint("merge"), keys))
 
 
 def similar_pairs(rows: DataFrame, bodies: DataFrame, threshold: float, multiset: bool = True, shingle: int = 1) -> DataFrame:

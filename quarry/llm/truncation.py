@@ -52,11 +52,18 @@ _SURE = re.compile(r"\s*(?:\[\s*(?:\.\.\.|…|truncated|cut|snip|more|continued|
 _DOTS = re.compile(r"\s*(?:\.{3,}|…)$")
 _PART = re.compile(r"https?://\S+|\w[\w\-/]*(?:[./\\][\w\-/]+)+|\d+(?:\.\d+)*|\w+|\s+|.", re.S)
 _WORD = re.compile(r"\w+")
+#: ASCII with a blank for every sign that stands in no word.
+_BLANKED = "".join(c if _WORD.match(c) else " " for c in map(chr, range(128)))
 #: A line's last word, read backwards.
 _LINE_END = re.compile(r"[.,;:!?)\]}`'\"]{0,2}(\w+)")
 _STRAY = re.compile(r"[^\x20-\x7e\n\t]|\w{20}|\d[\d.]{7}|\s{3}")
 
 
+def words_of(text: str) -> list[str]:
+    """The text's words, as _WORD finds them."""
+    return text.translate(_BLANKED).split() if text.isascii() else _WORD.findall(text)
+
+
 def form(line: str) -> list[str]:
     """The line's signs: each number as 0, path or address as p, capitalised word as W, other word as w, others themselves."""
     out = []
@@ -75,9 +82,10 @@ def form(line: str) -> list[str]:
     return out
 
 
+#: Signs of no meaning here are stepped over before each token, or else every one of them would be tried as its start.
 _LEX = {
-    "c": re.compile(r"""//[^\n]*|/\*.*?\*/|(?P<open>/\*)|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|(?P<quote>["'`])|(?P<b>[()\[\]{}])""", re.S),
-    "php": re.compile(r"""(?://|\#(?!\[))[^\n]*|/\*.*?\*/|(?P<open>/\*)|"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|(?P<quote>["'])|(?P<b>[()\[\]{}])""", re.S),
+    "c": re.compile(r"""[^/"'`()\[\]{}]*+(?://[^\n]*|/\*.*?\*/|(?P<open>/\*)|"[^"\\\n]*(?:\\.[^"\\\n]*)*"|'[^'\\\n]*(?:\\.[^'\\\n]*)*'|`[^`\\]*(?:\\.[^`\\]*)*`|(?P<quote>["'`])|(?P<b>[()\[\]{}])|/|\Z)""", re.S),
+    "php": re.compile(r"""[^/\#"'()\[\]{}]*+(?:(?://|\#(?!\[))[^\n]*|/\*.*?\*/|(?P<open>/\*)|"[^"\\]*(?:\\.[^"\\]*)*"|'[^'\\]*(?:\\.[^'\\]*)*'|(?P<quote>["'])|(?P<b>[()\[\]{}])|[/\#]|\Z)""", re.S),
     "sh": re.compile(r"""\\.|(?<!\S)\#[^\n]*|"(?:[^"\\]|\\.)*"|'[^']*'|(?P<quote>["'])|\$\{[^}\n]*\}|(?P<b>[()\[\]{}])|(?:(?<=\n)|(?<=;)|(?<=^)|(?<=do)|(?<=then)|(?<=else))[ \t]*(?P<k>if|fi|do|done|case|esac|while|for|until)\b|;[ \t]*(?P<k2>do|then|fi|done)\b""", re.S),
 }
 _PAIR = {")": "(", "]": "[", "}": "{"}
@@ -131,7 +139,7 @@ def unfinished(text: str, lang: str | None) -> bool:
                 stack.append(b)
         elif g in ("k", "k2"):
             words[m.group(g)] += 1
-        elif kind in ("php", "sh") or g == "open" or m.group() == "`" or "\n" not in text[m.end() :]:
+        elif kind in ("php", "sh") or g == "open" or m.group("quote") == "`" or "\n" not in text[m.end() :]:
             return True
     if kind == "sh" and (words["if"] > words["fi"] or words["do"] > words["done"] or words["case"] > words["esac"]):
         return True
@@ -162,11 +170,11 @@ def unmarked(text: str) -> tuple[str, str]:
     return "", text
 
 
-def tail(text: str, kind: str | None, lang: str | None) -> tuple:
-    """What SURVEY has of a text from `code` to `whole`."""
-    mark, t = unmarked(bare(text))
+def tail(text: str, kind: str | None, lang: str | None, parts: tuple[str, str] | None = None) -> tuple:
+    """What SURVEY has of a text from `code` to `whole`; parts is what unmarked() makes of it bare, if that is known."""
+    mark, t = parts or unmarked(bare(text))
     code = (kind or "").strip().lower() == "source_file"
-    fences = len(re.findall(r"^[ \t>]*```", t, re.M))
+    fences = len(re.findall(r"^[ \t>]*```", t, re.M)) if "```" in t else 0
     opened = unfinished(text if mark != "sure" else t, lang) if code else fences % 2 == 1
     block = t.rsplit("\n\n", 1)[-1]
     lines = block.split("\n")
@@ -181,7 +189,7 @@ def tail(text: str, kind: str | None, lang: str | None) -> tuple:
     signs = form(line) if len(words) <= USUAL_WORDS else []
     forms = []
     if signs:
-        stray = max((k for k, x in enumerate(_PART.findall(line.strip())[:STRAY]) if _STRAY.search(x)), default=-1)
+        stray = max((k for k, x in enumerate(_PART.findall(line.strip())[:STRAY]) if _STRAY.search(x)), default=-1) if _STRAY.search(line) else -1
         forms = list(dict.fromkeys("".join(signs[k:]).strip() for k in [0, *range(stray + 1, min(stray + 1 + STRAY_AFTER, len(signs)))][: None if stray >= 0 else 1]))
     if mark == "dots":
         sentence = re.split(r"[.!?。！？]\s*", t.replace("\n", " "))[-1].strip().lower()
@@ -267,12 +275,12 @@ def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, h, t, source, kind, lang in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             if t is None or not t.strip():
                 continue
-            u = unmarked(bare(t))[1]
-            words = _WORD.findall(u)
+            mark, u = unmarked(bare(t))
+            words = words_of(u)
             seen.update(words[:-1])
             ends.update([m.group(1)[::-1] for x in u.split("\n")[:-1] if 0 < len(x) < 50 and (m := _LINE_END.match(x[:-41:-1]))])
             texts.append(words)
-            out.append((i, source, (kind or "").strip().lower(), h, len(t), len(t.encode("utf-8", "replace")), *tail(t, kind, lang), len(words)))
+            out.append((i, source, (kind or "").strip().lower(), h, len(t), len(t.encode("utf-8", "replace")), *tail(t, kind, lang, (mark, u)), len(words)))
         if out:
             cols = [*zip(*out, strict=True), openings(texts), None, None]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if c is not None else pa.nulls(len(out), f.type) for c, f in zip(cols, SURVEY, strict=True)], schema=SURVEY)
@@ -301,6 +309,21 @@ def field_limits(t: DataFrame) -> DataFrame:
     return at.where(exact | trimmed).select("source", "unit", "length", exact.alias("exact"))
 
 
+def stands(last: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, inside, ends, begun) of each word of last, from rows (word, n, ends) of words: how often it stands inside texts, how
+    often of these at the end of a line, and how often the longer words do that it begins (null: none that is there twice).
+
+    Every word is counted once and then read with all its beginnings; a bitmap tells the few that are asked for apart,
+    so what is counted is all that is shuffled, and only once."""
+    counted = words.groupBy("word").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")).withColumn("size", F.length("word"))
+    least = F.when((F.col("n") >= 2) & F.col("size").between(2, 40), 1).otherwise(F.col("size"))
+    parts = counted.select("*", F.explode(F.sequence(least, F.col("size"))).alias("k")).withColumn("word", F.substring(F.col("word"), F.lit(1), F.col("k")))
+    parts = maybe(parts.withColumn("h", F.xxhash64("word")), bitmap(last.select(F.xxhash64("word").alias("h"))))
+    whole = F.col("k") == F.col("size")
+    sums = parts.groupBy("word").agg(F.sum(F.when(whole, F.col("n"))).alias("inside"), F.sum(F.when(whole, F.col("ends"))).alias("ends"), F.sum(F.when(~whole, F.col("n"))).alias("begun"))
+    return last.join(sums, "word", "left").select("word", F.coalesce("inside", F.lit(0)).alias("inside"), F.coalesce("ends", F.lit(0)).alias("ends"), "begun")
+
+
 def early_ends(t: DataFrame, bodies: DataFrame) -> DataFrame:
     """(h): hashes of texts that are copies of a longer one and whose alignment with it ends early.
 
@@ -313,7 +336,7 @@ def early_ends(t: DataFrame, bodies: DataFrame) -> DataFrame:
     asked = rows.where("last").select("band").distinct()
     near = cut(rows.join(asked.hint("merge"), "band", "left_semi").groupBy("band", "d1").agg(F.max("size").alias("size"), F.max("last").alias("last")))
     sizes = near.groupBy("band").agg(F.count("*").alias("k"), F.min("size").alias("least"), F.max("size").alias("most"))
-    e = cells(near, sizes.where("k > 1 and least < most"))
+    e = cells(near, cut(sizes.where("k > 1 and least < most")))
     a, b = e.where("last").alias("a"), e.alias("b")
     p = cut(a.join(b, meet("a", "b") & (F.col("a.size") < F.col("b.size"))).select(F.col("a.d1").alias("h_a"), F.col("b.d1").alias("h_b")).distinct())
     texts = texts_of(p.select(F.col("h_a").alias("h")).unionByName(p.select(F.col("h_b").alias("h"))), bodies, ["h"]).dropDuplicates(["h"])
@@ -368,8 +391,7 @@ def truncated(documents: DataFrame) -> DataFrame:
     body = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text", "source", "kind", "lang")
     passed = cut(map_arrow(body, survey, SURVEY_DDL))
     t, words = passed.where("n is null").drop("n", "ends"), passed.where("n is not null")
-    words = cut(words.groupBy("word").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")))
-    limits = field_limits(t).groupBy("source").agg(F.collect_list(F.struct("unit", "length", "exact")).alias("limits")).withColumnRenamed("source", "limited")
+    limits = cut(field_limits(t).groupBy("source").agg(F.collect_list(F.struct("unit", "length", "exact")).alias("limits")).withColumnRenamed("source", "limited"))
     size = lambda x: F.when(x["unit"] == "chars", F.col("chars")).otherwise(F.col("bytes"))
     within = F.filter("limits", lambda x: (size(x) == x["length"]) | (~x["exact"] & size(x).between(x["length"] - LIMIT_TRIM, x["length"])))
     t = t.join(F.broadcast(limits), F.col("source").eqNullSafe(F.col("limited")), "left").withColumn("limit", F.array_max(F.transform(within, lambda x: x["exact"]))).drop("limits", "limited", "size", "bands")
@@ -389,11 +411,8 @@ def truncated(documents: DataFrame) -> DataFrame:
     lines = u.where("line is not null").groupBy("kind", "line", dotted).agg(F.count("*").alias("line_n")).join(F.broadcast(kinds), "kind")
     lines = lines.where(F.col("line_n") >= F.greatest(F.lit(float(FORMULA)), F.when(F.col("dotted"), 0.0).otherwise(FORMULA_SHARE * F.col("kind_n")))).select("kind", "line", "dotted", F.lit(True).alias("formula"))
     last = u.where(~F.col("terminal") & (F.col("word") != ""))
-    inside = cut(last.select("word").distinct().join(words, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("inside"), F.coalesce("ends", F.lit(0)).alias("ends")))
-    starts = words.where((F.col("n") >= 2) & (F.length("word").between(2, 40))).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda k: F.substring(F.col("word"), F.lit(1), k))).alias("word"), "n")
-    starts = maybe(starts.withColumn("h", F.xxhash64("word")), bitmap(inside.select(F.xxhash64("word").alias("h"))))
-    begun = starts.groupBy("word").agg(F.sum("n").alias("begun"))
-    odd = inside.join(begun, "word", "left").select(
+    inside = cut(stands(last.select("word").distinct(), words))
+    odd = inside.select(
         "word", F.when(F.col("inside") <= FRAGMENT * F.col("begun"), "broken").when((F.col("inside") >= OFTEN) & (F.col("ends") < RARELY * F.col("inside")), "never").alias("odd")
     ).where("odd is not null")
     closing = last.groupBy("kind", "word").agg(F.count("*").alias("word_n")).join(F.broadcast(kinds), "kind")

@@ -10,6 +10,7 @@ from quarry.llm.components import components
 from quarry.llm.files import assemble
 from quarry.llm.grammars import parses
 from quarry.llm.languages import rank_languages
+from quarry.sources.tables import cut
 
 TOKENIZER = f"{bpe.TOKENIZERS}/byte_bpe_50k.json"
 
@@ -434,3 +435,44 @@ def test_words_broken_and_never_last_give_one_row(spark, monkeypatch):
     df = spark.createDataFrame([(i, t, "en", "s", "prose") for i, t in rows], "doc_id long, text string, lang string, source string, kind string")
     got = [r["doc_id"] for r in truncation.truncated(df).collect()]
     assert len(got) == len(set(got))
+
+
+def test_only_wanted_texts_are_shuffled(spark, monkeypatch):
+    """The bitmap is joined before the wanted keys are, and what is wanted comes out with all its rows."""
+    written = []
+    monkeypatch.setattr(minhash, "cut", lambda df: written.append(df) or cut(df))
+    bodies = spark.createDataFrame([(i % 90, f"text {i % 90}") for i in range(100)] + [(None, "no key")], "h long, text string")
+    wanted = spark.createDataFrame([(5,), (5,), (40,), (None,), (1000,)], "h long")
+    got = sorted(tuple(r) for r in minhash.texts_of(wanted, bodies, ["h"]).collect())
+    assert got == [(5, "text 5"), (5, "text 5"), (40, "text 40")]
+    joins = [x for x in written[-1]._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
+    assert len(joins) == 2 and "_place" not in joins[0] and "_place" in joins[1]
+
+
+def test_field_limits_are_found_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(truncation, "cut", lambda df: written.append(df) or cut(df))
+    rows = [(i, f"The thing number {i} is done{'.' * (i % 2)}", "en", "s", "prose") for i in range(40)]
+    found = truncation.truncated(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, kind string"))
+    assert sum("RangeFrame" in x._jdf.queryExecution().optimizedPlan().toString() for x in [*written, found]) == 1
+
+
+def test_where_last_words_stand(spark):
+    long = "x" * 41
+    rows = [("the", 3, 1), ("the", 2, 0), ("then", 1, 1), ("then", 1, 0), ("there", 1, 1), ("thé", 4, 0), ("o", 1, 0), (long, 5, 2), ("x" * 40, 2, 0), ("a" * 9, 7, 0)]
+    last = ["th", "the", "then", "o", "x", long, "absent", "thé", "é"]
+    got = truncation.stands(spark.createDataFrame([(w,) for w in last], "word string"), spark.createDataFrame(rows, "word string, n long, ends long"))
+    total = {}
+    for w, n, e in rows:
+        total[w] = (total.get(w, (0, 0))[0] + n, total.get(w, (0, 0))[1] + e)
+    begun = lambda p: sum(n for w, (n, _) in total.items() if n >= 2 and len(w) <= 40 and w != p and w.startswith(p)) or None
+    assert {r["word"]: (r["inside"], r["ends"], r["begun"]) for r in got.collect()} == {w: (*total.get(w, (0, 0)), begun(w)) for w in last}
+
+
+def test_words_and_brackets_of_odd_texts():
+    for text in ("", " \x1c\x00a_b\x1f9-c\t", "a\u00a0b", "año_1 two", "".join(map(chr, range(256))), "\ud800x"):
+        assert truncation.words_of(text) == truncation._WORD.findall(text)
+    for text, lang in (("a = b / c;", "js"), ("#[A]\n$a = 1;", "php"), ("a('\\'', \"\\\"\");", "js"), ("// (\nf();", "js"), ("# (\n$a = 1;", "php"), ("a();" + " b" * 9, "php"), ("a = b / /* ( */ c;", "js")):
+        assert not truncation.unfinished(text, lang), text
+    for text, lang in (("a = (b / c;", "js"), ("#[A\n$a = 1;", "php"), ("a('\\'", "js"), ("a = `b\nc;\n", "js"), ("f(); /* never", "js"), ("$a = '/* ;", "php")):
+        assert truncation.unfinished(text, lang), text

@@ -15,14 +15,18 @@ _RESERVED = frozenset(
 )
 #: Words that mean something in places and are names elsewhere.
 _CONTEXTUAL = frozenset("abstract accessor as assert asserts async await constructor declare from get global infer interface is keyof let module namespace never of out override private protected public readonly require satisfies set static type unique yield".split())
-_TOKEN = re.compile(
-    r"""(?P<s>[ \t\r\n\f\v   ﻿]+|//[^\n  ]*|/\*[\s\S]*?\*/)"""
-    r"""|(?P<i>[A-Za-z_$ª-￿\U00010000-\U0010ffff][\w$‌‍]*)"""
+_NAME = r"[A-Za-z_$ª-￿\U00010000-\U0010ffff][\w$‌‍]*"
+_PATTERN = (
+    r"""[ \t]*(?:(?P<s>[ \t\r\n\f\v   ﻿]+|//[^\n  ]*|/\*[\s\S]*?\*/)"""
+    r"""|(?P<i>@NAME@)"""
     r"""|(?P<n>0[xX][0-9a-fA-F_]+n?|0[oO][0-7_]+n?|0[bB][01_]+n?|(?:\d[\d_]*(?:\.[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?n?)"""
     r"""|(?P<q>"(?:[^"\\\n\r]|\\(?:\r\n|[\s\S]))*"|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*')"""
     r"""|(?P<p>\.\.\.|=>|\*\*=|\?\?=|&&=|\|\|=|<<=|===|!==|\?\.(?!\d)|\?\?|&&|\|\||\*\*|\+\+|--|<<|<=|==|!=|\+=|-=|\*=|%=|&=|\|=|\^=|[-{}()\[\];,<>+*%&|^!~?:=.@])"""
-    r"""|(?P<d>/)|(?P<t>`)|(?P<h>\#!?[\w$]*)"""
+    r"""|(?P<d>/)|(?P<t>`)|(?P<h>\#!?[\w$]*)|(?P<x>[\s\S]))"""
 )
+_TOKEN = re.compile(_PATTERN.replace("@NAME@", _NAME))
+#: The same where the text is ASCII only.
+_ASCII = re.compile(_PATTERN.replace("@NAME@", r"[A-Za-z_$][A-Za-z0-9_$]*"), re.ASCII)
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[A-Za-z]*")
 _CHUNK = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*")
 _JSX_TEXT = re.compile(r"[^{}<>]*")
@@ -51,7 +55,9 @@ class Tokens:
     """kinds, places and line starts of a text's tokens, and the partner of each bracket.
 
     Kinds: i name, n number, q string, r regular expression, # private name, keywords and punctuation themselves;
-    (T and T) enclose a template's substitutions, (X and X) a JSX element's containers, each in {J and J}."""
+    (T and T) enclose a template's substitutions, (X and X) a JSX element's containers, each in {J and J}.
+    `angled` tells that a `<` stands where JSX begins an element; else the tokens are the same with JSX and without.
+    Text that has no tokens is `bad`. `valid` has what a parse as JavaScript (False) or TypeScript (True) came to."""
 
     def __init__(self, text: str, jsx: bool) -> None:
         self.text, self.jsx = text, jsx
@@ -60,11 +66,15 @@ class Tokens:
         self.first: list[bool] = []
         self.stack: list[tuple[str, int]] = []
         self.match: dict[int, int] = {}
+        self.angled = self.bad = False
+        self.valid: dict[bool, bool] = {}
         pos = text.index("\n") if text.startswith("#!") and "\n" in text else 0
-        end = self.run(pos, None)
-        if end != len(text) or self.stack:
-            raise Bad
-        self.signs = "".join([_SIGN[k + "\n"] if f else _SIGN[k] for k, f in zip(self.kind, self.first, strict=True)])
+        try:
+            self.bad = self.run(pos, None) != len(text) or bool(self.stack)
+        except Bad:
+            self.bad = True
+        if not self.bad:
+            self.signs = "".join([_SIGN[k + "\n"] if f else _SIGN[k] for k, f in zip(self.kind, self.first, strict=True)])
 
     def put(self, kind: str, pos: int, first: bool) -> None:
         n = len(self.kind)
@@ -81,81 +91,72 @@ class Tokens:
 
     def run(self, pos: int, until: str | None) -> int:
         """Reads tokens; with `until` it ends before the brace that closes a substitution or container."""
-        text, kind, token, depth, line = self.text, self.kind, _TOKEN.match, len(self.stack), False
-        end = len(text)
+        text, kind, stack, depth, line = self.text, self.kind, self.stack, len(self.stack), False
+        end, token = len(text), (_ASCII if text.isascii() else _TOKEN).finditer
         append, at, first = kind.append, self.at.append, self.first.append
         while pos < end:
-            m = token(text, pos)
-            if m is None:
-                raise Bad
-            g = m.lastgroup
-            if g == "s":
-                if not line and "\n" in m.group():
-                    line = True
-                pos = m.end()
-                continue
-            if g == "i":
-                w = m.group()
-                append(w if w in _RESERVED or w in _CONTEXTUAL else "i")
-                at(pos)
-                first(line)
-            elif g == "p":
-                w = m.group()
-                if w == "}" and until is not None and len(self.stack) == depth:
-                    return pos
-                if w == "<" and self.jsx and self.operand() and (text[pos + 1 : pos + 2].isalpha() or text[pos + 1 : pos + 2] in (">", "_")) and not self.generic(pos):
-                    pos = self.element(pos, line)
-                    line = False
+            for m in token(text, pos):
+                g = m.lastgroup
+                if g == "s":
+                    if not line and "\n" in m[0]:
+                        line = True
                     continue
-                if w in "(){}[]":
-                    self.put(w, pos, line)
-                else:
+                pos, w = m.start(g), m[g]
+                if g == "i":
+                    append(w if w in _RESERVED or w in _CONTEXTUAL else "i")
+                elif g == "p":
+                    if w in "([{":
+                        stack.append((w, len(kind)))
+                    elif w in ")]}":
+                        if w == "}" and until is not None and len(stack) == depth:
+                            return pos
+                        if not stack or stack[-1][0] != _CLOSE[w]:
+                            raise Bad
+                        self.match[stack.pop()[1]] = len(kind)
+                    elif w == "<" and (self.jsx or not self.angled) and self.operand() and (text[pos + 1 : pos + 2].isalpha() or text[pos + 1 : pos + 2] in (">", "_")) and not self.generic(pos):
+                        self.angled = True
+                        if self.jsx:
+                            pos = self.element(pos, line)
+                            break
                     append(w)
-                    at(pos)
-                    first(line)
-            elif g == "n":
-                if text[m.end() : m.end() + 1].isalnum() or text[m.end() : m.end() + 1] in ("_", "$") and m.end() < end:
-                    raise Bad
-                w = m.group()
-                if len(w) > 1 and w[0] == "0" and w[1].isdigit():
-                    raise Bad
-                append("n")
-                at(pos)
-                first(line)
-            elif g == "q":
-                append("q")
-                at(pos)
-                first(line)
-            elif g == "d":
-                if self.operand():
-                    r = _REGEX.match(text, pos)
-                    if r is None:
+                elif g == "n":
+                    if text[m.end() : m.end() + 1].isalnum() or text[m.end() : m.end() + 1] in ("_", "$") and m.end() < end:
                         raise Bad
-                    append("r")
-                    at(pos)
-                    first(line)
-                    pos = r.end()
-                    line = False
-                    continue
-                append("/=" if text[pos + 1 : pos + 2] == "=" else "/")
+                    if len(w) > 1 and w[0] == "0" and w[1].isdigit():
+                        raise Bad
+                    append("n")
+                elif g == "q":
+                    append("q")
+                elif g == "d":
+                    if self.operand():
+                        r = _REGEX.match(text, pos)
+                        if r is None:
+                            raise Bad
+                        append("r")
+                        at(pos)
+                        first(line)
+                        pos = r.end()
+                        break
+                    if text[pos + 1 : pos + 2] == "=":
+                        append("/=")
+                        at(pos)
+                        first(line)
+                        pos += 2
+                        break
+                    append("/")
+                elif g == "t":
+                    pos = self.template(pos, line)
+                    break
+                else:
+                    if g == "x" or len(w) < 2 or w[1] == "!":
+                        raise Bad
+                    append("#")
                 at(pos)
                 first(line)
-                if text[pos + 1 : pos + 2] == "=":
-                    pos += 2
-                    line = False
-                    continue
-            elif g == "t":
-                pos = self.template(pos, line)
                 line = False
-                continue
             else:
-                if len(m.group()) < 2 or m.group()[1] == "!":
-                    raise Bad
-                append("#")
-                at(pos)
-                first(line)
+                pos = end
             line = False
-            pos = m.end()
         if until is not None:
             raise Bad
         return pos
@@ -1221,13 +1222,27 @@ class Parser:
         return close + 1
 
 
-_LAST: dict[bool, tuple[str, Tokens]] = {}
+_LAST: dict[bool, Tokens] = {}
+
+
+def tokens(text: str, jsx: bool) -> Tokens:
+    """The tokens of a text; those last read, with JSX or without, serve again, each for the other where no `<` tells them apart."""
+    for kept in (_LAST.get(jsx), _LAST.get(not jsx)):
+        if kept is not None and kept.text == text and (kept.jsx == jsx or not kept.angled):
+            return kept
+    _LAST.pop(jsx, None)
+    _LAST[jsx] = Tokens(text, jsx)
+    return _LAST[jsx]
 
 
 def check(text: str, lang: str) -> None:
-    """Raises Bad if the text is not a valid js, ts or tsx module; js and ts share the tokens of the text last seen."""
-    jsx = lang == "tsx"
-    if jsx not in _LAST or _LAST[jsx][0] != text:
-        _LAST.pop(jsx, None)
-        _LAST[jsx] = (text, Tokens(text, jsx))
-    Parser(_LAST[jsx][1], lang != "js").module()
+    """Raises Bad if the text is not a valid js, ts or tsx module; ts and tsx are one grammar where their tokens are the same."""
+    read, ts = tokens(text, lang == "tsx"), lang != "js"
+    if not read.bad and ts not in read.valid:
+        try:
+            Parser(read, ts).module()
+            read.valid[ts] = True
+        except Bad:
+            read.valid[ts] = False
+    if read.bad or not read.valid[ts]:
+        raise Bad

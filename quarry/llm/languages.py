@@ -9,7 +9,8 @@ from collections import Counter
 EXTENSIONS = {"py": "python", "ts": "ts", "tsx": "tsx", "js": "js", "php": "php", "sh": "sh"}
 
 _TOKEN = re.compile(
-    r"<\?php|\$this->|\$\(|\"\$|\$(?=[A-Za-z_])|[-=]>|[!=]==|::|<!DOCTYPE|</?[A-Za-z]\w*|/>|^#!.*|^```|^#{1,6}[ \t]+[A-Z]|^[ \t]*(?:[-*]|\d+\.)[ \t]+\w+[^;{}\n]*$|\[[ \t]+-\w|:[ \t]*(?:string|number|boolean|void|unknown)\b|:$|[A-Za-z_]\w*",
+    r"[A-Za-z_]\w*|<(?:\?php|!DOCTYPE|/?[A-Za-z]\w*)|\$(?:this->|\(|(?=[A-Za-z_]))|\"\$|[-=]>|[!=]==|:(?::|[ \t]*(?:string|number|boolean|void|unknown)\b|$)|/>|\[[ \t]+-\w"
+    r"|^(?:#!.*|```|#{1,6}[ \t]+[A-Z]|[ \t]*(?:[-*]|\d+\.)[ \t]+\w+[^;{}\n]*$)",
     re.M,
 )
 #: What a token speaks for, and how strongly.

@@ -20,6 +20,8 @@ from quarry.sources.session import map_arrow
 TOKENIZERS = "/opt/tokenizers"
 #: Pieces whose ids a worker keeps.
 KEPT = 1_000_000
+#: Positions of a pair from which on they are replaced as arrays, not one by one; the ids are the same.
+MANY = 32
 # How the vocabulary's authors split text into pieces.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The same pattern where the text is ASCII only.
@@ -63,7 +65,9 @@ class PairIndexEncoder:
         inner[ends - 1] = False
         laid[inner] = np.array(first, dtype=np.int64)[np.frombuffer(b"".join(raw), dtype=np.uint8)]
         n = len(laid)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        # one place more than there are symbols: what comes before the first and after the last
+        sym, after, before, taken = np.append(laid, -1), np.arange(1, n + 2), np.arange(-1, n), np.zeros(n + 1, dtype=bool)
+        syms, afters, befores = memoryview(sym), memoryview(after), memoryview(before)
         where: dict[tuple[int, int], list[int]] = {}
         both = laid[:-1] << 32 | (laid[1:] & 0xFFFFFFFF)
         order = np.argsort(both, kind="stable")
@@ -73,7 +77,6 @@ class PairIndexEncoder:
             pair = (int(laid[i]), int(laid[i + 1])) if i >= 0 else None
             if pair in rank:
                 where[pair] = places.tolist()
-        sym = laid.tolist()
         where_get, rank_get = where.get, rank.get
         active = [(*rank[p], p) for p in where]
         heapq.heapify(active)
@@ -85,42 +88,71 @@ class PairIndexEncoder:
                 continue
             if a == b:
                 places.sort()
-            for i in places:
-                if sym[i] != a:
-                    continue
+            if len(places) >= MANY:
+                i = np.array(places)
+                i = i[sym[i] == a]
                 j = after[i]
-                if j >= n or sym[j] != b:
-                    continue
-                sym[i], sym[j] = new, -2
+                fits = sym[j] == b
+                i, j = i[fits], j[fits]
+                if a == b and len(i):  # of a run of overlapping pairs every second one is replaced
+                    nth = np.arange(len(i))
+                    begins = np.append(True, i[1:] != j[:-1])
+                    fits = (nth - np.maximum.accumulate(np.where(begins, nth, 0))) % 2 == 0
+                    i, j = i[fits], j[fits]
                 k = after[j]
-                after[i] = k
-                if k < n:
-                    before[k] = i
-                    c = sym[k]
-                    if c >= 0:
-                        q = (new, c)
-                        at = where_get(q)
-                        if at is not None:
-                            at.append(i)
-                        else:
-                            r = rank_get(q)
-                            if r is not None:
-                                where[q] = [i]
-                                heapq.heappush(active, (*r, q))
+                sym[i], sym[j] = new, -2
+                after[i], before[k] = k, i
                 h = before[i]
-                if h >= 0:
-                    c = sym[h]
-                    if c >= 0:
-                        q = (c, new)
-                        at = where_get(q)
-                        if at is not None:
-                            at.append(h)
-                        else:
-                            r = rank_get(q)
-                            if r is not None:
-                                where[q] = [h]
+                taken[i] = True
+                left = ~taken[h]  # where it is taken too, the pair was met from there
+                taken[i] = False
+                for at, beside, right in ((i, sym[k], True), (h[left], sym[h[left]], False)):
+                    order = np.argsort(beside, kind="stable")
+                    beside, at = beside[order], at[order].tolist()
+                    cuts = [0, *(np.flatnonzero(np.diff(beside)) + 1).tolist(), len(at)]
+                    for c, start, stop in zip(beside[cuts[:-1]].tolist() if at else (), cuts, cuts[1:]):
+                        q = (new, c) if right else (c, new)
+                        r = rank_get(q)
+                        if r is not None:
+                            if q in where:
+                                where[q] += at[start:stop]
+                            else:
+                                where[q] = at[start:stop]
                                 heapq.heappush(active, (*r, q))
-        flat = np.array(sym, dtype=np.int32)
+                continue
+            for i in places:
+                if syms[i] != a:
+                    continue
+                j = afters[i]
+                if syms[j] != b:
+                    continue
+                syms[i], syms[j] = new, -2
+                k = afters[j]
+                afters[i], befores[k] = k, i
+                c = syms[k]
+                if c >= 0:
+                    q = (new, c)
+                    at = where_get(q)
+                    if at is not None:
+                        at.append(i)
+                    else:
+                        r = rank_get(q)
+                        if r is not None:
+                            where[q] = [i]
+                            heapq.heappush(active, (*r, q))
+                h = befores[i]
+                c = syms[h]
+                if c >= 0:
+                    q = (c, new)
+                    at = where_get(q)
+                    if at is not None:
+                        at.append(h)
+                    else:
+                        r = rank_get(q)
+                        if r is not None:
+                            where[q] = [h]
+                            heapq.heappush(active, (*r, q))
+        flat = sym[:n].astype(np.int32)
         kept = flat >= 0
         upto = np.concatenate(([0], np.cumsum(kept)))
         ids = flat[kept].tobytes()

@@ -184,6 +184,45 @@ def test_documented_functions_with_windows_line_ends():
     assert docs.chunk_language("a.py", "function f() {\n  const a = 1;\n}\n// Reads rows\nfunction g() {\n}\n") in ("js", "ts", "tsx")
 
 
+def one_by_one(e, piece):
+    """Byte-pair encoding of a single piece: the pair of least rank at all its places from the left, until no pair has a rank."""
+    ids = [e.first[b] for b in piece.encode("utf-8", "replace")]
+    while ranked := [(e.rank[p], p) for p in zip(ids, ids[1:]) if p in e.rank]:
+        (_, new), pair = min(ranked)
+        out, at = [], 0
+        while at < len(ids):
+            found = tuple(ids[at : at + 2]) == pair
+            out.append(new if found else ids[at])
+            at += 1 + found
+        ids = out
+    return ids
+
+
+def test_positions_of_a_pair_are_replaced_together(monkeypatch):
+    class Counted(dict):
+        n = 0
+
+        def get(self, *pair):
+            self.n += 1
+            return super().get(*pair)
+
+    rng = random.Random(5)
+    parts = ["ti", "mo", "ra", "Se", "lu", "kor", "gat", "ent", "over", "ss", "00", "é", "世"]
+    odd = [c * n for c in ("a", "s", "ab", "0", " ", "-=") for n in range(1, 70)] + ["".join(rng.choice("aabs -=0é世\n") for _ in range(rng.randrange(1, 120))) for _ in range(300)]
+    pieces = list(dict.fromkeys([f" {a}{b}{c}" for a in parts for b in parts for c in parts] + odd + ["\ud800x"]))
+    seen = []
+    for many in (1, bpe.MANY, 10**9):
+        monkeypatch.setattr(bpe, "MANY", many)
+        e = bpe.PairIndexEncoder(TOKENIZER)
+        e.rank = Counted(e.rank)
+        e.learn(pieces)
+        seen.append(e)
+    assert all(list(memoryview(seen[0].known[p]).cast("i")) == one_by_one(e, p) for p in pieces)
+    assert seen[0].known == seen[1].known == seen[2].known and seen[0].sizes == seen[1].sizes == seen[2].sizes == {p: len(b) // 4 for p, b in e.known.items()}
+    merged = sum(len(p.encode("utf-8", "replace")) for p in pieces) - sum(e.sizes.values())
+    assert seen[1].rank.n < merged / 2, (seen[1].rank.n, merged)
+
+
 def test_pair_index_equals_the_library():
     from tokenizers import Tokenizer
 
